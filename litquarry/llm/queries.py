@@ -9,12 +9,45 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import sha256_hex
 from litquarry.llm.line_dedup import line_dedup
+from litquarry.llm.packing import pack_documents
+from litquarry.llm.token_count import token_counts
+from litquarry.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_round_trip(_table(spark, sf_dir, "pages"), with_payload=False, min_bytes=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+last AS (SELECT body, max(page_id) AS target FROM p WHERE strlen(body) >= 1000 GROUP BY body)
+SELECT page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < target THEN target END AS refers_to
+FROM p LEFT JOIN last ON p.body = last.body
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
@@ -42,11 +75,15 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_token_counts": op4_token_counts,
+        "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
     }
