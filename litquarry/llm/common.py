@@ -28,11 +28,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a job go when it ends: what comes after reads the table that it wrote.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write ``df`` to ``path`` as Parquet (zstd) and let go of the shuffle files that this took."""
+    conf = df.sparkSession.conf
+    was = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, was)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: the lineage ends here."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,7 @@ from litquarry.llm.common import sha256_hex
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.packing import pack_documents
 from litquarry.llm.token_count import token_counts
+from litquarry.llm.token_output import token_output
 from litquarry.llm.warc import warc_round_trip
 
 
@@ -24,6 +25,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, with_ids=False)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=0)
 
@@ -75,6 +80,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": op1_token_output,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_token_counts": op4_token_counts,
         "op8_warc": op8_warc,
