@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from litquarry.llm.common import sha256_hex
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.packing import pack_documents
+from litquarry.llm.substring_dedup import substring_dedup
 from litquarry.llm.token_count import token_counts
 from litquarry.llm.token_output import token_output
 from litquarry.llm.warc import warc_round_trip
@@ -33,6 +34,34 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=0)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d)
+), first AS (SELECT k, min(doc_id) AS keeper FROM win GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM win JOIN first USING (k) WHERE doc_id > keeper
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), marked AS (
+  SELECT words.doc_id, word, words.pos, gone.pos IS NOT NULL AS removed
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos
+), per AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE removed) AS r,
+         string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -82,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
@@ -90,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": OP3_SQL,
         "op8_warc": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
     }
