@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import sha256_hex
 from litquarry.llm.line_dedup import line_dedup
+from litquarry.llm.ngram_join import ngram_components
 from litquarry.llm.packing import pack_documents
 from litquarry.llm.substring_dedup import substring_dedup
 from litquarry.llm.token_count import token_counts
@@ -107,6 +108,30 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS pos FROM d)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -115,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
@@ -123,4 +149,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": OP3_SQL,
         "op8_warc": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
+        "op10_ngram_join": OP10_SQL,
     }
