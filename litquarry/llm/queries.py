@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.common import sha256_hex
+from litquarry.llm.decontaminate import decontaminate
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.ngram_join import ngram_components
 from litquarry.llm.packing import pack_documents
@@ -68,6 +69,41 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        sha256_hex(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[pos:pos + 9], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, least(len(w), 1) + 1))) AS pos FROM i)
+), sizes AS (SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS k
+  FROM (SELECT doc_id, n, w, unnest(range(1, greatest(len(w) - n + 2, 1))) AS pos FROM d CROSS JOIN sizes)
+), hits AS (SELECT doc_id, pos, dw.n AS n, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.n = iw.n
+), covered AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_round_trip(_table(spark, sf_dir, "pages"), with_payload=False, min_bytes=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -115,7 +151,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w FROM documents
+                                    '[^ 	-
+]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS k
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS pos FROM d)
@@ -138,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
@@ -147,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": OP3_SQL,
+        "op7_decontamination": OP7_SQL,
         "op8_warc": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
