@@ -73,8 +73,8 @@ def unpack_ints(data: bytes) -> np.ndarray:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """A power of two, at least four for each shuffle partition."""
-    return 1 << max(4, (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """A power of two, at least two for each shuffle partition."""
+    return 1 << max(4, (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -127,29 +127,36 @@ def runs(batches, key: str) -> Iterator[tuple[object, Iterator]]:
             pass
 
 
-def sharded(docs: DataFrame, *, batch=None, shard_bytes: int = 4 << 20) -> DataFrame:
-    """(id, text) rows with a ``shard`` of about ``shard_bytes`` of text each, of one task and one ``batch``, to be written.
+def packed_shards(docs: DataFrame, *, shard_bytes: int = 2 << 20) -> DataFrame:
+    """(batch, shard, ids, texts): rows (id, text, batch) packed into one row for about ``shard_bytes`` of text of a batch.
 
-    A longer text is a shard of its own, or the last of one.
+    A longer text is the last of its shard. As a row, a shard is never split between tasks.
     """
 
-    def number(batches) -> Iterator:
+    def pack(batches) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        sofar: dict[int, int] = {}
+        part, n = TaskContext.get().partitionId() << 24, 0
+        held: dict[int, tuple[list, list, int]] = {}
+
+        def close(k: int):
+            nonlocal n
+            ids, texts, _ = held.pop(k)
+            n += 1
+            columns = [pa.array([k], pa.int32()), pa.array([part + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "shard", "ids", "texts"])
+
         for b in batches:
-            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
-            kind = b.column(2).to_numpy(zero_copy_only=False)
-            shard = np.zeros(len(size), np.int64)
-            for k in np.unique(kind).tolist():
-                own = np.flatnonzero(kind == k)
-                end = np.cumsum(size[own]) + sofar.get(k, 0)
-                shard[own] = (((part << 6) + k) << 24) + (end - size[own]) // shard_bytes
-                sofar[k] = int(end[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int64())], names=["id", "text", "batch", "shard"])
-
-    rows = docs.withColumn("batch", F.lit(0) if batch is None else batch)
-    return rows.mapInArrow(number, "id long, text string, batch int, shard long")
+            for i, text, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, texts, size = held.get(k) or ([], [], 0)
+                ids.append(i)
+                texts.append(text)
+                size += len(text or "") + 16
+                held[k] = (ids, texts, size)
+                if size >= shard_bytes:
+                    yield close(k)
+        for k in list(held):
+            yield close(k)
+
+    return docs.select("id", "text", "batch").mapInArrow(pack, "batch int, shard long, ids array<long>, texts array<string>")

@@ -1,9 +1,9 @@
 """Substring dedup by a log-structured index of window hashes.
 
-Sorted, immutable runs hold the fingerprints of all windows seen so far. A batch of documents is merge-joined with
-the runs, bucket by bucket; what they hold is removed from the batch, its new fingerprints become a run, and runs of
-a level are compacted into one of the next. A fingerprint is 64 bits to merge on and 32 other bits, of an independent
-hash of the same words, to verify each match with.
+Sorted, immutable runs hold the fingerprints of all windows seen so far, a file for each bucket of hashes. A batch of
+documents is dealt to the buckets and merge-joined with their runs there; what they hold is removed from the batch, its
+new fingerprints become a run, and runs of a level are compacted into one of the next. A fingerprint is 64 bits to
+merge on and 32 other bits, of an independent hash of the same words, to verify each match with.
 """
 
 from __future__ import annotations
@@ -16,108 +16,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.common import new_folder, remove_folder, write_table
-from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, runs, sharded, unpack_ints, window_hashes, word_hashes
+from litquarry.llm.files import input_stream, make_folder, output
+from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, window_hashes, word_hashes
 
-RUN = "bucket int, hashes binary, checks binary"
-REPLY = "shard long, hashes binary, checks binary, owners binary"
+SHARDS = "batch int, shard long, ids array<long>, texts array<string>"
+REPLY = "shard long, bucket int, held binary"
 
 
-def _windows(words: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts as words: hash, check and text number of every window, and the place of its first word in all words."""
-    size = np.array([len(w) for w in words], np.int64)
-    flat = word_hashes([x for w in words for x in w])
-    text = np.repeat(np.arange(len(words)), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
-    at = np.flatnonzero(left >= width)
-    hashes = window_hashes(flat, width)
-    checks = (window_hashes(flat, width, seed=1) >> np.uint64(32)).astype(np.uint32)
-    return hashes[at], checks[at], text[at], at
+class ShardWindows:
+    """The windows of a shard's documents, and its distinct fingerprints in order.
+
+    ``owner`` is the smallest id of the shard that has a fingerprint. Texts of null ids have no windows.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str | None], width: int):
+        self.words = [(t or "").encode().split() for t in texts]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        flat = word_hashes([x for w in self.words for x in w])
+        known = np.array([i is not None for i in ids], bool)
+        self.ids = np.array([i or 0 for i in ids], np.int64)
+        text = np.repeat(np.arange(len(ids)), self.size)
+        left = np.repeat(np.cumsum(self.size), self.size) - np.arange(len(flat))
+        self.at = np.flatnonzero((left >= width) & known[text])
+        hashes = window_hashes(flat, width)[self.at]
+        checks = (window_hashes(flat, width, seed=1) >> np.uint64(32)).astype(np.uint32)[self.at]
+        self.id_of = self.ids[text[self.at]]
+        order = np.lexsort((self.id_of, checks, hashes))
+        hashes, checks = hashes[order], checks[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+        self.hashes, self.checks, self.owner = hashes[first], checks[first], self.id_of[order][first]
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(first) - 1
 
 
 def _sent(documents: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Each shard's distinct fingerprints: by bucket, with the smallest id that has it and whether another one has it too."""
+    """Each shard's distinct fingerprints with their smallest ids, a row for each bucket."""
 
     def send(batches) -> Iterator:
         import pyarrow as pa
 
-        kinds = {"bucket": pa.int32(), "shard": pa.int64(), "hashes": pa.binary(), "checks": pa.binary(), "owners": pa.binary(), "shared": pa.binary()}
-        for shard, parts in runs(batches, "shard"):
-            table = pa.Table.from_batches(list(parts))
-            table = table.filter(table.column("id").is_valid()).sort_by("id")
-            if not table.num_rows:
-                continue
-            ids = table.column("id").to_numpy()
-            hashes, checks, text, _ = _windows([(t or "").encode().split() for t in table.column("text").to_pylist()], width)
-            order = np.argsort(hashes, kind="stable")
-            hashes, checks, owner = hashes[order], checks[order], ids[text[order]]
-            first = np.ones(len(hashes), bool)
-            first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
-            begin = np.flatnonzero(first)
-            last = np.append(begin[1:], len(hashes)) - 1
-            shared = owner[last[: len(begin)]] != owner[begin]
-            hashes, checks, owner = hashes[begin], checks[begin], owner[begin]
-            cut = bucket_bounds(hashes, buckets)
-            rows = [(b, shard, hashes[i:j].tobytes(), checks[i:j].tobytes(), pack_ints(owner[i:j]), np.packbits(shared[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
-
-    by_shard = documents.select("id", "text", "shard")
-    return by_shard.mapInArrow(send, f"bucket int, shard long, {RUN.split(', ', 1)[1]}, owners binary, shared binary")
-
-
-def _merged(batches) -> Iterator:
-    """In each bucket: answers to the shards, and the fingerprints that no run has. Runs come as shard -1."""
-    import pyarrow as pa
-
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["kind", "shard", "bucket", "hashes", "checks", "owners"]
-    for bucket, parts in runs(batches, "bucket"):
-        hashes, checks, owners, shared, source, shards = [], [], [], [], [], []
-        for part in parts:
-            columns = [part.column(part.schema.get_field_index(n)).to_pylist() for n in ("shard", "hashes", "checks", "owners", "shared")]
-            for shard, h, c, o, m in zip(*columns, strict=True):
-                hashes.append(np.frombuffer(h, np.uint64))
-                checks.append(np.frombuffer(c, np.uint32))
-                n = len(hashes[-1])
-                owners.append(np.full(n, np.iinfo(np.int64).min) if o is None else unpack_ints(o))
-                shared.append(np.zeros(n, bool) if m is None else np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool))
-                source.append(np.full(n, len(shards)))
-                shards.append(shard)
-        hashes, checks, owners, shared, source = (np.concatenate(x) for x in (hashes, checks, owners, shared, source))
-        order = np.lexsort((owners, checks, hashes))
-        hashes, checks, owners, shared, source = (x[order] for x in (hashes, checks, owners, shared, source))
-        first = np.ones(len(hashes), bool)
-        first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
-        owner = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-        own = np.array(shards, np.int64)[source]
-        told = np.flatnonzero((own >= 0) & (shared | (owners > owner)))
-        told = told[np.argsort(source[told], kind="stable")]
-        rows = []
-        for some in np.split(told, np.flatnonzero(np.diff(source[told])) + 1):
-            if len(some):
-                least = np.maximum(owner[some], owners[some] - 1)  # of a run: before all of the shard
-                rows.append((0, int(own[some[0]]), bucket, hashes[some].tobytes(), checks[some].tobytes(), pack_ints(least)))
-        new = first & (own >= 0)
-        if new.any():
-            rows.append((1, -1, bucket, hashes[new].tobytes(), checks[new].tobytes(), None))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _compacted(batches) -> Iterator:
-    import pyarrow as pa
-
-    for bucket, parts in runs(batches, "bucket"):
-        pairs = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for p in parts for h, c in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True)]
-        hashes, checks = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        order = np.lexsort((checks, hashes))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([hashes[order].tobytes()], pa.binary()), pa.array([checks[order].tobytes()], pa.binary())], names=["bucket", "hashes", "checks"])
+        kinds = {"bucket": pa.int32(), "shard": pa.int64(), "hashes": pa.binary(), "checks": pa.binary(), "owners": pa.binary()}
+        for batch in batches:
+            for shard, ids, texts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                own = ShardWindows(ids.as_py(), texts.as_py(), width)
+                cut = bucket_bounds(own.hashes, buckets)
+                rows = [(b, shard.as_py(), own.hashes[i:j].tobytes(), own.checks[i:j].tobytes(), pack_ints(own.owner[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    return documents.select("shard", "ids", "texts").mapInArrow(send, "bucket int, shard long, hashes binary, checks binary, owners binary")
+
+
+def _read_run(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """A run's sorted hashes and their checks in a bucket; a bucket without any has no file."""
+    try:
+        with input_stream(f"{folder}/{bucket:06d}.run") as source:
+            data = source.read()
+    except FileNotFoundError:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n)
+
+
+def _write_run(folder: str, bucket: int, hashes: np.ndarray, checks: np.ndarray) -> None:
+    with output(f"{folder}/{bucket:06d}.run") as out:
+        for part in (len(hashes).to_bytes(8, "little"), hashes.astype("<u8").tobytes(), checks.astype("<u4").tobytes()):
+            out.write(part)
+
+
+def _held(hashes: np.ndarray, checks: np.ndarray, run: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of some sorted fingerprints a sorted run has, verified by their checks."""
+    theirs, verify = run
+    found = np.zeros(len(hashes), bool)
+    if not len(theirs):
+        return found
+    at, open_ = np.searchsorted(theirs, hashes), np.arange(len(hashes))
+    while len(open_):  # equal hashes with other checks stand side by side
+        spot = at[open_]
+        spot_in = np.minimum(spot, len(theirs) - 1)
+        met = (spot < len(theirs)) & (theirs[spot_in] == hashes[open_])
+        same = met & (verify[spot_in] == checks[open_])
+        found[open_[same]] = True
+        open_ = open_[met & ~same]
+        at[open_] += 1
+    return found
 
 
 class FingerprintIndex:
     """Runs of window fingerprints in the shared folder. ``levels`` holds the folders of the runs by level."""
 
-    def __init__(self, spark: SparkSession, folder: str, *, width: int = 13, buckets: int = 256, fanout: int = 2):
+    def __init__(self, spark: SparkSession, folder: str, *, width: int = 13, buckets: int = 256, fanout: int = 4):
         self.spark, self.folder, self.width, self.buckets, self.fanout = spark, folder, width, buckets, fanout
         self.levels: list[list[str]] = [[]]
         self.made = 0
@@ -126,40 +115,74 @@ class FingerprintIndex:
         self.made += 1
         return f"{self.folder}/{kind}-{self.made:06d}"
 
-    def history(self) -> list[DataFrame]:
-        return [self.spark.read.schema(RUN).parquet(path) for level in self.levels for path in level]
-
-    def ingest(self, documents: DataFrame) -> DataFrame:
-        """Merge a batch (id, text, shard; written) with the runs and add its run; returns the answers to its shards.
+    def ingest(self, documents: DataFrame, *, keep: bool = True) -> DataFrame:
+        """Merge a batch of packed shards with the runs; returns the answers to its shards.
 
-        A window is answered if a run has it, or if more than one id of the batch does: with the id that keeps it.
+        An answer has a bit for each fingerprint that a shard sent to a bucket: whether a run has it, or a smaller
+        id of another shard of the batch. Unless ``keep`` is off, the batch's new fingerprints become a run.
         """
-        none = F.lit(None).cast("binary")
-        old = [r.select("bucket", F.lit(-1).cast("long").alias("shard"), "hashes", "checks", none.alias("owners"), none.alias("shared")) for r in self.history()]
-        met = dealt(reduce(DataFrame.unionByName, old, _sent(documents, self.width, self.buckets)), "bucket", "shard")
-        path = self._next("batch")
-        write_table(met.mapInArrow(_merged, "kind int, shard long, bucket int, hashes binary, checks binary, owners binary"), path, "kind")
-        self.levels[0].append(f"{path}/kind=1")
-        self._ensure(f"{path}/kind=1", RUN)
-        self.compact()
-        self._ensure(f"{path}/kind=0", REPLY)
-        return self.spark.read.schema(REPLY).parquet(f"{path}/kind=0")
-
-    def _ensure(self, path: str, schema: str) -> None:
-        """A batch without answers or new windows leaves no folder; an empty table stands for it."""
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            self.spark.createDataFrame([], schema).write.parquet(path)
+        history, path = [p for level in self.levels for p in level], self._next("run")
+        if keep:
+            make_folder(path)
+
+        def merge(batches) -> Iterator:
+            import pyarrow as pa
+
+            for bucket, parts in runs(batches, "bucket"):
+                shards, sizes, columns = [], [], ([], [], [])
+                for part in parts:
+                    for shard, h, c, o in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                        for to, values in zip(columns, (np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32), unpack_ints(o)), strict=True):
+                            to.append(values)
+                        shards.append(shard)
+                        sizes.append(len(columns[0][-1]))
+                hashes, checks, owners = (np.concatenate(x) for x in columns)
+                order = np.lexsort((owners, checks, hashes))
+                hashes, checks, owners = hashes[order], checks[order], owners[order]
+                first = np.ones(len(order), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+                group = np.cumsum(first) - 1
+                each, verify = hashes[first], checks[first]
+                old = np.zeros(len(each), bool)
+                for run in history:
+                    old |= _held(each, verify, _read_run(run, bucket))
+                held = np.empty(len(order), bool)
+                held[order] = old[group] | (owners > owners[first][group])
+                if keep and not old.all():
+                    _write_run(path, bucket, each[~old], verify[~old])
+                ends = np.cumsum(sizes)
+                told = [(s, bucket, np.packbits(held[i:j]).tobytes()) for s, i, j in zip(shards, (ends - sizes).tolist(), ends.tolist(), strict=True) if held[i:j].any()]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*told, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "bucket", "held"])
+
+        answers = self._next("answers")
+        write_table(dealt(_sent(documents, self.width, self.buckets), "bucket", "shard").mapInArrow(merge, REPLY), answers)
+        if keep:
+            self.levels[0].append(path)
+            self.compact()
+        return self.spark.read.schema(REPLY).parquet(answers)
 
     def compact(self) -> None:
-        """Make one run of the next level from every ``fanout`` runs of a level."""
+        """Make one run of the next level from every ``fanout`` runs of a level, bucket by bucket."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                paths, self.levels[level] = self.levels[level], []
-                both = reduce(DataFrame.unionByName, [self.spark.read.schema(RUN).parquet(p) for p in paths])
-                write_table(dealt(both, "bucket").mapInArrow(_compacted, RUN), path := self._next("run"))
-                for p in paths:
+                old, self.levels[level] = self.levels[level], []
+                path = self._next("run")
+                make_folder(path)
+
+                def merge(batches, old=old, path=path) -> Iterator:
+                    for batch in batches:
+                        for bucket in batch.column(0).to_pylist():
+                            hashes, checks = (np.concatenate(x) for x in zip(*(_read_run(p, bucket) for p in old), strict=True))
+                            if len(hashes):
+                                order = np.lexsort((checks, hashes))
+                                _write_run(path, bucket, hashes[order], checks[order])
+                        yield batch
+
+                parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+                self.spark.range(0, self.buckets, 1, min(parts, self.buckets)).mapInArrow(merge, "id long").agg(F.count("*")).collect()
+                for p in old:
                     remove_folder(self.spark, p)
                 if level + 1 == len(self.levels):
                     self.levels.append([])
@@ -173,61 +196,41 @@ class FingerprintIndex:
         self.levels = [[]]
 
 
-def remove_covered(documents: DataFrame, replies: DataFrame, width: int) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) of documents (id, text, shard) by the answers to their shards."""
+def remove_covered(documents: DataFrame, answers: DataFrame, *, width: int, buckets: int) -> DataFrame:
+    """(id, n_words, n_removed, kept_text) of packed shards by the answers to them."""
 
     def keep(batches) -> Iterator:
         import pyarrow as pa
 
-        for _, parts in runs(batches, "shard"):
-            told: list[tuple] | None = []
-            hashes = checks = owners = None
-            for part in parts:
-                columns = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                kinds = columns["kind"].to_pylist()
-                n_told = kinds.count(0)
-                if n_told:
-                    told += zip(*(columns[n].slice(0, n_told).to_pylist() for n in ("hashes", "checks", "owners")), strict=True)
-                if n_told == len(kinds):
-                    continue
-                if hashes is None:
-                    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h, _, _ in told)])
-                    checks = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(c, np.uint32) for _, c, _ in told)])
-                    owners = np.concatenate([np.zeros(0, np.int64), *(unpack_ints(o) for _, _, o in told)])
-                    order = np.lexsort((owners, checks, hashes))
-                    hashes, checks, owners, told = hashes[order], checks[order], owners[order], None
-                ids = columns["id"].slice(n_told).to_pylist()
-                texts = columns["text"].slice(n_told).to_pylist()
-                words = [(t or "").encode().split() for t in texts]
-                h, c, text, at = _windows(words, width)
-                size = np.array([len(w) for w in words], np.int64)
-                id_of = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
-                gone = np.zeros(int(size.sum()) + 1, np.int64)
-                if len(hashes) and len(h):
-                    i = np.searchsorted(hashes, h)
-                    for _ in range(4):  # fingerprints of one hash stand side by side; more than a few don't occur
-                        j = np.minimum(i, len(hashes) - 1)
-                        i = np.where((hashes[j] == h) & (checks[j] != c), i + 1, i)
-                    j = np.minimum(i, len(hashes) - 1)
-                    hit = at[(hashes[j] == h) & (checks[j] == c) & (id_of[text] > owners[j])]
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + width, -1)
+        for batch in batches:
+            for ids, texts, told in zip(*batch.columns, strict=True):
+                ids, texts, told = ids.as_py(), texts.as_py(), told.as_py() or []
+                own = ShardWindows(ids, texts, width)
+                cut = bucket_bounds(own.hashes, buckets)
+                held = np.zeros(len(own.hashes), bool)
+                for answer in told:
+                    i, j = int(cut[answer["bucket"]]), int(cut[answer["bucket"] + 1])
+                    held[i:j] = np.unpackbits(np.frombuffer(answer["held"], np.uint8), count=j - i).astype(bool)
+                hit = own.at[held[own.entry] | (own.id_of > own.owner[own.entry])]
+                end = np.cumsum(own.size)
+                gone = np.zeros((int(end[-1]) if len(end) else 0) + 1, np.int64)
+                np.add.at(gone, hit, 1)
+                np.add.at(gone, hit + width, -1)
                 covered = np.cumsum(gone[:-1]) > 0
-                kept, removed, end = [], [], np.cumsum(size)
-                for w, a, b in zip(words, (end - size).tolist(), end.tolist(), strict=True):
+                kept, removed = [], []
+                for w, a, b in zip(own.words, (end - own.size).tolist(), end.tolist(), strict=True):
                     out = covered[a:b]
                     n = int(out.sum())
                     removed.append(n)
-                    kept.append(b" ".join(w if not n else [x for x, y in zip(w, out.tolist(), strict=True) if not y]).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+                    kept.append(b" ".join([x for x, y in zip(w, out.tolist(), strict=True) if not y] if n else w).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.size), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    none = F.lit(None)
-    asked = documents.select("shard", F.lit(1).alias("kind"), "id", "text", *(none.cast("binary").alias(n) for n in ("hashes", "checks", "owners")))
-    told = replies.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "hashes", "checks", "owners")
-    return dealt(told.unionByName(asked), "shard", "kind").mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
+    told = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "held")).alias("told"))
+    met = documents.join(told, "shard", "left").select("ids", "texts", "told")
+    return met.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 3, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word that is covered by a window of ``width`` words that also starts in a document of a smaller id.
 
     Words are maximal runs of other characters than the six blanks, unchanged; windows are judged on the input.
@@ -237,17 +240,19 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 3, fanou
 
     Null text has no words. A row with a null id is no source of windows and keeps its words. Repeated rows of one id
     are one document: they don't remove from each other, and each is answered. Other columns are ignored.
+
+    A fingerprint leaves a shard (2 MB of text) once, however often the shard has it, and its answer is a bit.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     cuts = sorted(set(rows.where(F.col("id").isNotNull()).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)))
     number = reduce(lambda a, b: a + b, [(F.col("id") > int(c)).cast("int") for c in cuts], F.lit(0))
     folder = new_folder(spark, "substring-dedup")
-    dealt_out = sharded(rows, batch=F.coalesce(number, F.lit(0))).sortWithinPartitions("batch", "shard")
-    write_table(dealt_out, f"{folder}/documents", "batch")
-    documents = spark.read.schema("id long, text string, shard long, batch int").parquet(f"{folder}/documents")
-    index = FingerprintIndex(spark, f"{folder}/index", width=width, buckets=bucket_count(docs), fanout=fanout)
-    replies = [index.ingest(documents.where(F.col("batch") == k)) for k in range(len(cuts) + 1)]
+    write_table(packed_shards(rows.withColumn("batch", F.coalesce(number, F.lit(0)))), f"{folder}/documents", "batch")
+    documents = spark.read.schema(SHARDS).parquet(f"{folder}/documents")
+    buckets = bucket_count(docs)
+    index = FingerprintIndex(spark, f"{folder}/index", width=width, buckets=buckets, fanout=fanout)
+    answers = [index.ingest(documents.where(F.col("batch") == k), keep=k < len(cuts)) for k in range(len(cuts) + 1)]
     index.drop()
-    found = remove_covered(documents, reduce(DataFrame.unionByName, replies), width)
+    found = remove_covered(documents, reduce(DataFrame.unionByName, answers), width=width, buckets=buckets)
     return found.withColumnRenamed("id", id_col)
