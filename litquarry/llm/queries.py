@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import sha256_hex
 from litquarry.llm.decontaminate import decontaminate
+from litquarry.llm.embedding_dedup import embedding_links
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.ngram_join import ngram_components
 from litquarry.llm.packing import pack_documents
@@ -69,6 +70,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     return found.select(
@@ -175,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
