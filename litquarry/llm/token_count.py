@@ -10,19 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.llm.tokens import CACHE_PIECES, LONG_PIECE, byte_pieces, slices
+from litquarry.llm.tokens import BYTE_SYMBOLS, CACHE_PIECES, LONG_PIECE, byte_pieces, slices
 
 #: The pattern by which byte-level tokenizers cut text before merging; blanks are Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b if b in own else next(rest)) for b in range(256)]
-
-
 class MergeCounter:
     """Counts tokens of byte-level BPE from a tokenizers file; no ids come out."""
 
@@ -34,7 +27,7 @@ class MergeCounter:
         model, before = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or before["type"] != "ByteLevel" or spec["normalizer"] or before["add_prefix_space"] or not before["use_regex"]:
             raise ValueError(f"{path} is no byte-level BPE tokenizer without normalizer")
-        number = {s: i for i, s in enumerate(byte_symbols())}
+        number = {s: i for i, s in enumerate(BYTE_SYMBOLS)}
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge

@@ -10,9 +10,11 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from contextlib import suppress
+from itertools import chain
 
 #: Pieces that a worker remembers; when there are more, it starts again. About 250 bytes each.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
 
@@ -20,6 +22,19 @@ _TWO_BLANKS = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
+#: A full stop or comma before a blank that follows no letter or digit, and so may be part of a longer token.
+_JOINED_STOP = re.compile(r"[\W_][.,][ \n]")
+#: Latin-1 letters before a run of ASCII marks without apostrophes: two tokens or more.
+_MARKED = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+
+def _stops_cut(text: str) -> str:
+    """Cut, by NUL, around full stops and commas that end words, so that a word is the same piece before one or not."""
+    if text[:1] in (".", ",") or _JOINED_STOP.search(text):
+        return text
+    return text.replace(". ", "\0. ").replace(", ", "\0, ").replace(".\n", "\0.\n").replace(",\n", "\0,\n")
+
+
 def byte_pieces(text: str) -> list[str]:
     """Cuts for byte-level BPE: before a single space or line feed between two other characters, and after such a line feed.
 
@@ -28,14 +43,32 @@ def byte_pieces(text: str) -> list[str]:
     """
     if "\0" in text or _TWO_BLANKS.search(text):
         return _CUTS.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return _stops_cut(text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def word_pieces(text: str) -> list[str]:
-    """Cuts for tokenizers that drop white space: at every space and line feed."""
+    """Cuts for tokenizers that lower case and drop white space: at every space and line feed.
+
+    Latin-1 text has nothing to compose, so that A-Z can be lowered first, unless that could spell a special token.
+    """
+    if "<|" not in text:
+        with suppress(UnicodeEncodeError):
+            text = text.encode("latin-1").lower().decode("latin-1")
+            if "\0" not in text:
+                return _stops_cut(text).replace("\n", "\0").replace(" ", "\0").split("\0")
     return text.replace("\n", " ").split(" ")
 
 
+def _symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+BYTE_SYMBOLS = _symbols()
+
+
 class PieceEncoder:
     """Little-endian 32-bit ids of texts, as bytes."""
 
@@ -44,6 +77,20 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.known = Tokenizer.from_file(path), cut, {"": b""}
+        self.words, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
+
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of one word of Latin-1 letters, led by a space or not: that is one merge unit, so the model alone sees it."""
+        word = piece[1:] if piece[0] == " " else piece
+        if not word.isalpha() or len(word) > LONG_PIECE or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        if self.lower:
+            piece = word.lower()
+        if piece.isascii():
+            piece = piece.replace(" ", BYTE_SYMBOLS[32])
+        else:
+            piece = "".join([BYTE_SYMBOLS[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.words.tokenize(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, known = self.cut, self.known
@@ -53,16 +100,23 @@ class PieceEncoder:
             known.clear()
             known[""] = b""
             new = list(set().union(*parts).difference(known))
-        # a full stop or comma after a letter is a token of its own, so that the word before it is looked up
-        marked = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha()]
-        plain = list({*new, *(p[:-1] for p in marked), ".", ","}.difference(marked, known))
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
+        marked = {p: m.groups() for p in new if "<|" not in p and (m := _MARKED.fullmatch(p))}
+        plain = list({*new, *chain.from_iterable(marked.values())}.difference(marked, known))
+        other = []
+        for p in plain:
+            ids = self._word(p)
+            if ids is None:
+                other.append(p)
+            else:
+                known[p] = ids
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[piece] = array("I", found.ids).tobytes()
-        for p in marked:
-            known[p] = known[p[:-1]] + known[p[-1]]
-        out = [b"".join([known[p] for p in x]) for x in parts]
+        for p, (word, marks) in marked.items():
+            known[p] = known[word] + known[marks]
+        get = known.__getitem__
+        out = [b"".join(map(get, x)) for x in parts]
         for p in {*new, *plain}:
             if len(p) > LONG_PIECE:
                 del known[p]
