@@ -25,7 +25,7 @@ STRIDE = 256
 TOP = 1024
 
 
-def repair(ids: np.ndarray, vocab: int, *, most_rules: int, rounds: int = 10, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, vocab: int, *, most_rules: int, rounds: int = 6, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a grammar for ``ids``; rule r stands for symbol ``vocab + r`` and has two symbols.
 
     Each round counts all pairs of the most frequent symbols exactly, takes pairs from the most frequent one down
