@@ -17,128 +17,128 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import new_folder, remove_folder, write_table, written
 from litquarry.llm.components import connected_components
-from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, runs, unpack_ints, window_hashes, word_hashes
+from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, window_hashes, word_hashes
 
 #: Parts of the hash space by which the suffixes of two sets are held against each other.
 CELLS = 16
-
-
-def shingle_sets(docs: DataFrame, *, words: int = 5) -> DataFrame:
-    """(id, n, digest, hashes) of rows (id, text): distinct shingle hashes in order, and a digest that equal sets share."""
-
-    def sets(batches) -> Iterator:
+SHARDS = "shard long, ids array<long>, texts array<string>"
+FOUND = "kind int, id long, n long, alone long, hashes binary, token long, at long, cells array<int>"
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted; words have A-Z in lower case."""
+    found = [(t or "").encode().lower().split() for t in texts]
+    flat = word_hashes([w for x in found for w in x])
+    every = window_hashes(flat, words)
+    sets, at = [], 0
+    for x in found:
+        n = len(x)
+        if n >= words:
+            sets.append(np.unique(every[at : at + n - words + 1]))
+        else:
+            sets.append(window_hashes(flat[at : at + n], n) if n else np.zeros(0, np.uint64))
+        at += n
+    return sets
+
+
+def set_digests(shards: DataFrame, *, words: int = 5) -> DataFrame:
+    """(id, n, digest, shard, place) of packed texts: the number of shingles, and a digest that equal sets share."""
+
+    def digests(batches) -> Iterator:
         import hashlib
 
         import pyarrow as pa
 
         for batch in batches:
-            size, digest, blob = [], [], []
-            for text in batch.column(1):
-                found = word_hashes((text.as_py() or "").encode().lower().split())
-                own = np.unique(window_hashes(found, min(words, len(found)))) if len(found) else np.zeros(0, np.uint64)
-                data = own.tobytes()
-                size.append(len(own))
-                digest.append(hashlib.blake2b(data, digest_size=16).digest())
-                blob.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], names=["id", "n", "digest", "hashes"])
+            for shard, ids, texts in zip(*batch.columns, strict=True):
+                sets = shingle_sets(texts.as_py(), words)
+                columns = [ids.values.cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([shard.as_py()] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "shard", "place"])
 
-    return docs.mapInArrow(sets, "id long, n long, digest binary, hashes binary")
+    return shards.select("shard", "ids", "texts").mapInArrow(digests, "id long, n long, digest binary, shard long, place int")
 
 
-def _numbered(sets: DataFrame, shard_bytes: int) -> DataFrame:
-    """Sets (id, n, hashes) with the number of a shard of about ``shard_bytes`` of hashes."""
+def keep_places(shards: DataFrame, kept: DataFrame) -> DataFrame:
+    """Packed texts of the kept (shard, place) alone."""
 
-    def number(batches) -> Iterator:
+    def keep(batches) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        sofar, part = 0, TaskContext.get().partitionId()
-        for b in batches:
-            size = b.column(1).to_numpy(zero_copy_only=False) * 8
-            end = np.cumsum(size) + sofar
-            shard = (part << 24) + (end - size) // shard_bytes
-            sofar = int(end[-1]) if len(end) else sofar
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int64())], names=["id", "n", "hashes", "shard"])
+        for batch in batches:
+            for shard, ids, texts, places in zip(*batch.columns, strict=True):
+                at = pa.array(sorted(places.as_py()), pa.int64())
+                columns = [pa.array([shard.as_py()], pa.int64()), pa.array([ids.values.take(at).to_pylist()], pa.list_(pa.int64())), pa.array([texts.values.take(at).to_pylist()], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "ids", "texts"])
 
-    return sets.select("id", "n", "hashes").mapInArrow(number, "id long, n long, hashes binary, shard long")
+    places = kept.groupBy("shard").agg(F.collect_list("place").alias("places"))
+    return shards.join(places, "shard").select("shard", "ids", "texts", "places").mapInArrow(keep, SHARDS)
 
 
-def _document_frequencies(sets: DataFrame) -> DataFrame:
-    """(shard, hashes, counts): for each shard its shingles that two sets or more have, and how many do."""
-    buckets = bucket_count(sets)
+def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(shard, bucket, shared, counts): which of the shingles that a shard sent two sets or more have, and how many do."""
 
     def send(batches) -> Iterator:
         import pyarrow as pa
 
-        for shard, parts in runs(batches, "shard"):
-            blobs = [x for p in parts for x in p.column(0).to_pylist()]
-            hashes, counts = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
-            cut = bucket_bounds(hashes, buckets)
-            rows = [(b, shard, hashes[i:j].tobytes(), pack_ints(counts[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "counts"])
+        for batch in batches:
+            for shard, texts in zip(*batch.columns, strict=True):
+                hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts.as_py(), words)]), return_counts=True)
+                cut = bucket_bounds(hashes, buckets)
+                rows = [(b, shard.as_py(), hashes[i:j].tobytes(), pack_ints(counts[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "counts"])
 
     def count(batches) -> Iterator:
         import pyarrow as pa
 
-        for _, parts in runs(batches, "bucket"):
+        for bucket, parts in runs(batches, "bucket"):
             shards, hashes, counts = [], [], []
             for p in parts:
                 shards += p.column(1).to_pylist()
                 hashes += [np.frombuffer(x, np.uint64) for x in p.column(2).to_pylist()]
                 counts += [unpack_ints(x) for x in p.column(3).to_pylist()]
             each, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.zeros(len(each), np.int64)
-            np.add.at(total, where, np.concatenate(counts))
+            total = np.bincount(where, np.concatenate(counts)).astype(np.int64)
             rows, at = [], 0
             for shard, h in zip(shards, hashes, strict=True):
                 own = total[where[at : at + len(h)]]
                 at += len(h)
                 told = own >= 2
                 if told.any():
-                    rows.append((shard, h[told].tobytes(), pack_ints(own[told])))
+                    rows.append((shard, bucket, np.packbits(told).tobytes(), pack_ints(own[told])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "bucket", "shared", "counts"])
 
-    sent = sets.select("hashes", "shard").mapInArrow(send, "bucket int, shard long, hashes binary, counts binary")
-    return dealt(sent, "bucket").mapInArrow(count, "shard long, hashes binary, counts binary")
+    sent = shards.select("shard", "texts").mapInArrow(send, "bucket int, shard long, hashes binary, counts binary")
+    return dealt(sent, "bucket").mapInArrow(count, "shard long, bucket int, shared binary, counts binary")
 
 
-def _prefixes(sets: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+def _prefixes(shards: DataFrame, told: DataFrame, words: int, buckets: int, percent: int) -> DataFrame:
     """Of each set that can have a partner: its shared shingles (kind 0), and a row for each joinable prefix shingle (kind 1).
 
     A prefix row has the shingle's place in the set's order, the number of shingles that the set alone has, and how
     many of the shared ones after it lie in each cell.
     """
-    kinds = "kind int, id long, n long, alone long, hashes binary, token long, at long, cells array<int>"
 
     def cut(batches) -> Iterator:
         import pyarrow as pa
 
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        names = [k.split(" ")[0] for k in kinds.split(", ")]
-        for _, parts in runs(batches, "shard"):
-            known: list[tuple] = []
-            shared = counts = None
-            for part in parts:
-                columns = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
-                n_told = columns["kind"].count(0)
-                known += zip(columns["hashes"][:n_told], columns["counts"][:n_told], strict=True)
-                if n_told == part.num_rows:
-                    continue
-                if shared is None:
-                    shared = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h, _ in known)])
-                    counts = np.concatenate([np.zeros(0, np.int64), *(unpack_ints(c) for _, c in known)])
-                    shared, first = np.unique(shared, return_index=True)
-                    counts = counts[first]
+        names = [k.split(" ")[0] for k in FOUND.split(", ")]
+        for batch in batches:
+            for ids, texts, answers in zip(*batch.columns, strict=True):
+                sets = shingle_sets(texts.as_py(), words)
+                entries = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
+                bounds = bucket_bounds(entries, buckets)
+                counts = np.ones(len(entries), np.int64)
+                for answer in answers.as_py() or []:
+                    i, j = int(bounds[answer["bucket"]]), int(bounds[answer["bucket"] + 1])
+                    shared = np.unpackbits(np.frombuffer(answer["shared"], np.uint8), count=j - i).astype(bool)
+                    counts[i:j][shared] = unpack_ints(answer["counts"])
                 rows = []
-                for i, n, data in zip(*(columns[k][n_told:] for k in ("id", "n", "hashes")), strict=True):
-                    own = np.frombuffer(data, np.uint64)
-                    if not len(shared):
-                        continue
-                    at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                    hit = shared[at] == own
-                    own, df = own[hit], counts[at[hit]]
+                for i, own in zip(ids.as_py(), sets, strict=True):
+                    n, df = len(own), counts[np.searchsorted(entries, own)]
+                    own, df = own[df >= 2], df[df >= 2]
                     need = -(-percent * n // 100)
                     alone = n - len(own)
                     joined = n - need + 1 - alone
@@ -148,16 +148,14 @@ def _prefixes(sets: DataFrame, told: DataFrame, percent: int) -> DataFrame:
                     order = np.lexsort((own, df))
                     cells = (own[order] >> np.uint64(60)).astype(np.int64)
                     left = np.bincount(cells, minlength=CELLS)
-                    for k in range(joined):
+                    for k in range(min(joined, len(own))):
                         left[cells[k]] -= 1
                         rows.append((1, i, n, alone, None, int(own[order[k]].view(np.int64)), alone + k, left.tolist()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    none = F.lit(None)
-    answers = told.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("long").alias("n"), "hashes", "counts")
-    asked = sets.select("shard", F.lit(1).alias("kind"), "id", "n", "hashes", none.cast("binary").alias("counts"))
-    return dealt(answers.unionByName(asked), "shard", "kind").mapInArrow(cut, kinds)
+    answers = told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "counts")).alias("answers"))
+    return shards.join(answers, "shard").select("ids", "texts", "answers").mapInArrow(cut, FOUND)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -188,14 +186,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "n1", "n2", "h1", "h2").mapInArrow(check, "a long, b long")
 
 
-def similar_sets(sets: DataFrame, *, percent: int = 80, shard_bytes: int = 2 << 20) -> DataFrame:
-    """(node, root) of the components of written sets (id, n, hashes), one row a class, that link with another."""
-    folder = new_folder(sets.sparkSession, "ngram-join")
-    spark = sets.sparkSession
-    told = written(_document_frequencies(sets), "frequencies")
-    write_table(_prefixes(sets, told, percent), folder, "kind")
-    schema = "kind int, id long, n long, alone long, hashes binary, token long, at long, cells array<int>"
-    found = spark.read.schema(schema).parquet(folder)
+def similar_sets(shards: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """(node, root) of the components of packed texts (shard, ids, texts; written, one text a class) that link with another."""
+    spark, folder, buckets = shards.sparkSession, new_folder(shards.sparkSession, "ngram-join"), bucket_count(shards)
+    told = written(_document_frequencies(shards, words, buckets), "frequencies")
+    write_table(_prefixes(shards, told, words, buckets, percent), folder, "kind")
+    found = spark.read.schema(FOUND).parquet(folder)
     shared = found.where("kind = 0").select("id", "n", "hashes")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     prefix = found.where("kind = 1").select("token", size_class.alias("class"), "id", "n", "alone", "at", *(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(CELLS)))
@@ -237,17 +233,16 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_c
     rows that repeat an id are each answered, as parts of one node. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    folder = new_folder(spark, "shingle-sets")
-    write_table(shingle_sets(rows, words=words).withColumn("row", F.monotonically_increasing_id()), folder)
-    sets = spark.read.schema("id long, n long, digest binary, hashes binary, row long").parquet(folder)
-    own = written(sets.select("id", "n", "digest"), "set-members")
-    first = sets.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("x"))
-    classes = written(first.select("digest", F.col("x.id").alias("rep"), "x.row"), "classes")
-    reps = sets.join(classes.select("row"), "row", "left_semi")
-    numbered = written(_numbered(reps, shard_bytes), "class-sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("batch"))
+    folder = new_folder(spark, "shingle-texts")
+    write_table(packed_shards(rows, shard_bytes=shard_bytes).drop("batch"), folder)
+    shards = spark.read.schema(SHARDS).parquet(folder)
+    members = written(set_digests(shards, words=words), "set-members")
+    first = members.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "shard", "place")).alias("x"))
+    classes = written(first.select("digest", F.col("x.id").alias("rep"), "x.shard", "x.place"), "classes")
+    distinct = written(keep_places(shards, classes), "class-texts")
     remove_folder(spark, folder)
-    roots = similar_sets(numbered, percent=percent, shard_bytes=shard_bytes)
+    roots = similar_sets(distinct, words=words, percent=percent)
     place = written(classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "class-roots")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
-    return own.join(place, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return members.join(place, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
