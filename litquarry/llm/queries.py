@@ -16,6 +16,7 @@ from litquarry.llm.packing import pack_documents
 from litquarry.llm.substring_dedup import substring_dedup
 from litquarry.llm.token_count import token_counts
 from litquarry.llm.token_output import token_output
+from litquarry.llm.toxicity import toxicity
 from litquarry.llm.warc import warc_round_trip
 
 
@@ -70,6 +71,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.95)
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -181,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
