@@ -12,13 +12,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: bool = False) -> DataFrame:
     """Drop repeated lines of ``docs``, all but those of the smallest document that holds them.
 
     A line's key is the line without blanks at both ends and with A-Z in lower case. Keys of at least
     ``min_chars`` code points that are found in ``min_docs`` distinct ids or more lose all their lines
     except in the smallest id. Returns one row per input row: the id, ``n_lines`` (before), ``n_dropped``
-    and ``kept_text`` (the other lines, joined by a line feed).
+    and ``kept_text`` (the other lines, joined by a line feed); with ``carry`` also ``row``, a struct of all input columns.
 
     Null or empty text is one empty line. A row with a null id counts for no key and keeps all its lines.
     Repeated rows of one id are one document for the count, and each is answered. Other columns are ignored.
@@ -27,10 +27,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     is an equi-join that adaptive execution may split; documents are joined on their own unique key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text).alias("body_hash"))
+    source = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text).alias("body_hash"), *source)
     key = F.btrim(F.col("line"), F.lit(BLANKS))
     lines = (
         rows.where(F.col("id").isNotNull())
+        .drop("row")
         .select("id", "body_hash", F.posexplode(_lines(ascii_lower(F.col("body")))).alias("at", "line"))
         .withColumn("line", key)
         .where(F.char_length("line") >= min_chars)
@@ -58,5 +60,6 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             F.col("n_lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("drops").isNull(), F.col("body")).otherwise(kept).alias("kept_text"),
+            *(["row"] if carry else []),
         )
     )
