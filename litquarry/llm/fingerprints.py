@@ -127,8 +127,26 @@ def runs(batches, key: str) -> Iterator[tuple[object, Iterator]]:
             pass
 
 
+def pack_texts(ids: list[int | None], texts: list[str | None]) -> bytes:
+    """Ids and texts as one compressed Arrow stream: what a shard of documents is kept and shuffled as."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_texts(data: bytes) -> tuple[list[int | None], list[str | None]]:
+    import pyarrow as pa
+
+    table = pa.ipc.open_stream(data).read_all()
+    return table.column("id").to_pylist(), table.column("text").to_pylist()
+
+
 def packed_shards(docs: DataFrame, *, shard_bytes: int = 2 << 20) -> DataFrame:
-    """(batch, shard, ids, texts): rows (id, text, batch) packed into one row for about ``shard_bytes`` of text of a batch.
+    """(batch, shard, packed): rows (id, text, batch) packed into one row for about ``shard_bytes`` of text of a batch.
 
     A longer text is the last of its shard. As a row, a shard is never split between tasks.
     """
@@ -144,8 +162,8 @@ def packed_shards(docs: DataFrame, *, shard_bytes: int = 2 << 20) -> DataFrame:
             nonlocal n
             ids, texts, _ = held.pop(k)
             n += 1
-            columns = [pa.array([k], pa.int32()), pa.array([part + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["batch", "shard", "ids", "texts"])
+            columns = [pa.array([k], pa.int32()), pa.array([part + n], pa.int64()), pa.array([pack_texts(ids, texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "shard", "packed"])
 
         for b in batches:
             for i, text, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -159,4 +177,4 @@ def packed_shards(docs: DataFrame, *, shard_bytes: int = 2 << 20) -> DataFrame:
         for k in list(held):
             yield close(k)
 
-    return docs.select("id", "text", "batch").mapInArrow(pack, "batch int, shard long, ids array<long>, texts array<string>")
+    return docs.select("id", "text", "batch").mapInArrow(pack, "batch int, shard long, packed binary")

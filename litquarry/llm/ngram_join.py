@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import new_folder, remove_folder, write_table, written
 from litquarry.llm.components import connected_components
-from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, window_hashes, word_hashes
+from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, pack_texts, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
 #: Parts of the hash space by which the suffixes of two sets are held against each other.
 CELLS = 16
-SHARDS = "shard long, ids array<long>, texts array<string>"
-FOUND = "kind int, id long, n long, alone long, hashes binary, token long, at long, cells array<int>"
+#: Cells are 16 bits wide, four in a long; larger sets have full cells, which rule nothing out.
+MOST_CELL = (1 << 16) - 1
+SHARDS = "shard long, packed binary"
+FOUND = "kind int, id long, n long, alone long, hashes binary, token long, at long, cells array<long>"
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -50,12 +52,13 @@ def set_digests(shards: DataFrame, *, words: int = 5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for shard, ids, texts in zip(*batch.columns, strict=True):
-                sets = shingle_sets(texts.as_py(), words)
-                columns = [ids.values.cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([shard.as_py()] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32())]
+            for shard, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, texts = unpack_texts(packed)
+                sets = shingle_sets(texts, words)
+                columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([shard] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "shard", "place"])
 
-    return shards.select("shard", "ids", "texts").mapInArrow(digests, "id long, n long, digest binary, shard long, place int")
+    return shards.select("shard", "packed").mapInArrow(digests, "id long, n long, digest binary, shard long, place int")
 
 
 def keep_places(shards: DataFrame, kept: DataFrame) -> DataFrame:
@@ -65,13 +68,13 @@ def keep_places(shards: DataFrame, kept: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for shard, ids, texts, places in zip(*batch.columns, strict=True):
-                at = pa.array(sorted(places.as_py()), pa.int64())
-                columns = [pa.array([shard.as_py()], pa.int64()), pa.array([ids.values.take(at).to_pylist()], pa.list_(pa.int64())), pa.array([texts.values.take(at).to_pylist()], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "ids", "texts"])
+            for shard, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, texts = unpack_texts(packed)
+                data = pack_texts([ids[k] for k in places], [texts[k] for k in places])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "packed"])
 
     places = kept.groupBy("shard").agg(F.collect_list("place").alias("places"))
-    return shards.join(places, "shard").select("shard", "ids", "texts", "places").mapInArrow(keep, SHARDS)
+    return shards.join(places.hint("merge"), "shard").select("shard", "packed", "places").mapInArrow(keep, SHARDS)
 
 
 def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -81,10 +84,10 @@ def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            for shard, texts in zip(*batch.columns, strict=True):
-                hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts.as_py(), words)]), return_counts=True)
+            for shard, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(unpack_texts(packed)[1], words)]), return_counts=True)
                 cut = bucket_bounds(hashes, buckets)
-                rows = [(b, shard.as_py(), hashes[i:j].tobytes(), pack_ints(counts[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                rows = [(b, shard, hashes[i:j].tobytes(), pack_ints(counts[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "counts"])
 
@@ -109,7 +112,7 @@ def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "bucket", "shared", "counts"])
 
-    sent = shards.select("shard", "texts").mapInArrow(send, "bucket int, shard long, hashes binary, counts binary")
+    sent = shards.select("shard", "packed").mapInArrow(send, "bucket int, shard long, hashes binary, counts binary")
     return dealt(sent, "bucket").mapInArrow(count, "shard long, bucket int, shared binary, counts binary")
 
 
@@ -123,21 +126,23 @@ def _prefixes(shards: DataFrame, told: DataFrame, words: int, buckets: int, perc
     def cut(batches) -> Iterator:
         import pyarrow as pa
 
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         names = [k.split(" ")[0] for k in FOUND.split(", ")]
         for batch in batches:
-            for ids, texts, answers in zip(*batch.columns, strict=True):
-                sets = shingle_sets(texts.as_py(), words)
-                entries = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
+            for packed, answers in zip(*batch.columns, strict=True):
+                ids, texts = unpack_texts(packed.as_py())
+                sets = shingle_sets(texts, words)
+                entries, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
                 bounds = bucket_bounds(entries, buckets)
                 counts = np.ones(len(entries), np.int64)
                 for answer in answers.as_py() or []:
                     i, j = int(bounds[answer["bucket"]]), int(bounds[answer["bucket"] + 1])
                     shared = np.unpackbits(np.frombuffer(answer["shared"], np.uint8), count=j - i).astype(bool)
                     counts[i:j][shared] = unpack_ints(answer["counts"])
-                rows = []
-                for i, own in zip(ids.as_py(), sets, strict=True):
-                    n, df = len(own), counts[np.searchsorted(entries, own)]
+                rows, dfs, end = [], counts[where], 0
+                for i, own in zip(ids, sets, strict=True):
+                    n, df = len(own), dfs[end : end + len(own)]
+                    end += n
                     own, df = own[df >= 2], df[df >= 2]
                     need = -(-percent * n // 100)
                     alone = n - len(own)
@@ -148,24 +153,27 @@ def _prefixes(shards: DataFrame, told: DataFrame, words: int, buckets: int, perc
                     order = np.lexsort((own, df))
                     cells = (own[order] >> np.uint64(60)).astype(np.int64)
                     left = np.bincount(cells, minlength=CELLS)
+                    tokens = own[order].view(np.int64)
                     for k in range(min(joined, len(own))):
                         left[cells[k]] -= 1
-                        rows.append((1, i, n, alone, None, int(own[order[k]].view(np.int64)), alone + k, left.tolist()))
+                        rows.append((1, i, n, alone, None, int(tokens[k]), alone + k, left.astype("<u2").view("<i8").tolist() if n <= MOST_CELL else [-1] * (CELLS // 4)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     answers = told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "counts")).alias("answers"))
-    return shards.join(answers, "shard").select("ids", "texts", "answers").mapInArrow(cut, FOUND)
+    return shards.join(answers.hint("merge"), "shard").select("packed", "answers").mapInArrow(cut, FOUND)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Length filter, and at the first shared prefix shingle: the shared ones after it, cell by cell, must suffice."""
     c = lambda side, name: F.col(f"{side}.{name}")
     sizes = c(x, "n") + c(y, "n")
-    after = reduce(lambda a, b: a + b, [F.least(c(x, f"c{k}"), c(y, f"c{k}")) for k in range(CELLS)])
+    cell = lambda side, k: F.shiftrightunsigned(c(side, f"c{k // 4}"), 16 * (k % 4)).bitwiseAND(MOST_CELL)
+    after = reduce(lambda a, b: a + b, [F.least(cell(x, k), cell(y, k)) for k in range(CELLS)])
+    large = F.least(c(x, "n"), c(y, "n")) > MOST_CELL
     place = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
     enough = lambda overlap: overlap * (100 + percent) >= sizes * percent
-    return (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & enough(place) & enough(after + 1)
+    return (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & enough(place) & (large | enough(after + 1))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,17 +195,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_sets(shards: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """(node, root) of the components of packed texts (shard, ids, texts; written, one text a class) that link with another."""
+    """(node, root) of the components of packed texts (shard, packed; written, one text a class) that link with another."""
     spark, folder, buckets = shards.sparkSession, new_folder(shards.sparkSession, "ngram-join"), bucket_count(shards)
     told = written(_document_frequencies(shards, words, buckets), "frequencies")
     write_table(_prefixes(shards, told, words, buckets, percent), folder, "kind")
     found = spark.read.schema(FOUND).parquet(folder)
     shared = found.where("kind = 0").select("id", "n", "hashes")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    prefix = found.where("kind = 1").select("token", size_class.alias("class"), "id", "n", "alone", "at", *(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(CELLS)))
+    prefix = found.where("kind = 1").select("token", size_class.alias("class"), "id", "n", "alone", "at", *(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(CELLS // 4)))
 
     # each class of a prefix shingle meets the most central one: the one with the fewest shingles of its own
-    what = F.struct("alone", "id", "n", "at", *(f"c{k}" for k in range(CELLS)))
+    what = F.struct("alone", "id", "n", "at", *(f"c{k}" for k in range(CELLS // 4)))
     central = prefix.groupBy("token", "class").agg(F.min(what).alias("x"), F.count("*").alias("size")).where("size > 1")
     central = written(central.select("token", "class", "x.*"), "central")
     pair = lambda: (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

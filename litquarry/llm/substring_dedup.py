@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import new_folder, remove_folder, write_table
 from litquarry.llm.files import input_stream, make_folder, output
-from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, window_hashes, word_hashes
+from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
-SHARDS = "batch int, shard long, ids array<long>, texts array<string>"
+SHARDS = "batch int, shard long, packed binary"
 REPLY = "shard long, bucket int, held binary"
 
 
@@ -58,14 +58,14 @@ def _sent(documents: DataFrame, width: int, buckets: int) -> DataFrame:
 
         kinds = {"bucket": pa.int32(), "shard": pa.int64(), "hashes": pa.binary(), "checks": pa.binary(), "owners": pa.binary()}
         for batch in batches:
-            for shard, ids, texts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                own = ShardWindows(ids.as_py(), texts.as_py(), width)
+            for shard, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = ShardWindows(*unpack_texts(packed), width)
                 cut = bucket_bounds(own.hashes, buckets)
-                rows = [(b, shard.as_py(), own.hashes[i:j].tobytes(), own.checks[i:j].tobytes(), pack_ints(own.owner[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                rows = [(b, shard, own.hashes[i:j].tobytes(), own.checks[i:j].tobytes(), pack_ints(own.owner[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return documents.select("shard", "ids", "texts").mapInArrow(send, "bucket int, shard long, hashes binary, checks binary, owners binary")
+    return documents.select("shard", "packed").mapInArrow(send, "bucket int, shard long, hashes binary, checks binary, owners binary")
 
 
 def _read_run(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +203,9 @@ def remove_covered(documents: DataFrame, answers: DataFrame, *, width: int, buck
         import pyarrow as pa
 
         for batch in batches:
-            for ids, texts, told in zip(*batch.columns, strict=True):
-                ids, texts, told = ids.as_py(), texts.as_py(), told.as_py() or []
+            for packed, told in zip(*batch.columns, strict=True):
+                ids, texts = unpack_texts(packed.as_py())
+                told = told.as_py() or []
                 own = ShardWindows(ids, texts, width)
                 cut = bucket_bounds(own.hashes, buckets)
                 held = np.zeros(len(own.hashes), bool)
@@ -226,11 +227,11 @@ def remove_covered(documents: DataFrame, answers: DataFrame, *, width: int, buck
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.size), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
     told = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "held")).alias("told"))
-    met = documents.join(told, "shard", "left").select("ids", "texts", "told")
+    met = documents.join(told, "shard", "left").select("packed", "told")
     return met.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word that is covered by a window of ``width`` words that also starts in a document of a smaller id.
 
     Words are maximal runs of other characters than the six blanks, unchanged; windows are judged on the input.
@@ -245,7 +246,8 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanou
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cuts = sorted(set(rows.where(F.col("id").isNotNull()).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("id", shares, 1000)).first()[0] or [])) if shares else []
     number = reduce(lambda a, b: a + b, [(F.col("id") > int(c)).cast("int") for c in cuts], F.lit(0))
     folder = new_folder(spark, "substring-dedup")
     write_table(packed_shards(rows.withColumn("batch", F.coalesce(number, F.lit(0)))), f"{folder}/documents", "batch")
