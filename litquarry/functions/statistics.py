@@ -48,3 +48,15 @@ def kappa_band(kappa: Column) -> Column:
         F.when(kappa.isNull(), F.lit(None)).when(kappa < 0, "poor").when(kappa <= 0.2, "slight").when(kappa <= 0.4, "fair")
         .when(kappa <= 0.6, "moderate").when(kappa <= 0.8, "substantial").otherwise("almost perfect")
     )
+
+
+def same_within(a: Column, b: Column, tolerance: float = 1e-3) -> Column:
+    """Two arrays of numbers are equal in sorted order, each within the tolerance; null agrees with null only."""
+    x, y = F.array_sort(a), F.array_sort(b)
+    close = F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) <= tolerance, F.lit(False))), lambda ok: ok)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((F.size(a) == F.size(b)) & close)
+
+
+def histogram_bin(x: Column, bins: int = 5) -> Column:
+    """The bin of a share among equal ones from 0 to 1, the last closed; a rounding guard keeps edges in the upper bin."""
+    return F.least(F.floor(F.round(x * bins, 9)), F.lit(bins - 1)).cast("int")
