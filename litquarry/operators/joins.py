@@ -40,9 +40,9 @@ def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], id_co
     return rows.join(per_row, id_col)
 
 
-def resolve_unique(names: DataFrame, catalog: DataFrame, *, name_col: str, code_col: str) -> DataFrame:
+def resolve_unique(names: DataFrame, catalog: DataFrame, *, name_col: str, catalog_col: str, code_col: str) -> DataFrame:
     """Look names up without regard to case: one hit is lookup-unique, none lookup-none, more are ambiguous."""
-    hits = catalog.groupBy(F.upper(name_col).alias("_key")).agg(F.countDistinct(code_col).alias("_n"), F.min(code_col).alias("_code"))
+    hits = catalog.groupBy(F.upper(catalog_col).alias("_key")).agg(F.countDistinct(code_col).alias("_n"), F.min(code_col).alias("_code"))
     met = names.join(hits, F.upper(names[name_col]) == F.col("_key"), "left")
     how = F.when(F.col("_n").isNull(), "lookup-none").when(F.col("_n") == 1, "lookup-unique").otherwise("ambiguous")
     return met.withColumn("resolution", how).withColumn("code", F.when(F.col("_n") == 1, F.col("_code"))).drop("_key", "_n", "_code")
