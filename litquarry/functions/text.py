@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Typographic characters and what searches see in their place.
 DASHES = "‐‑‒–—―−"
@@ -20,7 +21,7 @@ def percent_encode(text: Column) -> Column:
     return encoded
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD")
 
