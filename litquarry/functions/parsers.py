@@ -28,7 +28,7 @@ def says_unknown(text: Column) -> Column:
 
 def cadence_list(text: Column) -> Column:
     """Comma-separated durations; NONE is null."""
-    return F.when(F.upper(F.trim(text)) != "NONE", F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.when(F.upper(F.trim(text)) != "NONE", F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def candidate(text: Column, candidates: Column) -> Column:
@@ -70,7 +70,7 @@ def wavelengths(text: Column) -> Column:
     unit = F.lower(F.regexp_extract(text, r"(?i)(angstrom|nm|um|mm|cm|m)\s*$", 1))
     scale = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[F.nullif(unit, F.lit(""))]
     body = F.regexp_replace(text, r"(?i)\s*(angstrom|nm|um|mm|cm|m)\s*$", "")
-    parts = F.transform(F.split(body, ","), F.trim)
+    parts = F.transform(F.split(body, ","), lambda x: F.trim(x))
     fits = F.forall(parts, lambda x: x.rlike(rf"^{_NUMBER}(?:\s*-\s*{_NUMBER})?$"))
     number = lambda x, k: F.split(x, r"\s*-\s*")[k].cast("double") * scale
     both = lambda x: F.struct(number(x, 0).alias("min"), F.when(x.contains("-"), F.get(F.split(x, r"\s*-\s*"), F.lit(1)).cast("double") * scale).otherwise(number(x, 0)).alias("max"))
