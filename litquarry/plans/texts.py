@@ -15,11 +15,17 @@ STOP = ["that", "this", "with", "thon", "esen", "hein"]
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS plain FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def f1_normalize_ascii(read):
-    """The ASCII rows, which SQL can say too; tests hold other rows against Python."""
+    """The ASCII rows of f1_normalize_text, which SQL can say too."""
     docs = read("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     return docs.select("doc_id", text.normalize_text(F.col("text")).alias("plain"))
 
 
+@query()
+def f1_normalize_text(read):
+    """Every document, null texts too; NFKD is not in SQL, so tests hold rows of all kinds against Python's unicodedata."""
+    return read("documents").select("doc_id", text.normalize_text(F.col("text")).alias("plain"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[0-9a-z]+')) AS n_tokens FROM documents")
 def f3_tokens(read):
     return read("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
