@@ -109,7 +109,7 @@ def l2_exact_quote(read):
 
 @query()
 def l6_fuzzy_quote(read):
-    """Best near occurrence of each quote in its likeliest documents; rows only, tests hold it against a direct search."""
+    """Best near occurrence of each quote in every document that has one; rows only, tests hold it against a direct search."""
     return locate.fuzzy(read("benchmark").select("item_id", "text"), read("documents").select("doc_id", "text"), quote_id="item_id", doc_id="doc_id")
 
 
