@@ -407,11 +407,22 @@ def a38_vector_mean(read):
     "usages",
 )
 def a39_grouped_quotes(read):
+    """The first observatories, each group in one row; a39_quotes_by_paper has all of them without arrays."""
     parameter = F.when(F.col("status") == "pending", "general_comments").otherwise(F.col("status"))
     per = usages(read).where("observatory_id < 10").groupBy("observatory_id", parameter.alias("parameter")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("paper_id")).alias("of"))
     return per.select("observatory_id", "parameter", "n", F.array_join(F.transform("of", lambda x: x.cast("string")), ",").alias("papers"))
 
 
+@query(
+    """SELECT observatory_id, CASE WHEN status = 'pending' THEN 'general_comments' ELSE status END AS parameter, paper_id, count(*) AS n FROM usages GROUP BY 1, 2, 3""",
+    "usages",
+)
+def a39_quotes_by_paper(read):
+    """One row a paper in each group: a group's rows are spread, however many it has."""
+    parameter = F.when(F.col("status") == "pending", "general_comments").otherwise(F.col("status"))
+    return usages(read).groupBy("observatory_id", parameter.alias("parameter"), "paper_id").agg(F.count("*").alias("n"))
+
+
 # --- compositions ------------------------------------------------------------------------------------------------
 
 

@@ -211,8 +211,22 @@ def x1_cosine(read):
     "usages",
 )
 def x7_jaccard_both_empty(read):
-    of = lambda k: F.array_distinct(F.array_agg(F.when(F.col("status") == k, F.col("instrument_id"))))
-    sets = usages(read).where("paper_id < 2000").groupBy("paper_id").agg(F.array_compact(of("approved")).alias("a"), F.array_compact(of("rejected")).alias("b"))
+    """The first papers of x7_jaccard_every_paper."""
+    return _status_jaccard(usages(read).where("paper_id < 2000"))
+
+
+@query(
+    """, sets AS (SELECT paper_id, list(DISTINCT instrument_id) FILTER (status = 'approved') AS a, list(DISTINCT instrument_id) FILTER (status = 'rejected') AS b FROM usages GROUP BY 1)
+    SELECT paper_id, round(CASE WHEN a IS NULL AND b IS NULL THEN 1.0 ELSE len(list_intersect(coalesce(a, []), coalesce(b, []))) / len(list_distinct(list_concat(coalesce(a, []), coalesce(b, []))))::DOUBLE END, 6) AS jaccard FROM sets""",
+    "usages",
+)
+def x7_jaccard_every_paper(read):
+    return _status_jaccard(usages(read))
+
+
+def _status_jaccard(rows):
+    of = lambda k: F.collect_set(F.when(F.col("status") == k, F.col("instrument_id")))
+    sets = rows.groupBy("paper_id").agg(of("approved").alias("a"), of("rejected").alias("b"))
     return sets.select("paper_id", F.round(s.set_metrics(F.col("a"), F.col("b"), both_empty=1.0)["jaccard"], 6).alias("jaccard"))
 
 

@@ -403,10 +403,22 @@ def j14_staged_resolution(read):
     "instruments",
 )
 def j15_ambiguity(read):
+    """Against the first instruments, so that names are missing; j15_ambiguity_whole_catalog has the right answers."""
     every = instruments(read)
     return j.resolve_unique(every.select(F.col("instrument").alias("name")).distinct(), every.where("instrument_id < 90"), name_col="name", catalog_col="instrument", code_col="mission")
 
 
+@query(
+    """, hits AS (SELECT upper(instrument) AS k, count(DISTINCT mission) AS n, min(mission) AS code FROM instruments GROUP BY 1)
+    SELECT DISTINCT w.name, CASE WHEN n IS NULL THEN 'lookup-none' WHEN n = 1 THEN 'lookup-unique' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN code END AS code
+    FROM (SELECT DISTINCT instrument AS name FROM instruments) w LEFT JOIN hits ON hits.k = upper(w.name)""",
+    "instruments",
+)
+def j15_ambiguity_whole_catalog(read):
+    every = instruments(read)
+    return j.resolve_unique(every.select(F.col("instrument").alias("name")).distinct(), every, name_col="name", catalog_col="instrument", code_col="mission")
+
+
 @query(
     """SELECT a.rater_id AS rater_a, b.rater_id AS rater_b, count(*) AS shared, count(*) FILTER (a.status = b.status) AS agreed FROM votes a JOIN votes b ON a.item_id = b.item_id AND a.rater_id < b.rater_id GROUP BY 1, 2""",
     "votes",
