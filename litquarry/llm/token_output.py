@@ -21,64 +21,65 @@ from litquarry.llm.tokens import byte_pieces, encoder, slices
 MAGIC = b"RPAIR\0\0\x01"
 #: Symbols between two entries of the offset index.
 STRIDE = 256
-#: Symbols that can be part of a new pair in one round: the most frequent ones.
-TOP = 1024
 
 
-def repair(ids: np.ndarray, vocab: int, *, most_rules: int, rounds: int = 6, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def _counted(s: np.ndarray, at: np.ndarray, n_symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the pairs of symbols that begin at ``at`` and come ``least`` times, the most frequent first.
+
+    A key is left * n_symbols + right. Pairs are first counted in slots that several may share: those of slots below
+    ``least`` cannot reach it, and the rest are sorted.
+    """
+    key = s[at].astype(np.int64) * n_symbols + s[at + 1]
+    slot = (key * 0x9E3779B97F4A7C1 >> 20) & ((1 << 20) - 1)
+    key = np.sort(key[np.bincount(slot, minlength=1 << 20)[slot] >= least])
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begin, len(key)))
+    often = counts >= least
+    keys, counts = key[begin[often]], counts[often]
+    order = np.argsort(-counts, kind="stable")
+    return keys[order], counts[order]
+
+
+def repair(ids: np.ndarray, vocab: int, *, most_rules: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a grammar for ``ids``; rule r stands for symbol ``vocab + r`` and has two symbols.
 
-    Each round counts all pairs of the most frequent symbols exactly, takes pairs from the most frequent one down
-    such that no symbol is the left of one and the right of another (so that no two chosen occurrences overlap),
-    and replaces every occurrence. A pair of equal symbols is replaced at every other place of a run.
+    Each round counts all pairs exactly, takes pairs from the most frequent one down such that no symbol is the left of
+    one and the right of another (so that no two chosen occurrences overlap), and replaces every occurrence. Of a run
+    of equal symbols, every other place counts. It ends when no pair comes ``least`` times or the rules run out.
     """
     s = ids.astype(np.int32)
     rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        free = most_rules - len(rules)
-        if len(s) < 2 or free <= 0:
+    while len(rules) < most_rules and len(s) > 1:
+        n_symbols = vocab + len(rules)
+        at = np.arange(len(s) - 1)
+        same = s[:-1] == s[1:]
+        if same.any():
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same[:-1]]), at, 0))
+            at = at[~same | ((at - begin) % 2 == 0)]
+        keys, counts = _counted(s, at, n_symbols, least)
+        if not len(keys):
             break
-        often = np.bincount(s)
-        top = np.argsort(-often, kind="stable")[: TOP - 1]
-        top = top[often[top] >= least]
-        rank = np.full(len(often), TOP - 1, np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        r = rank[s]
-        key = r[:-1] * TOP + r[1:]
-        counts = np.bincount(key, minlength=TOP * TOP).reshape(TOP, TOP)
-        counts[TOP - 1] = counts[:, TOP - 1] = 0
-        counts = counts.ravel()
-        pairs = np.flatnonzero(counts >= least)
-        pairs = pairs[np.argsort(-counts[pairs], kind="stable")]
-        role = np.zeros(TOP, np.int8)  # 1: left of a pair, 2: right of one, 3: both of one
-        made = np.zeros(TOP * TOP, np.int32)
-        for pair in pairs.tolist():
-            a, b = divmod(pair, TOP)
+        role = np.zeros(n_symbols, np.int8)  # 1: left of a pair, 2: right of one, 3: both of one
+        chosen: list[int] = []
+        for k, (a, b) in enumerate(zip((keys // n_symbols).tolist(), (keys % n_symbols).tolist(), strict=True)):
             if a == b and role[a] == 0:
                 role[a] = 3
             elif a != b and role[a] in (0, 1) and role[b] in (0, 2):
                 role[a], role[b] = 1, 2
             else:
                 continue
-            made[pair] = vocab + len(rules)
-            rules.append((int(top[a]), int(top[b])))
-            free -= 1
-            if not free:
+            chosen.append(k)
+            rules.append((a, b))
+            if len(rules) == most_rules:
                 break
-        new = made[key]
-        at = np.flatnonzero(new)
-        same = s[at] == s[at + 1]
-        if same.any():
-            run = at[same]
-            first = np.ones(len(run), bool)
-            first[1:] = (np.diff(run) != 1) | (s[run[1:]] != s[run[:-1]])
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
-            keep = np.ones(len(at), bool)
-            keep[np.flatnonzero(same)[(np.arange(len(run)) - begin) % 2 == 1]] = False
-            at = at[keep]
-        if len(at) < max(least, len(s) // 500):
-            break
-        s[at] = new[at]
+        keys = keys[chosen]
+        order = np.argsort(keys)
+        at = at[(np.isin(role[s[at]], (1, 3))) & (np.isin(role[s[at + 1]], (2, 3)))]
+        key = s[at].astype(np.int64) * n_symbols + s[at + 1]
+        found = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
+        hit = keys[order][found] == key
+        at, new = at[hit], n_symbols + order[found[hit]]
+        s[at] = new
         left = np.ones(len(s), bool)
         left[at + 1] = False
         s = s[left]
