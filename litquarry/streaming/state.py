@@ -36,10 +36,23 @@ def reclaim_stale(tasks: DataFrame, *, as_of: Column, seconds: int) -> DataFrame
     return tasks.withColumn("attempts", F.col("attempts") + stale.cast("int")).withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
 
 
-def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_bytes: int) -> DataFrame:
-    """``chunk``: rows of a group in order, cut wherever the running size passes a multiple of ``most_bytes``."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("chunk", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / most_bytes))
+def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_bytes: int, bucket_rows: int = 10_000) -> DataFrame:
+    """``chunk``: rows of a group in order, cut wherever the running size passes a multiple of ``most_bytes``.
+
+    A group is cut in ranges of its numeric ``order``, of about ``bucket_rows`` rows if that is even. Windows run
+    within a range and over the ranges' totals, so that no task sorts a whole group.
+    """
+    sized = rows.withColumn("_size", size)
+    low, high = F.min(order).cast("double"), F.max(order).cast("double")
+    spans = rows.groupBy(F.col(group).alias("_group")).agg(low.alias("_low"), (high - low + 1).alias("_span"), F.ceil(F.count("*") / bucket_rows).alias("_n"))
+    bucket = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_span") * F.col("_n"))
+    placed = sized.join(spans, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    totals = placed.groupBy("_group", "_bucket").agg(F.sum("_size").alias("_sum"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_group").alias("_of"), F.col("_bucket").alias("_in"), F.coalesce(F.sum("_sum").over(earlier("_group", "_bucket")), F.lit(0)).alias("_start"))
+    met = placed.join(starts, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
+    before = F.coalesce(F.sum("_size").over(earlier("_group", "_bucket", order)), F.lit(0))
+    return met.withColumn("chunk", F.floor((F.col("_start") + before) / most_bytes)).select(*rows.columns, "chunk")
 
 
 def replay(requests: DataFrame, cached: DataFrame, answer: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame], DataFrame], *, key: str = "request", most_waves: int = 10, write: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
