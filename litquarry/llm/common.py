@@ -14,10 +14,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none (tests)."""
+    """The folder of spark.checkpoint.dir. Only a session of one machine (tests) gets a local one where none is set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{sc.applicationId}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -43,10 +45,10 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
         conf.set(_CLEANUP, was)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: the lineage ends here."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
+    path = path or new_folder(spark, label)
     write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +60,23 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Workspace:
+    """One folder of the shared store for the tables of one job, removed as a whole when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.made = spark, new_folder(spark, label), 0
+
+    def place(self, label: str) -> str:
+        self.made += 1
+        return f"{self.folder}/{self.made:03d}-{label}"
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        return written(df, label, self.place(label))
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` is the same, and much faster, where all bytes are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -267,6 +267,31 @@ def test_decontamination(docs, nothing, rows, spark):
     assert all(r["n_hit"] == 0 for r in decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_hot_terms(spark):
+    """One word makes up most of the corpus and of the items; windows repeat words and overlap."""
+    from litquarry.llm.decontaminate import build_index, search_phrases, word_counts
+
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join(rng.choice(["the", "The", "of", "sun", "moon"], n, p=[0.5, 0.2, 0.2, 0.08, 0.02]))
+    rows = [(i, some(rng.integers(0, 90))) for i in range(60)] + [(60, "the " * 300), (61, None), (None, "the " * 12)]
+    items = [(f"i{k}", some(n)) for k, n in enumerate([12, 14, 11, 10, 3, 1, 2])] + [("same", "the " * 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    index = build_index(docs)
+    assert {(r["id"], r["n_words"]) for r in word_counts(index).collect()} == {(i, len((t or "").split())) for i, t in rows}
+    want = set()
+    for i, t in rows[:-1]:
+        w = (t or "").lower().split()
+        for item, x in items:
+            v = x.lower().split()
+            n = min(10, len(v))
+            for s in range(len(v) - n + 1):
+                want |= {(i, item, p) for k in range(len(w) - n + 1) if w[k : k + n] == v[s : s + n] for p in range(k, k + n)}
+    got = search_phrases(index, bench).collect()
+    assert {(r["id"], item, p) for r in got for item in r["ids"] for p in range(r["first"], r["last"] + 1)} == want
+    assert len(want) > 1000
+
+
 def test_warc(spark):
     from litquarry.llm.warc import warc_round_trip
 
