@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 #: Units of length in metres.
 UNITS = {"angstrom": 1e-10, "nm": 1e-9, "um": 1e-6, "mm": 1e-3, "cm": 1e-2, "m": 1.0}
+#: The criteria of a validation answer and their labels.
+CRITERIA = {
+    "name_type": "Name/Type alignment",
+    "mission_ref": "Mission reference match",
+    "temporal": "Temporal compatibility",
+    "capability": "Scientific capability match",
+    "domain": "Domain consistency",
+}
+#: Marks of errors that pass by themselves.
+TRANSIENT = (
+    "serviceunavailable", "service unavailable", "throttl", "toomanyrequests",
+    "too many requests", "429", "rate exceeded", "rate limit",
+    "unexpected error", "try your request again", "try again",
+    "expired", "security token", "internalserver", "internal server",
+    "internalfailure", "connection", "timed out", "timeout", "503", "500", "502",
+    "modelnotready", "model not ready",
+)
 
 
 def _nonempty(c: Column) -> Column:
@@ -44,8 +63,18 @@ def verdict(text: Column) -> Column:
 
 
 def judge_verdict(text: Column) -> Column:
-    """The last verdict line's choice among A, B, TIE and NEITHER."""
-    return F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?im)^\W*verdict\W+(A|B|TIE|NEITHER)\b"), F.lit(1)), F.lit(-1)))
+    """What the last line that begins with ``VERDICT:`` says, in lower case: a, b, tie or neither; anything else is an error."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.upper(F.trim(x))), lambda x: x.startswith("VERDICT:"))
+    told = F.trim(F.replace(F.try_element_at(lines, F.lit(-1)), F.lit("VERDICT:"), F.lit("")))
+    return F.when(told.isin("A", "B", "TIE", "NEITHER"), F.lower(told)).otherwise("error")
+
+
+def validation_verdict(text: Column) -> Column:
+    """(decision, one field for each criterion) of a validation answer; what is not found is invalid or a fail. Asterisks don't count."""
+    clean = F.replace(text, F.lit("*"), F.lit(""))
+    result = lambda label: F.coalesce(F.lower(_nonempty(F.regexp_extract(clean, rf"(?is){label}:.*?→\s*(pass|fail)", 1))), F.lit("fail"))
+    decision = F.coalesce(F.lower(_nonempty(F.regexp_extract(clean, r"(?i)FINAL\s+DECISION:\s*(valid|invalid)", 1))), F.lit("invalid"))
+    return F.struct(decision.alias("decision"), *(result(label).alias(name) for name, label in CRITERIA.items()))
 
 
 def candidate_lines(text: Column) -> Column:
@@ -78,10 +107,13 @@ def wavelengths(text: Column) -> Column:
 
 
 def category_of(parameter: Column) -> Column:
-    """Quote categories from parameter names: empty is general, ``general`` the instrument, ``name:kind`` by its kind."""
-    kind = F.when(parameter.contains(":"), F.substring_index(parameter, ":", -1)).otherwise(parameter)
-    return F.when(F.coalesce(parameter, F.lit("")) == "", "general").when(parameter == "general", "instrument").when(kind.startswith("wavelength"), "wavelength").when(kind.startswith("physobs"), "observable").otherwise("time_range")
+    """Quote categories from parameter names: empty is general, ``general`` the instrument, ``name:kind`` by what follows the first colon."""
+    low = F.trim(F.lower(parameter))
+    kind = F.regexp_extract(low, r"(?s)^[^:]*:(.*)$", 1)
+    return F.when(F.coalesce(parameter, F.lit("")) == "", "general").when(low == "general", "instrument").when(kind == "wavelength", "wavelength").when(kind == "physobs", "observable").otherwise("time_range")
 
 
 def is_transient(error: Column) -> Column:
-    return F.coalesce(error.rlike(r"(?i)timeout|timed out|rate.?limit|\b429\b|\b50[0234]\b|connection|temporar|overloaded"), F.lit(False))
+    """Whether an error's text has a mark of one that passes by itself."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in TRANSIENT])

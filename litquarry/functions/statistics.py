@@ -51,10 +51,10 @@ def kappa_band(kappa: Column) -> Column:
 
 
 def same_within(a: Column, b: Column, tolerance: float = 1e-3) -> Column:
-    """Two arrays of numbers are equal in sorted order, each within the tolerance; null agrees with null only."""
-    x, y = F.array_sort(a), F.array_sort(b)
-    close = F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) <= tolerance, F.lit(False))), lambda ok: ok)
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((F.size(a) == F.size(b)) & close)
+    """Two arrays of numbers are equal in sorted order, each by less than the tolerance; null is an empty array."""
+    x, y = (F.array_sort(F.coalesce(c, F.array().cast("array<double>"))) for c in (a, b))
+    close = F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) < tolerance, F.lit(False))), lambda ok: ok)
+    return (F.size(x) == F.size(y)) & close
 
 
 def histogram_bin(x: Column, bins: int = 5) -> Column:

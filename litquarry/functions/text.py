@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 #: Typographic characters and what searches see in their place.
 DASHES = "‐‑‒–—―−"
 SINGLE_QUOTES, DOUBLE_QUOTES = "‘’", "“”"
+BLANKS = " \t\n\x0b\x0c\r"
 INVISIBLE = "­​‌‍﻿"
 
 
@@ -43,18 +44,27 @@ def anchors(text: Column, stop: list[str], shortest: int = 4) -> Column:
 
 
 def distinctive(text: Column) -> Column:
-    """Runs of digits and upper-case names of two characters or more, in lower case, sorted."""
-    found = F.concat(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z0-9]+\b"), F.lit(0)))
+    """Runs of digits and runs of two or more letters that are all upper case, in lower case, sorted."""
+    runs = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    found = F.concat(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), F.filter(runs, lambda t: (F.length(t) >= 2) & (F.upper(t) == t)))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
 def looks_junk(text: Column, *, most_lines: float = 0.10, most_same: float = 0.8) -> Column:
-    """Empty, too many lines for its length, or mostly the same line length."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    lengths = F.transform(lines, F.length)
-    modal = F.array_max(F.transform(F.array_distinct(lengths), lambda x: F.size(F.filter(lengths, lambda y: x == y))))
-    return F.coalesce((F.trim(text) == "") | (n / F.length(text) > most_lines) | ((n > 3) & (modal / n > most_same)), F.lit(True))
+    """Without characters, with too many lines for them, or mostly one and the same line. Blanks around the text don't count.
+
+    Equal lines are neighbours once sorted, so one pass over the sorted lines finds the longest run.
+    """
+    lines = F.split(F.btrim(text, F.lit(BLANKS)), "\n")
+    n, chars = F.size(lines), F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["line"].eqNullSafe(x), s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("line"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    modal = F.aggregate(F.array_sort(lines), start, step, lambda s: s["best"])
+    return F.coalesce((chars == 0) | (n / chars > most_lines) | (modal / n > most_same), F.lit(True))
 
 
 def length_class(text: Column, *, most: int = 500_000, warn: int = 200_000) -> Column:
@@ -62,8 +72,9 @@ def length_class(text: Column, *, most: int = 500_000, warn: int = 200_000) -> C
 
 
 def clean_quote(text: Column) -> Column:
-    """Without asterisks, quotes and blanks around it; ``10^{12}`` becomes ``1012``."""
-    return F.regexp_replace(F.regexp_replace(text, r"""^[*"'\s]+|[*"'\s]+$""", ""), r"\^\{?(-?[0-9]+)\}?", "$1")
+    """Without asterisks, straight or curly quotes and blanks around it; ``10^{12}`` becomes ``1012``, a caret after no digit stays."""
+    peeled = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS + "*\"'" + DOUBLE_QUOTES + SINGLE_QUOTES))
+    return F.regexp_replace(peeled, r"([0-9])\s*\^\s*\{?([0-9]+)\}?", "$1$2")
 
 
 def strip_reasoning(text: Column) -> Column:
@@ -81,11 +92,30 @@ def journal_of(bibcode: Column) -> Column:
 
 
 def normalize_doi(doi: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(doi), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", ""))
+    """Lower case, without the resolver's address in front."""
+    return F.lower(F.regexp_replace(doi, r"^https?://doi\.org/", ""))
+
+
+def arxiv_id(identifiers: Column) -> Column:
+    """What follows ``arXiv:`` in the first identifier that begins so, else null."""
+    return F.get(F.transform(F.filter(identifiers, lambda x: x.startswith("arXiv:")), lambda x: F.substring(x, 7, 1 << 20)), F.lit(0))
 
 
 def safe_name(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_")
+    """A file name: ampersands and slashes become underscores."""
+    return F.translate(text, "&/", "__")
+
+
+def text_stats(text: Column) -> dict[str, Column]:
+    """Length, estimated tokens, distinct characters, and whether it is empty or blank."""
+    plain = F.coalesce(text, F.lit(""))
+    return {
+        "n_chars": F.char_length(plain),
+        "tokens": F.floor(F.char_length(plain) / 3.5),
+        "distinct_chars": F.size(F.array_distinct(F.filter(F.split(plain, ""), lambda c: c != ""))),
+        "is_empty": plain == "",
+        "is_blank": F.btrim(plain, F.lit(BLANKS)) == "",
+    }
 
 
 def short_id(*columns: Column, digits: int = 12) -> Column:

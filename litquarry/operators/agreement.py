@@ -17,14 +17,23 @@ def consensus(votes: DataFrame, item: str, status: str, *, settled: list[str]) -
     return counts.select(item, "n_votes", chosen.alias("consensus"))
 
 
-def modal_answers(votes: DataFrame, item: str, status: str) -> DataFrame:
-    """(item, raters, modal, answer): the most frequent answer and its count; the last in the alphabet wins ties."""
-    counts = votes.groupBy(item, status).agg(F.count("*").alias("n"))
-    return counts.groupBy(item).agg(F.sum("n").alias("raters"), F.max("n").alias("modal"), F.max_by(status, F.struct("n", status)).alias("answer"))
+def modal_answers(votes: DataFrame, item: str, status: str, order: str) -> DataFrame:
+    """(item, raters, modal, answer): the most frequent answer and its count; of equally frequent ones the first by the number ``order``."""
+    counts = votes.groupBy(item, status).agg(F.count("*").alias("n"), F.min(order).alias("_seen"))
+    return counts.groupBy(item).agg(F.sum("n").alias("raters"), F.max("n").alias("modal"), F.max_by(status, F.struct("n", -F.col("_seen"))).alias("answer"))
+
+
+def first_item_raters(votes: DataFrame, item: str) -> int:
+    """How many votes the smallest item has: the number of raters that all items of a kappa must have. One row reaches the driver."""
+    first = votes.groupBy(item).agg(F.count("*").alias("n")).agg(F.min_by("n", item).alias("n")).first()
+    return int(first["n"] or 0)
 
 
 def fleiss_kappa(votes: DataFrame, item: str, status: str, *, raters: int) -> DataFrame:
-    """(items, p_bar, p_e, kappa) over the items that have exactly ``raters`` votes; kappa is null for fewer than two raters or no item."""
+    """(items, p_bar, p_e, kappa) over the items that have exactly ``raters`` votes; kappa is null for fewer than two raters or no item.
+
+    All items of a kappa need the same number of raters; ``first_item_raters`` is the number that the first item sets.
+    """
     counts = votes.groupBy(item, status).agg(F.count("*").alias("n"))
     full = counts.withColumn("_all", F.sum("n").over(Window.partitionBy(item))).where(F.col("_all") == raters)
     per_item = full.groupBy(item).agg(((F.sum(F.col("n") * F.col("n")) - raters) / (raters * max(raters - 1, 1))).alias("p_i"))

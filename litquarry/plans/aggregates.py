@@ -260,15 +260,17 @@ def a21_consensus(read):
     return agreement.consensus(votes(read), "item_id", "status", settled=["approved", "rejected"])
 
 
-FLEISS = """counts AS (SELECT item_id, status, count(*) AS n FROM votes WHERE item_id IN (SELECT item_id FROM votes GROUP BY 1 HAVING count(*) = 5) GROUP BY 1, 2),
-  items AS (SELECT (sum(n * n) - 5) / 20.0::DOUBLE AS p_i FROM counts GROUP BY item_id),
+FLEISS = """raters AS (SELECT count(*) AS r FROM votes WHERE item_id = (SELECT min(item_id) FROM votes)), counts AS (SELECT item_id, status, count(*) AS n FROM votes WHERE item_id IN (SELECT item_id FROM votes GROUP BY 1 HAVING count(*) = (SELECT r FROM raters)) GROUP BY 1, 2),
+  items AS (SELECT (sum(n * n) - any_value(r)) / (any_value(r) * (any_value(r) - 1))::DOUBLE AS p_i FROM counts, raters GROUP BY item_id),
   shares AS (SELECT sum(n) / (SELECT sum(n) FROM counts)::DOUBLE AS q FROM counts GROUP BY status),
   f AS (SELECT (SELECT avg(p_i) FROM items) AS p_bar, (SELECT sum(q * q) FROM shares) AS p_e, (SELECT count(*) FROM items) AS items)"""
 
 
 @query(f", {FLEISS} SELECT items, round(p_bar, 6) AS p_bar, round(p_e, 6) AS p_e, round(CASE WHEN p_e = 1 THEN 1 ELSE (p_bar - p_e) / (1 - p_e) END, 6) AS kappa FROM f", "votes")
 def a22_fleiss_kappa(read):
-    found = agreement.fleiss_kappa(votes(read), "item_id", "status", raters=5)
+    """The first item sets the number of raters; items with another number cannot enter the same kappa."""
+    every = votes(read)
+    found = agreement.fleiss_kappa(every, "item_id", "status", raters=agreement.first_item_raters(every, "item_id"))
     return found.select("items", *(F.round(c, 6).alias(c) for c in ("p_bar", "p_e", "kappa")))
 
 
@@ -305,7 +307,7 @@ def a26_kappa_bands(read):
     return read("lineitem").select(F.round(F.col("l_discount") * 12 - 0.2, 2).alias("k")).distinct().withColumn("band", s.kappa_band(F.col("k")))
 
 
-MODE = """modes AS (SELECT item_id, sum(n) AS raters, max(n) AS modal, arg_max(status, (n, status)) AS answer FROM (SELECT item_id, status, count(*) AS n FROM votes GROUP BY 1, 2) GROUP BY 1)"""
+MODE = """modes AS (SELECT item_id, sum(n) AS raters, max(n) AS modal, arg_max(status, (n, -seen)) AS answer FROM (SELECT item_id, status, count(*) AS n, min(rater_id) AS seen FROM votes GROUP BY 1, 2) GROUP BY 1)"""
 TIER = "CASE WHEN modal = raters THEN 'perfect' WHEN modal = raters - 1 THEN 'all_but_one' WHEN modal = 3 THEN 'three' WHEN modal = 2 THEN 'two' ELSE 'none' END"
 
 
@@ -313,7 +315,7 @@ TIER = "CASE WHEN modal = raters THEN 'perfect' WHEN modal = raters - 1 THEN 'al
 def a27_consistency_tiers(read):
     modal, n = F.col("modal"), F.col("raters")
     tier = F.when(modal == n, "perfect").when(modal == n - 1, "all_but_one").when(modal == 3, "three").when(modal == 2, "two").otherwise("none")
-    return agreement.modal_answers(votes(read), "item_id", "status").where(n >= 2).groupBy("raters", tier.alias("tier")).agg(F.count("*").alias("items"))
+    return agreement.modal_answers(votes(read), "item_id", "status", "rater_id").where(n >= 2).groupBy("raters", tier.alias("tier")).agg(F.count("*").alias("items"))
 
 
 @query(
@@ -323,7 +325,7 @@ def a27_consistency_tiers(read):
     "usages",
 )
 def a28_pairwise_jaccard(read):
-    """Runs of a paper are few, so its pairs are made within one row of the paper."""
+    """A paper has at most four runs, each one row by then, so that joining them by paper makes at most six pairs of it."""
     per = usages(read).groupBy("paper_id", (F.col("observatory_id") % 4).alias("run")).agg(F.collect_set(F.col("instrument_id") % 50).alias("v"))
     a, b = (per.select("paper_id", F.col("run").alias(f"run_{x}"), F.col("v").alias(x)) for x in "ab")
     met = a.join(b, "paper_id").where("run_a < run_b").withColumn("j", s.set_metrics(F.col("a"), F.col("b"), both_empty=1.0)["jaccard"])
@@ -332,7 +334,8 @@ def a28_pairwise_jaccard(read):
 
 @query(f", {MODE} SELECT item_id, answer, modal FROM modes", "votes")
 def a29_modal_answer(read):
-    return agreement.modal_answers(votes(read), "item_id", "status").select("item_id", "answer", "modal")
+    """The answer that most raters gave; of equally frequent ones that of the first rater."""
+    return agreement.modal_answers(votes(read), "item_id", "status", "rater_id").select("item_id", "answer", "modal")
 
 
 @query()

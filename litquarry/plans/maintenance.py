@@ -34,8 +34,9 @@ def t2_vote_upsert(read):
 
 
 @query(
-    """SELECT call_id, CASE WHEN call_type = 'purchase' OR call_id % 3 = 0 THEN CASE WHEN call_type = 'purchase' THEN 'resolved' ELSE 'pending' END WHEN call_type = 'click' THEN 'resolved' WHEN call_type = 'error' AND tokens % 4 + 1 < 3 THEN 'retry' ELSE 'failed' END AS status,
-    CAST(tokens % 4 + CASE WHEN call_id % 3 <> 0 AND call_type <> 'purchase' THEN 1 ELSE 0 END AS INT) AS attempts FROM calls""",
+    """, t AS (SELECT call_id, call_type = 'purchase' AS done, tokens % 4 AS tried, call_id % 3 = 0 AS missing, call_type = 'click' AS ok, call_type = 'error' AS passing FROM calls)
+    SELECT call_id, CASE WHEN done THEN 'resolved' WHEN missing OR passing THEN CASE WHEN tried + 1 >= 3 THEN 'failed' ELSE 'pending' END WHEN ok THEN 'resolved' ELSE 'failed' END AS status,
+    CAST(tried + CASE WHEN NOT done AND (missing OR passing) THEN 1 ELSE 0 END AS INT) AS attempts FROM t""",
     "calls",
 )
 def t4_result_application(read):
@@ -46,12 +47,13 @@ def t4_result_application(read):
 
 
 @query(
-    """SELECT call_id, CASE WHEN call_type = 'click' AND created_at < TIMESTAMP '2024-01-30 23:00:00' THEN 'pending' WHEN call_type = 'click' THEN 'claimed' ELSE 'done' END AS status, CAST(CASE WHEN call_type = 'click' AND created_at < TIMESTAMP '2024-01-30 23:00:00' THEN 1 ELSE 0 END AS INT) AS attempts FROM calls""",
+    """, t AS (SELECT call_id, CASE call_type WHEN 'click' THEN 'collecting' WHEN 'view' THEN 'committing' ELSE 'done' END AS status, date_trunc('second', created_at) < TIMESTAMP '2024-01-20 23:00:00' AS stale FROM calls)
+    SELECT call_id, CASE WHEN stale AND status = 'collecting' THEN 'pending' WHEN stale AND status = 'committing' THEN 'llm_complete' ELSE status END AS status, CAST(stale AND status = 'committing' AS INT) AS attempts FROM t""",
     "calls",
 )
 def t6_stale_reclaim(read):
-    tasks = calls(read).select("call_id", F.when(F.col("call_type") == "click", "claimed").otherwise("done").alias("status"), F.lit(0).alias("attempts"), F.date_trunc("second", "created_at").alias("claimed_at"))
-    return state.reclaim_stale(tasks, as_of=F.lit("2024-01-31 00:00:00").cast("timestamp"), seconds=3600).select("call_id", "status", "attempts")
+    tasks = calls(read).select("call_id", F.when(F.col("call_type") == "click", "collecting").when(F.col("call_type") == "view", "committing").otherwise("done").alias("status"), F.lit(0).alias("attempts"), F.date_trunc("second", "created_at").alias("claimed_at"))
+    return state.reclaim_stale(tasks, as_of=F.lit("2024-01-21 00:00:00").cast("timestamp"), seconds=3600).select("call_id", "status", "attempts")
 
 
 @query(

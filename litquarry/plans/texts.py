@@ -39,15 +39,16 @@ def f4_anchors(read):
 
 
 @query(
-    """SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(url, '[0-9]+'), regexp_extract_all(url, '\\b[A-Z][A-Z0-9]+\\b')), lambda x: lower(x)))), ' ') AS names FROM pages""",
+    """SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(html, '[0-9]+'), list_filter(regexp_extract_all(html, '[A-Za-z]+'), lambda r: length(r) >= 2 AND upper(r) = r)), lambda x: lower(x)))), ' ') AS names FROM pages""",
 )
 def f5_distinctive(read):
-    return read("pages").select("page_id", F.array_join(text.distinctive(F.col("url")), " ").alias("names"))
+    return read("pages").select("page_id", F.array_join(text.distinctive(F.col("html")), " ").alias("names"))
 
 
 @query(
-    """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, length(line) AS k, count(*) AS n FROM l GROUP BY 1, 2), m AS (SELECT doc_id, sum(n) AS n, max(n) AS modal FROM c GROUP BY 1)
-    SELECT doc_id, trim(text) = '' OR n / length(text)::DOUBLE > 0.10 OR (n > 3 AND modal / n::DOUBLE > 0.8) AS junk FROM documents JOIN m USING (doc_id)""",
+    """WITH l AS (SELECT doc_id, unnest(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY 1, 2),
+    m AS (SELECT doc_id, sum(n) AS n, sum(n * length(line)) AS chars, max(n) AS modal FROM c GROUP BY 1)
+    SELECT d.doc_id, coalesce(chars = 0 OR n / chars::DOUBLE > 0.10 OR modal / n::DOUBLE > 0.8, true) AS junk FROM documents d LEFT JOIN m USING (doc_id)""",
 )
 def f7_junk(read):
     return read("documents").select("doc_id", text.looks_junk(F.col("text")).alias("junk"))
@@ -58,16 +59,18 @@ def f8_length_and_tokens(read):
     return read("documents").select("doc_id", text.length_class(F.col("text"), most=50_000, warn=2_000).alias("class"), F.floor(F.char_length("text") / 3.5).alias("tokens"))
 
 
-@query("""SELECT item_id, regexp_replace('**"' || text || '"*', '^[*"''\\s]+|[*"''\\s]+$', '', 'g') AS quote FROM benchmark""")
+@query(
+    r"""SELECT item_id, regexp_replace(trim('**“' || text || ' 10^{' || strlen(text) || '} x^2 7 ^ 3”*', ' *"''“”‘’' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([0-9])\s*\^\s*\{?([0-9]+)\}?', '\1\2', 'g') AS quote FROM benchmark"""
+)
 def f11_clean_quote(read):
-    return read("benchmark").select("item_id", text.clean_quote(F.concat(F.lit('**"'), "text", F.lit('"*'))).alias("quote"))
+    told = F.concat(F.lit("**“"), "text", F.lit(" 10^{"), F.octet_length("text"), F.lit("} x^2 7 ^ 3”*"))
+    return read("benchmark").select("item_id", text.clean_quote(told).alias("quote"))
 
 
-@query("SELECT conv_id, turn, trim(text) AS answer FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, trim(text) AS answer FROM conversations")
 def f12_strip_reasoning(read):
-    told = read("conversations").where("role = 'user'")
     wrapped = F.concat(F.lit("<reasoning>a\nb</reasoning>\n```json\n"), F.trim("text"), F.lit("\n```"))
-    return told.select("conv_id", "turn", text.strip_reasoning(wrapped).alias("answer"))
+    return read("conversations").select("conv_id", "turn", text.strip_reasoning(wrapped).alias("answer"))
 
 
 @query("SELECT p_partkey AS instrument_id, regexp_replace(upper(p_brand || ' ' || p_name), '[^A-Z0-9]', '', 'g') AS token FROM part")
@@ -80,17 +83,33 @@ def f14_journal(read):
     return read("documents").select("source").distinct().withColumn("journal", text.journal_of(F.concat(F.lit("2021"), "source", F.lit("..12"))))
 
 
-@query("SELECT page_id, lower(regexp_replace(trim(CASE WHEN page_id % 2 = 0 THEN 'https://doi.org/10.1/' ELSE 'DOI: 10.1/' END || url), '(?i)^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)', '')) AS doi FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'doi:10.1/' ELSE '10.1/' END || lower(url) AS doi FROM pages")
 def f15_doi(read):
-    prefix = F.when(F.col("page_id") % 2 == 0, "https://doi.org/10.1/").otherwise("DOI: 10.1/")
+    prefix = F.when(F.col("page_id") % 3 == 0, "https://doi.org/10.1/").when(F.col("page_id") % 3 == 1, "http://doi.org/10.1/").otherwise("DOI:10.1/")
     return read("pages").select("page_id", text.normalize_doi(F.concat(prefix, "url")).alias("doi"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '2303.' || page_id WHEN 1 THEN url END AS arxiv FROM pages")
+def f15_arxiv(read):
+    rest, url = F.col("page_id") % 3, F.col("url")
+    second = F.when(rest == 0, F.concat(F.lit("arXiv:2303."), "page_id")).when(rest == 1, F.concat(F.lit("arXiv:"), url)).otherwise("ARXIV:1")
+    return read("pages").select("page_id", text.arxiv_id(F.array(url, second, F.lit("doi:10.1/2"), F.when(rest < 2, "arXiv:last"))).alias("arxiv"))
+
+
+@query("SELECT page_id, replace(replace(url, '&', '_'), '/', '_') AS name FROM pages")
 def f18_safe_name(read):
     return read("pages").select("page_id", text.safe_name(F.col("url")).alias("name"))
 
 
+@query(
+    """SELECT doc_id, length(coalesce(text, '')) AS n_chars, CAST(floor(length(coalesce(text, '')) / 3.5) AS BIGINT) AS tokens,
+    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(list_distinct(string_split(text, ''))) END AS distinct_chars, coalesce(text, '') = '' AS is_empty,
+    trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' AS is_blank FROM documents""",
+)
+def f10_text_stats(read):
+    return read("documents").select("doc_id", *(c.alias(n) for n, c in text.text_stats(F.col("text")).items()))
+
+
 @query("SELECT page_id, url_encode(url) AS encoded FROM pages")
 def f19_percent_encode(read):
     return read("pages").select("page_id", text.percent_encode(F.col("url")).alias("encoded"))
@@ -133,23 +152,57 @@ def r9_verdicts(read):
     return calls(read).select("call_id", parsers.verdict(answer).alias("verdict"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'TIE' ELSE 'NEITHER' END AS verdict FROM conversations")
+@query(
+    """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' WHEN 3 THEN 'neither' ELSE 'error' END AS verdict FROM conversations""",
+)
 def r10_judge_verdicts(read):
-    choice = F.when(F.col("turn") % 4 == 0, "A").when(F.col("turn") % 4 == 1, "b").when(F.col("turn") % 4 == 2, "Tie").otherwise("NEITHER")
-    return read("conversations").select("conv_id", "turn", parsers.judge_verdict(F.concat(F.lit("VERDICT: A\n"), F.lit("**Verdict**: "), choice)).alias("verdict"))
+    """Answers end in a verdict line; one that says more than the bare choice is an error, whatever stood before it."""
+    rest = (F.col("conv_id") + F.col("turn")) % 6
+    line = F.when(rest == 0, "VERDICT: A").when(rest == 1, "  verdict:b ").when(rest == 2, "Verdict: Tie").when(rest == 3, "VERDICT: NEITHER").when(rest == 4, "Verdict: A is better").otherwise("**Verdict**: B")
+    before = F.when(rest == 5, "").otherwise("VERDICT: B\n")
+    return read("conversations").select("conv_id", "turn", parsers.judge_verdict(F.concat(before, F.coalesce(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("")), F.lit("\n"), line)).alias("verdict"))
 
 
-@query("SELECT call_id, CASE WHEN call_type = 'error' THEN 'general' WHEN call_type = 'click' THEN 'instrument' WHEN call_type = 'view' THEN 'wavelength' ELSE 'time_range' END AS category FROM calls", "calls")
+@query(
+    """, q AS (SELECT call_id, CASE call_id % 9 WHEN 0 THEN '' WHEN 1 THEN ' General ' WHEN 2 THEN props || ':wavelength' WHEN 3 THEN 'Wavelength: first period' WHEN 4 THEN call_type || ':PHYSOBS' WHEN 5 THEN call_type || ':general' WHEN 6 THEN 'a:b:wavelength' WHEN 7 THEN call_type || ':wavelength' ELSE props END AS p FROM calls),
+    k AS (SELECT call_id, p, trim(lower(p)) AS low, CASE WHEN contains(p, ':') THEN substr(trim(lower(p)), strpos(trim(lower(p)), ':') + 1) END AS kind FROM q)
+    SELECT call_id, CASE WHEN p = '' THEN 'general' WHEN low = 'general' THEN 'instrument' WHEN kind = 'wavelength' THEN 'wavelength' WHEN kind = 'physobs' THEN 'observable' ELSE 'time_range' END AS category FROM k""",
+    "calls",
+)
 def r14_categories(read):
-    kind = F.col("call_type")
-    parameter = F.when(kind == "error", "").when(kind == "click", "general").when(kind == "view", "period one:wavelengths").otherwise("period:time")
+    """Parameter names of all forms: capitals, blanks, several colons, and old ones that only begin like a kind."""
+    rest, kind, props = F.col("call_id") % 9, F.col("call_type"), F.col("props")
+    forms = [F.lit(""), F.lit(" General "), F.concat(props, F.lit(":wavelength")), F.lit("Wavelength: first period"), F.concat(kind, F.lit(":PHYSOBS")), F.concat(kind, F.lit(":general")), F.lit("a:b:wavelength"), F.concat(kind, F.lit(":wavelength")), props]
+    parameter = F.coalesce(*(F.when(rest == k, f) for k, f in enumerate(forms)))
     return calls(read).select("call_id", parsers.category_of(parameter).alias("category"))
 
 
-@query("SELECT call_id, call_type = 'error' AS transient FROM calls", "calls")
+@query(
+    """SELECT page_id, list_bool_or(list_transform(MARKS, lambda m: contains(lower(coalesce(html, '')), m))) AS transient FROM pages""".replace(
+        "MARKS", "[" + ", ".join(f"'{m}'" for m in parsers.TRANSIENT) + "]"
+    )
+)
 def r16_transient(read):
-    message = F.when(F.col("call_type") == "error", "HTTP 429: Rate limit reached").otherwise("invalid instrument")
-    return calls(read).select("call_id", parsers.is_transient(message).alias("transient"))
+    """Whole pages as error texts, so that marks stand anywhere."""
+    return read("pages").select("page_id", parsers.is_transient(F.col("html")).alias("transient"))
+
+
+@query(
+    """SELECT call_id, CASE WHEN call_type = 'click' THEN 'invalid' WHEN call_id % 2 = 0 THEN 'valid' ELSE 'invalid' END AS decision, CASE WHEN call_id % 3 = 0 THEN 'pass' ELSE 'fail' END AS name_type,
+    CASE WHEN tokens % 2 = 0 AND call_type <> 'view' THEN 'pass' ELSE 'fail' END AS temporal, CASE WHEN tokens % 5 = 0 THEN 'pass' ELSE 'fail' END AS domain FROM calls""",
+    "calls",
+)
+def r9_validation_criteria(read):
+    """Decision and criteria parsed back from answers with marks of emphasis, of which some lack a line."""
+    says = lambda ok: F.when(ok, "PASS").otherwise("fail")
+    parts = [
+        F.lit("**VALIDATION ANALYSIS:**\n- **Name/Type alignment**: close\nenough → "), says(F.col("call_id") % 3 == 0),
+        F.when(F.col("call_type") == "view", "\n").otherwise(F.concat(F.lit("\n- Temporal compatibility: within → "), says(F.col("tokens") % 2 == 0))),
+        F.lit("\n- Domain consistency: same field →"), says(F.col("tokens") % 5 == 0),
+        F.when(F.col("call_type") == "click", "\n").otherwise(F.concat(F.lit("\n\n**FINAL  DECISION:** "), F.when(F.col("call_id") % 2 == 0, "Valid").otherwise("invalid"))),
+    ]
+    told = calls(read).select("call_id", parsers.validation_verdict(F.concat(*parts)).alias("v"))
+    return told.select("call_id", "v.decision", "v.name_type", "v.temporal", "v.domain")
 
 
 @query(

@@ -23,17 +23,29 @@ def merge_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], *ord
 
 
 def apply_results(tasks: DataFrame, results: DataFrame, key: str, *, most_attempts: int, transient: Column) -> DataFrame:
-    """New status and attempts: resolved rows stay; success resolves; a transient error retries up to the cap; others fail."""
+    """New status and attempts. Resolved rows stay. Success resolves. A transient error or a missing result counts as an
+    attempt and leaves the row pending, or failed once ``most_attempts`` are reached. Any other error fails at once.
+    """
     met = tasks.join(results, key, "left")
-    tried = F.col("attempts") + F.when(F.col("ok").isNotNull() & (F.col("status") != "resolved"), 1).otherwise(0)
-    status = F.when((F.col("status") == "resolved") | F.col("ok").isNull(), F.col("status")).when(F.col("ok"), "resolved").when(transient & (tried < most_attempts), "retry").otherwise("failed")
+    done = F.col("status") == "resolved"
+    again = ~done & (F.col("ok").isNull() | (~F.col("ok") & F.coalesce(transient, F.lit(False))))
+    tried = F.col("attempts") + again.cast("int")
+    status = F.when(done, "resolved").when(again, F.when(tried >= most_attempts, "failed").otherwise("pending")).when(F.col("ok"), "resolved").otherwise("failed")
     return met.select(key, status.alias("status"), tried.alias("attempts"))
 
 
 def reclaim_stale(tasks: DataFrame, *, as_of: Column, seconds: int) -> DataFrame:
-    """Claimed rows that have not moved for ``seconds`` are free again, with one attempt more."""
-    stale = (F.col("status") == "claimed") & (F.unix_seconds(as_of) - F.unix_seconds("claimed_at") > seconds)
-    return tasks.withColumn("attempts", F.col("attempts") + stale.cast("int")).withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
+    """Rows of which the claim is older than ``seconds`` go back to the state before it: ``collecting`` to ``pending``,
+    ``committing`` to ``llm_complete``. Only the latter counts as an attempt.
+    """
+    stale = F.coalesce(F.unix_seconds("claimed_at") < F.unix_seconds(as_of) - seconds, F.lit(False))
+    collecting, committing = (stale & (F.col("status") == s) for s in ("collecting", "committing"))
+    new = {
+        "status": F.when(collecting, "pending").when(committing, "llm_complete").otherwise(F.col("status")),
+        "attempts": F.col("attempts") + committing.cast("int"),
+        "claimed_at": F.when(~(collecting | committing), F.col("claimed_at")),
+    }
+    return tasks.select(*(new.get(c, F.col(c)).alias(c) for c in tasks.columns))
 
 
 def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_bytes: int, bucket_rows: int = 10_000) -> DataFrame:
@@ -59,16 +71,19 @@ def replay(requests: DataFrame, cached: DataFrame, answer: Callable[[DataFrame],
     """Waves of requests until none is new: answers come from the cache, the rest are asked, their follow-ups join the next wave.
 
     ``write`` stores a wave's cache and reads it back, so that the lineage stays short and a lost executor costs one wave.
+    Requests that are left after ``most_waves`` raise an error.
     """
     wave = requests
-    for k in range(most_waves):
+    for k in range(most_waves + 1):
         new = wave.select(key).distinct().join(cached, key, "left_anti")
         if new.isEmpty():
+            return cached
+        if k == most_waves:
             break
         asked = answer(new)
         cached = write(cached.unionByName(asked), k)
         wave = then(cached.join(new, key, "left_semi"))
-    return cached
+    raise RuntimeError(f"requests are still unanswered after {most_waves} waves")
 
 
 def tumbling_counts(events: DataFrame, *, time: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -19,8 +19,8 @@ def test_normalize_text(spark):
 
 
 def test_junk_and_quotes(spark):
-    assert values(spark, text.looks_junk(F.col("x")), [("",), (None,), ("a\nb\nc",), ("one good long line of text",)]) == [True, True, True, False]
-    assert values(spark, text.clean_quote(F.col("x")), [('**"10^{12} cm"**',), ("",), (None,)]) == ["1012 cm", "", None]
+    assert values(spark, text.looks_junk(F.col("x")), [("",), (None,), ("a\nb\nc",), ("one good long line of text",), ("  \n the same long line\nthe same long line\n",), ("a line of some length\nb line of some length\nc line of some length\nd line of some length\n",)]) == [True, True, True, True, True, False]
+    assert values(spark, text.clean_quote(F.col("x")), [('**"10^{12} cm"**',), ("“x^2 ’",), ("",), (None,)]) == ["1012 cm", "x^2", "", ""]
     assert values(spark, text.percent_encode(F.col("x")), [("a b*~/é",)]) == ["a%20b%2A~%2F%C3%A9"]
 
 
@@ -28,7 +28,7 @@ def test_parsers(spark):
     assert values(spark, parsers.index_list(F.col("x")), [("(3), (5) of 9",), ("4 and 7",), ("none",), (None,)]) == [[3, 5], [4, 7], None, None]
     assert values(spark, parsers.cadence_list(F.col("x")), [("PT1M, PT5M",), ("none",), (None,)]) == [["PT1M", "PT5M"], None, None]
     assert values(spark, parsers.verdict(F.col("x")), [("FINAL DECISION:\n **Accept**",), ('{"decision": "reject"}',), ("so what",)]) == ["accept", "reject", None]
-    assert values(spark, parsers.judge_verdict(F.col("x")), [("VERDICT: A\nverdict: tie",), ("",)]) == ["TIE", None]
+    assert values(spark, parsers.judge_verdict(F.col("x")), [("VERDICT: A\nverdict: tie",), ("VERDICT: A\nVerdict: B is better",), ("so VERDICT: A",), ("",)]) == ["tie", "error", "error", "error"]
     assert values(spark, parsers.candidate_lines(F.col("x")), [("1. AIA (imager)\n2. HMI (magnetograph)",)]) == [{1: "AIA", 2: "HMI"}]
     found = values(spark, parsers.wavelengths(F.col("x")), [("171, 193 nm",), ("10-20 nm",), ("blue",), (None,)])
     assert [[(round(a * 1e9, 6), round(b * 1e9, 6)) for a, b in w] if w else None for w in found] == [[(171, 171), (193, 193)], [(10, 20)], None, None]
