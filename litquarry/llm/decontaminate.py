@@ -18,6 +18,8 @@ from litquarry.llm.common import Workspace, ascii_lower, written
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: One row of a document: its id, and a hash of its text that keeps rows apart which repeat an id.
 DOC = ["id", "copy"]
+#: Words of 64 bits in the set of documents that a search is narrowed to: 16 MB at most, whatever their number.
+SET_WORDS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -52,6 +54,19 @@ def _postings(index: DataFrame) -> DataFrame:
     return index.where(F.col("term") != "")
 
 
+def _of_documents(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """``postings`` of the documents of ``found`` and of a few others, whose hash falls on the same bit.
+
+    The set that is broadcast has a fixed number of bits, so that the whole index is narrowed without a shuffle; an
+    exact join has to follow.
+    """
+    hashed = F.xxhash64(*DOC)
+    word = hashed.bitwiseAND(F.lit(SET_WORDS - 1)).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({', '.join(DOC)}), 40) & 63 as int))")
+    bits = found.select(*DOC).groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    return postings.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(key, item, n, ids): distinct word sequences of the items, numbered, with the ids that have them."""
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("item"))
@@ -111,7 +126,7 @@ def search_phrases(index: DataFrame, benchmark: DataFrame, *, width: int = 10, i
         .join(places.select("key", "n", "q", "term", "h"), ["key", "q"])
         .withColumn("at", F.col("begin") + F.col("q"))
     )
-    mine = _postings(index).join(both.select(*DOC).distinct(), DOC, "left_semi").join(places.select("h").distinct(), "h", "left_semi")
+    mine = _of_documents(_postings(index), both).join(places.select("h").distinct(), "h", "left_semi")
     met = needed.join(mine, [*DOC, "at", "h", "term"], "left_semi")
     alignment = [*DOC, "key", "begin"]
     island = F.col("q") - F.row_number().over(Window.partitionBy(*alignment).orderBy("q"))
