@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import BLANKS, ascii_lower
+from litquarry.llm.common import BLANKS, ascii_lower, written
+
+#: Common lines with more than one in so many of all rows of common lines are hot; there can be no more of them than this.
+HOT_LINES = 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -23,8 +26,10 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null or empty text is one empty line. A row with a null id counts for no key and keeps all its lines.
     Repeated rows of one id are one document for the count, and each is answered. Other columns are ignored.
 
-    A hot line meets only partial aggregates (count and minimum) on its way to its hash, and the join back
-    is an equi-join that adaptive execution may split; documents are joined on their own unique key.
+    A hot line meets only partial aggregates (counts and minimum) on its way to its hash. The lines that make up most
+    rows, at most ``HOT_LINES`` by their definition, are broadcast for the way back, so that their copies stay where
+    they are; all others are joined by hash, none of them with more than its share of the rows. Documents are joined on
+    their own unique key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
@@ -39,13 +44,21 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .select("id", "body_hash", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
     if min_docs <= 2:
-        common = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
+        common = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows")).where(F.col("first") < F.col("last"))
     else:
-        once = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-        common = once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("one").alias("n")).where(F.col("n") >= min_docs)
+        once = lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("rows"))
+        common = once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("rows").alias("rows")).where(F.col("n") >= min_docs)
+    common = written(common.select("h1", "h2", "first", "rows"), "common-lines")
+    share = max((common.agg(F.sum("rows").alias("n")).first()["n"] or 0) / HOT_LINES, 1)
+    hot = common.where(F.col("rows") > share).select("h1", "h2", F.col("first").alias("hot_first"))
+    rest = common.where(F.col("rows") <= share).select("h1", "h2", "first")
+    # a hot line has its answer already: any other hash takes it anywhere, where it meets nothing
+    anywhere = F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("id", "body_hash", "at"))
     drops = (
-        lines.join(common.select("h1", "h2", "first"), ["h1", "h2"])
-        .where(F.col("id") > F.col("first"))
+        lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+        .withColumn("h1", anywhere)
+        .join(rest, ["h1", "h2"], "left")
+        .where(F.col("id") > F.coalesce("hot_first", "first"))
         .groupBy("id", "body_hash")
         .agg(F.collect_set("at").alias("drops"))
     )
