@@ -220,9 +220,10 @@ def similar_sets(shards: DataFrame, *, words: int = 5, percent: int = 80) -> Dat
     apart = sizes.groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
     apart = written(apart.select("token", "largest"), "apart")
     rest = written(placed.join(apart, "token"), "rest")
-    few = rest.where(F.col("root") != F.col("largest"))
+    # sizes that can link are in the same class or in one next to it
+    few = rest.where(F.col("root") != F.col("largest")).withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
     once = (F.col("y.root") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
-    others = few.alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y", percent))
+    others = few.alias("x").join(rest.alias("y"), ["token", "class"]).where((F.col("x.root") != F.col("y.root")) & once & _may_link("x", "y", percent))
     left = others.select(*pair()).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(_verified(written(left, "pairs"), shared, percent), "links")
     joined = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
