@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from litquarry.functions.text import BLANKS
+
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 #: Units of length in metres.
 UNITS = {"angstrom": 1e-10, "nm": 1e-9, "um": 1e-6, "mm": 1e-3, "cm": 1e-2, "m": 1.0}
@@ -52,7 +54,7 @@ def cadence_list(text: Column) -> Column:
 
 def candidate(text: Column, candidates: Column) -> Column:
     """The answer if it is one of the candidates, else null."""
-    answer = F.trim(text)
+    answer = F.btrim(text, F.lit(BLANKS))
     return F.when((F.upper(answer) != "UNCERTAIN") & F.array_contains(candidates, answer), answer)
 
 
@@ -84,14 +86,65 @@ def candidate_lines(text: Column) -> Column:
     return F.map_from_entries(F.transform(lines, entry))
 
 
-def extract_quote(text: Column) -> Column:
-    """What stands in straight or curly quotes; an open quote runs to the end; else the bare text."""
-    pick = lambda pattern: _nonempty(F.regexp_extract(text, pattern, 1))
-    return F.coalesce(pick('"([^"]+)"'), pick("“([^”]+)”"), pick('["“](.+)$'), _nonempty(F.trim(text)))
+#: Field labels of an instrument's description and the fields that they begin.
+LABELS = {
+    "General Comments": "general_comments",
+    "Time Range": "time_range",
+    "Wavelength(s)": "wavelengths",
+    "Physical Observable": "physical_observable",
+    "Additional Comments": "additional_comments",
+}
+
+
+def field_of(line: Column) -> tuple[Column, Column]:
+    """The field that a bullet's label begins and what follows it; null for other lines."""
+    label, value = (F.regexp_extract(line, r"^-\s+\**(General Comments|Time Range|Wavelength\(s\)|Physical Observable|Additional Comments)\**:\s*(.*)", k) for k in (1, 2))
+    return F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[F.nullif(label, F.lit(""))], F.when(label != "", F.trim(value))
+
+
+def supporting_quote(line: Column) -> Column:
+    """The quote of a line: after its label in straight or curly quotes, open to the end, or bare; or a line all in italics."""
+    label = r"^\s*-?\s*\**Supporting Quote\**:\s*"
+    pick = lambda pattern: F.when(line.rlike(pattern), F.trim(F.regexp_extract(line, pattern, 1)))
+    opened = lambda pattern: F.when(line.rlike(pattern), F.trim(F.regexp_replace(F.regexp_extract(line, pattern, 1), '[*"”]+$', "")))
+    return F.coalesce(pick(label + '["“](.*?)["”]\\s*$'), opened(label + '["“](.*)'), pick(label + r"(\S.*?)\s*$"), pick('^\\s*\\*["“](.*?)["”]\\*\\s*$'), opened('^\\s*\\*["“](.*)'))
+
+
+def period_time(time_range: Column, quotes: Column) -> Column:
+    """A period's time range, or its first time quote where that is blank."""
+    return F.when(F.trim(time_range) == "", F.coalesce(F.get(quotes, F.lit(0)), time_range)).otherwise(time_range)
+
+
+def path_tokens(path: Column) -> Column:
+    """The names and the numbers in brackets of a path, in order, as texts."""
+    cut = F.transform(F.split(path, r"\."), lambda s: F.when(s.rlike(r"^\w+\[\d+\]$"), F.split(F.regexp_replace(s, r"\]$", ""), r"\[")).otherwise(F.array(s)))
+    return F.flatten(cut)
+
+
+def patch_period(instruments: Column, instrument: Column, period: Column, field: Column, value: Column) -> Column:
+    """``instruments`` with the text ``field`` of one period set; indices out of range change nothing."""
+    new = lambda p: F.struct(*(F.when(field == n, value).otherwise(p[n]).alias(n) for n in ("period_name", "time_range")))
+    periods = lambda x: F.transform(x["data_collection_periods"], lambda p, j: F.when(j == period, new(p)).otherwise(p))
+    return F.transform(instruments, lambda x, i: F.when(i == instrument, x.withField("data_collection_periods", periods(x))).otherwise(x))
+
 
+def repaired_index(token: Column, index: Column, names: Column, codes: Column) -> Column:
+    """The place (from 0) of the mission that an answer ``token(index)`` means, or null.
 
-def field_label(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"(?i)^\s*[-*]*\s*\**(time range|wavelengths?|physical observable|general comments|quotes?)\**\s*:", 1))
+    The index holds where the token fits its mission; else a neighbour that fits, the one before first; else the index
+    itself. An index out of range gives way to the first mission that fits. Names fit when they are equal without
+    regard to case and marks, or the token has three letters or more and is part of one.
+    """
+    norm = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", "")
+    nt = norm(token)
+    segment = lambda c: F.element_at(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", ""), "/"), -1)
+    fit = lambda a, b: (nt == a) | (nt == b) | ((F.length(nt) >= 3) & (F.contains(a, nt) | F.contains(b, nt)))
+    fits = F.transform(F.arrays_zip(names.alias("n"), codes.alias("c")), lambda x: (nt != "") & fit(norm(x["n"]), norm(segment(x["c"]))))
+    at = lambda i: (i >= 0) & F.coalesce(F.get(fits, i), F.lit(False))
+    inside = (index >= 0) & (index < F.size(names))
+    near = F.when(at(index), index).when(at(index - 1), index - 1).when(at(index + 1), index + 1).otherwise(index)
+    first = F.nullif(F.array_position(fits, True), F.lit(0)) - 1
+    return F.when(inside, near).otherwise(first).cast("int")
 
 
 def wavelengths(text: Column) -> Column:

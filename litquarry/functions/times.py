@@ -41,6 +41,11 @@ def expand_single_day(start: Column, end: Column) -> tuple[Column, Column]:
     return F.when(single, midnight + F.expr("interval 1 day")).otherwise(end), single
 
 
+def bumped_end(start: Column, end: Column) -> Column:
+    """The end, a day later if it is on the day of the start."""
+    return F.when(F.to_date(start) == F.to_date(end), end + F.expr("interval 1 day")).otherwise(end)
+
+
 def duration_class(start: Column, end: Column) -> Column:
     seconds = F.unix_seconds(end) - F.unix_seconds(start)
     return F.when(seconds <= 0, "invalid").when(seconds > 3650 * 86400, "long").when(seconds < 3600, "short").otherwise("ok")

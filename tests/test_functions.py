@@ -32,7 +32,7 @@ def test_parsers(spark):
     assert values(spark, parsers.candidate_lines(F.col("x")), [("1. AIA (imager)\n2. HMI (magnetograph)",)]) == [{1: "AIA", 2: "HMI"}]
     found = values(spark, parsers.wavelengths(F.col("x")), [("171, 193 nm",), ("10-20 nm",), ("blue",), (None,)])
     assert [[(round(a * 1e9, 6), round(b * 1e9, 6)) for a, b in w] if w else None for w in found] == [[(171, 171), (193, 193)], [(10, 20)], None, None]
-    assert values(spark, parsers.extract_quote(F.col("x")), [('says "this one" here',), ("“curly” x",), ("bare",), ("",)]) == ["this one", "curly", "bare", None]
+    assert values(spark, parsers.supporting_quote(F.col("x")), [('- **Supporting Quote**: "this one"',), ("Supporting Quote: “curly” x",), ("  - **Supporting Quote**: bare ",), ("*“open",), ("",)]) == ["this one", "curly” x", "bare", "open", None]
 
 
 def test_times(spark):
