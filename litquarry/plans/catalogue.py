@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from litquarry.plans import aggregates, comparisons, maintenance, ranking, relational, texts  # noqa: F401
+from litquarry.plans import aggregates, comparisons, composites, maintenance, ranking, relational, texts  # noqa: F401
 from litquarry.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
