@@ -66,6 +66,17 @@ def regex_bank(text: Column, exclude: list[str], strong: list[str], medium: list
     return F.coalesce((text != "") & ~any_of(map(hit, exclude)) & (any_of(map(hit, strong)) | (score >= 2)), F.lit(False))
 
 
+def client_order(fields: Iterable[str], allowed: Iterable[str], tie: str) -> list[Column]:
+    """Sort keys for the fields that are allowed, in the order asked for, each once; a leading minus turns one round."""
+    known, keys, seen = set(allowed), [], set()
+    for field in fields:
+        name = field.removeprefix("-")
+        if name in known and name not in seen:
+            seen.add(name)
+            keys.append(F.desc_nulls_first(name) if field.startswith("-") else F.asc_nulls_last(name))
+    return [*keys, F.asc(tie)]
+
+
 def first_nonempty(*columns: Column) -> Column:
     """The first that is neither null nor an empty string."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))

@@ -82,6 +82,59 @@ def strip_reasoning(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<reasoning>.*?</reasoning>", ""), r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", ""))
 
 
+#: Patterns of which any marks a text as mathematical, and the signs that then get blanks around them.
+MATH = (
+    r"[a-zA-Z]\s*[=]\s*\(",
+    r"\|\|.*\|\|",
+    r"[a-zA-Z]\s*[-+]\s*[a-zA-Z]",
+    r"[a-zA-Z]\s*[*]\s*[a-zA-Z]",
+    r"\(\s*[a-zA-Z]\s*\)",
+    r"[a-zA-Z]\s*[0-9]",
+)
+SIGNS = "=()+-*/[]{}"
+
+
+def math_spacing(text: Column) -> Column:
+    """Mathematical text with single blanks around its signs, bars and commas; other text as it is."""
+    spaced = text
+    for sign in SIGNS:
+        spaced = F.regexp_replace(spaced, rf"\s*\{sign}\s*", f" {sign} ")
+    for old, new in ((r"\|\|\s*", "|| "), (r"\s*\|\|", " ||"), (r"\s*,\s*", " , "), (r"\s+", " ")):
+        spaced = F.regexp_replace(spaced, old, new)
+    is_math = F.lit(False)
+    for pattern in MATH:
+        is_math = is_math | text.rlike(pattern)
+    return F.when(is_math, spaced).otherwise(text)
+
+
+def display_name(instrument: Column, observatory: Column) -> Column:
+    """A catalog id's own part: without its known prefix and its observatory's path, slashes as hyphens. Other ids stay."""
+    name = instrument
+    for agency in ("SMWG", "NASA"):
+        ours, theirs = f"spase://{agency}/Instrument/", f"spase://{agency}/Observatory/"
+        rest = F.substring(instrument, len(ours) + 1, 1 << 20)
+        path = F.when(observatory.startswith(theirs), F.concat(F.substring(observatory, len(theirs) + 1, 1 << 20), F.lit("/")))
+        own = F.when(rest.startswith(path), F.substr(rest, F.length(path) + 1)).otherwise(rest)
+        name = F.when(instrument.startswith(ours), F.translate(own, "/", "-")).otherwise(name)
+    return name
+
+
+#: Numbered spacecraft of one mission and their names.
+NUMBERED = {
+    "Cluster/C1": "Cluster-Rumba",
+    "Cluster/C2": "Cluster-Salsa",
+    "Cluster/C3": "Cluster-Samba",
+    "Cluster/C4": "Cluster-Tango",
+}
+
+
+def renamed_id(instrument: Column) -> Column:
+    """An instrument id of a numbered spacecraft as that of the named one; null for others."""
+    prefix = "spase://SMWG/Instrument/"
+    found = [F.when(instrument.startswith(f"{prefix}{old}/"), F.concat(F.lit(f"{prefix}{new}/"), F.substring(instrument, len(f"{prefix}{old}/") + 1, 1 << 20))) for old, new in NUMBERED.items()]
+    return F.coalesce(*found)
+
+
 def norm_token(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
 

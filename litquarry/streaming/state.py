@@ -67,6 +67,18 @@ def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_b
     return met.withColumn("chunk", F.floor((F.col("_start") + before) / most_bytes)).select(*rows.columns, "chunk")
 
 
+def swept(rows: DataFrame, key: str, missing: Column, *, chunk: int, filled: str = "filled") -> DataFrame:
+    """``filled``: rows that were missing something and have it after the sweeps, each of which takes at most ``chunk`` of them.
+
+    Sweeps are numbered by the range of the key that a row is in, not one after the other: each range has about
+    ``chunk`` missing rows, and all are swept, so that a sweep that was cut off can be run again by its number.
+    """
+    marked = rows.withColumn("_missing", F.coalesce(missing, F.lit(False)))
+    spans = marked.where("_missing").agg(F.min(key).alias("_low"), F.max(key).alias("_high"), F.ceil(F.count("*") / chunk).alias("_n"))
+    sweep = F.floor((F.col(key) - F.col("_low")) * F.col("_n") / (F.col("_high") - F.col("_low") + 1))
+    return marked.join(spans).withColumn("sweep", F.when(F.col("_missing"), sweep)).withColumn(filled, F.col("sweep").isNotNull()).drop("_missing", "_low", "_high", "_n")
+
+
 def replay(requests: DataFrame, cached: DataFrame, answer: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame], DataFrame], *, key: str = "request", most_waves: int = 10, write: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Waves of requests until none is new: answers come from the cache, the rest are asked, their follow-ups join the next wave.
 
