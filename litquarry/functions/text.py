@@ -50,6 +50,51 @@ def distinctive(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
+def sibling_conflict(quote: Column, segment: Column) -> Column:
+    """Whether a distinctive token of the quote, other than a year, is missing from the segment: then it is another one of its kind."""
+    held = F.regexp_extract_all(F.lower(segment), F.lit("[0-9a-z]+"), F.lit(0))
+    told = F.filter(distinctive(quote), lambda t: ~t.rlike("^(?:19|20)[0-9]{2}$"))
+    return F.size(F.array_except(told, held)) > 0
+
+
+#: What marks a quote as mathematical, and special signs.
+MATH_MARKS = (
+    "=", "+", "-", "*", "/", "(", ")", "[", "]", "{", "}",
+    "alpha", "beta", "gamma", "delta", "lambda", "sigma", "theta",
+    "equation", "formula", "coefficient", "matrix", "norm",
+)
+SPECIAL = "°′″×±≈≤≥"
+#: Coverage, least and most length ratio, anchors, by the kind of content; later kinds win.
+THRESHOLDS = {
+    "plain": (0.6, 0.6, 1.8, 2),
+    "math": (0.5, 0.4, 2.5, 1),
+    "dash": (0.55, 0.5, 2.0, 1),
+    "hyphen": (0.5, 0.4, 2.5, 1),
+    "cross": (0.7, 0.7, 1.5, 2),
+}
+
+
+def adaptive_thresholds(quote: Column, parameter: Column) -> dict[str, Column]:
+    """What a match of a quote has to reach, by its content, its parameter and its length."""
+    low, name = F.lower(quote), F.lower(F.coalesce(parameter, F.lit("")))
+    any_in = lambda c, marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(c, m))
+    dashes = F.char_length(quote) - F.char_length(F.translate(quote, "–-—", ""))
+    kinds = {
+        "cross": F.contains(name, F.lit("cross")),
+        "hyphen": F.contains(name, F.lit("hyphen")),
+        "dash": (dashes > 2) | F.contains(name, F.lit("dash")),
+        "math": any_in(low, MATH_MARKS) | any_in(quote, SPECIAL),
+    }
+    pick = lambda k: F.coalesce(*(F.when(c, F.lit(THRESHOLDS[n][k])) for n, c in kinds.items()), F.lit(THRESHOLDS["plain"][k]))
+    length = F.char_length(quote)
+    return {
+        "coverage": F.when(length > 100, F.least(F.lit(0.7), F.round(pick(0) + 0.1, 2))).otherwise(pick(0)),
+        "least_ratio": pick(1),
+        "most_ratio": pick(2),
+        "anchors": F.when(length < 30, 1).otherwise(pick(3)),
+    }
+
+
 def looks_junk(text: Column, *, most_lines: float = 0.10, most_same: float = 0.8) -> Column:
     """Without characters, with too many lines for them, or mostly one and the same line. Blanks around the text don't count.
 

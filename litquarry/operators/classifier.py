@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term): words of two characters or more in lower case, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\b[0-9a-z_]{2,}\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     both = F.concat("w", F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))
     return rows.select(key, words.alias("w")).select(key, F.explode(both).alias("term"))
@@ -50,7 +50,7 @@ def balanced(labelled: DataFrame, label: str) -> DataFrame:
     return labelled.join(n, label).join(total).withColumn("weight", F.col("_all") / (2.0 * F.col("_n"))).drop("_n", "_all")
 
 
-def fit_logistic(labelled: DataFrame, label: str, n: int, *, c: float = 5.0, steps: int = 50):
+def fit_logistic(labelled: DataFrame, label: str, n: int, *, c: float = 5.0, steps: int = 20):
     """A logistic regression of (features, label, weight) with the inverse penalty ``c`` over ``n`` rows."""
     from pyspark.ml.classification import LogisticRegression
 

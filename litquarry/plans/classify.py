@@ -14,7 +14,7 @@ INTO, OUT = ["web", "forum"], ["code"]
 
 
 @query(
-    """WITH w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '\\b[0-9a-z_]{2,}\\b') AS w FROM conversations),
+    """WITH w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS w FROM conversations),
     g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
     c AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations),
     t AS (SELECT term, count(*) AS df, sum(tf) AS every FROM c GROUP BY 1), kept AS (SELECT term, ln((n + 1) / (df + 1)::DOUBLE) + 1 AS idf FROM t, n WHERE df >= 3 AND df <= n * 0.95 ORDER BY every DESC, term LIMIT 20000),
