@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,54 @@ def window_overlap_join(left: DataFrame, right: DataFrame, *, keys: list[str], d
     return met.where((ls < re) & (le >= rs) & (F.col("_bucket") == F.greatest(bucket(ls), bucket(rs)))).drop("_bucket")
 
 
-def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], id_col: str, window: tuple[str, str], valid: tuple[str, str], as_of: Column) -> DataFrame:
-    """``inside``: whether a row's window lies in any validity range of its key; an open range ends at ``as_of``."""
-    ended = ranges.select(*keys, F.col(valid[0]).alias("_from"), F.coalesce(F.col(valid[1]), as_of).alias("_to"))
-    inside = (F.col(window[0]) >= F.col("_from")) & (F.col(window[1]) <= F.col("_to"))
-    per_row = rows.join(ended, keys, "left").groupBy(id_col).agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("inside"))
-    return rows.join(per_row, id_col)
+def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], id_col: str, window: tuple[str, str], valid: tuple[str, str], as_of: Column, days: int = 365) -> DataFrame:
+    """``inside``: whether a row's window lies whole in one validity range of its key; an open range ends at ``as_of``.
+
+    A range is listed in every bucket of ``days`` that it reaches, and a row looks in the bucket of its start only. Of the
+    ranges that begin before a bucket only the one that ends last can matter, so that it alone is kept there.
+    """
+    bucket = lambda c: F.floor(F.unix_seconds(c) / (86400 * days))
+    ended = ranges.select(*keys, F.col(valid[0]).alias("_from"), F.coalesce(F.col(valid[1]), as_of).alias("_to")).where("_from <= _to").distinct()
+    listed = ended.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    own = [*keys, "_bucket"]
+    earlier = listed.where(bucket(F.col("_from")) < F.col("_bucket")).groupBy(*own).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    kept = listed.where(bucket(F.col("_from")) == F.col("_bucket")).select(*own, "_from", "_to").unionByName(earlier.select(*own, "_from", "_to"))
+    met = rows.select(*keys, id_col, *window).withColumn("_bucket", bucket(F.col(window[0]))).join(kept, own)
+    inside = met.where((F.col(window[0]) >= F.col("_from")) & (F.col(window[1]) <= F.col("_to"))).select(id_col, F.lit(True).alias("inside")).distinct()
+    return rows.join(inside, id_col, "left").fillna(False, ["inside"])
+
+
+def descend(nodes: DataFrame, *, node: str, parent: str, name: str, write: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(node, root, depth, path) of a tree of any depth, from the rows without a parent down, one join a level.
+
+    ``write`` stores a level and reads it back; without it the lineage grows by a join a level. Nodes under no root, as
+    in a cycle, are never reached.
+    """
+    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("_parent"), F.col(name).alias("_name"))
+    level = rows.where("_parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("_name").alias("path"))
+    found, k = level, 0
+    while not level.isEmpty():
+        k += 1
+        below = rows.join(level.select(F.col("node").alias("_parent"), "root", F.col("path").alias("_above")), "_parent")
+        level = below.select("node", "root", F.lit(k).alias("depth"), F.concat_ws(" / ", "_above", "_name").alias("path"))
+        level = write(level, k) if write else level
+        found = found.unionByName(level)
+    return found
 
 
-def resolve_unique(names: DataFrame, catalog: DataFrame, *, name_col: str, catalog_col: str, code_col: str) -> DataFrame:
-    """Look names up without regard to case: one hit is lookup-unique, none lookup-none, more are ambiguous."""
+def resolve_unique(names: DataFrame, catalog: DataFrame, *, name_col: str, catalog_col: str, code_col: str, explicit: str | None = None) -> DataFrame:
+    """Look names up without regard to case: one hit is lookup-unique, none lookup-none, more are ambiguous.
+
+    Codes are upper case. A row whose ``explicit`` column names its source has that one, whatever the catalog says.
+    """
     hits = catalog.groupBy(F.upper(catalog_col).alias("_key")).agg(F.countDistinct(code_col).alias("_n"), F.min(code_col).alias("_code"))
     met = names.join(hits, F.upper(names[name_col]) == F.col("_key"), "left")
     how = F.when(F.col("_n").isNull(), "lookup-none").when(F.col("_n") == 1, "lookup-unique").otherwise("ambiguous")
-    return met.withColumn("resolution", how).withColumn("code", F.when(F.col("_n") == 1, F.col("_code"))).drop("_key", "_n", "_code")
+    code = F.when(F.col("_n") == 1, F.upper("_code"))
+    if explicit:
+        told = F.nullif(F.col(explicit), F.lit(""))
+        how, code = F.when(told.isNotNull(), "explicit").otherwise(how), F.coalesce(F.upper(told), code)
+    return met.withColumn("resolution", how).withColumn("code", code).drop("_key", "_n", "_code")
 
 
 def merge_catalogs(first: DataFrame, second: DataFrame, key: Column) -> DataFrame:

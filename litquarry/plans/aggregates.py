@@ -345,12 +345,17 @@ def a30_bootstrap_interval(read):
 
 
 @query(
-    """SELECT call_type, count(*) AS n, round(avg(cost), 4) AS mean, round(avg(cost) - 1.96 * stddev_samp(cost) / sqrt(count(*)), 4) AS lower, round(avg(cost) + 1.96 * stddev_samp(cost) / sqrt(count(*)), 4) AS upper FROM calls GROUP BY 1""",
+    """, g AS (SELECT tokens AS grp, call_type, count(*) AS n, avg(cost) AS m, stddev_samp(cost) / sqrt(count(*)) AS se FROM calls WHERE call_id % 23 = tokens % 23 OR call_type = 'click' GROUP BY 1, 2),
+    q AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN n <= 10 THEN [12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163][n - 1]
+      ELSE 1.959963984540054::DOUBLE + 2.372271230298562 / (n - 1)::DOUBLE + 2.8224986157396112 / (n - 1)::DOUBLE ** 2 + 2.555849679507722 / (n - 1)::DOUBLE ** 3 + 1.5895340533938225 / (n - 1)::DOUBLE ** 4 END AS t FROM g)
+    SELECT grp, call_type, n, round(m, 6) AS mean, round(m - t * se, 6) AS lower, round(m + t * se, 6) AS upper FROM q""",
     "calls",
 )
 def a31_mean_interval(read):
-    half = s.Z95 * F.stddev_samp("cost") / F.sqrt(F.count("*"))
-    return calls(read).groupBy("call_type").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 4).alias("mean"), F.round(F.avg("cost") - half, 4).alias("lower"), F.round(F.avg("cost") + half, 4).alias("upper"))
+    """Student's interval of the mean cost in groups of few and of many calls; a group of one call has none."""
+    kept = calls(read).where((F.col("call_id") % 23 == F.col("tokens") % 23) | (F.col("call_type") == "click"))
+    half = s.t_quantile(F.count("*") - 1) * F.stddev_samp("cost") / F.sqrt(F.count("*"))
+    return kept.groupBy(F.col("tokens").alias("grp"), "call_type").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 6).alias("mean"), F.round(F.avg("cost") - half, 6).alias("lower"), F.round(F.avg("cost") + half, 6).alias("upper"))
 
 
 @query(
@@ -405,15 +410,15 @@ def a38_vector_mean(read):
 
 
 @query(
-    """SELECT observatory_id, CASE WHEN status = 'pending' THEN 'general_comments' ELSE status END AS parameter, count(*) AS n, string_agg(paper_id::VARCHAR, ',' ORDER BY paper_id) AS papers
-    FROM usages WHERE observatory_id < 10 GROUP BY 1, 2""",
+    """SELECT paper_id, CASE WHEN status = 'pending' THEN 'general_comments' ELSE status END AS parameter, count(*) AS n, string_agg(observatory_id::VARCHAR, ',' ORDER BY observatory_id) AS observatories
+    FROM usages GROUP BY 1, 2""",
     "usages",
 )
 def a39_grouped_quotes(read):
-    """The first observatories, each group in one row; a39_quotes_by_paper has all of them without arrays."""
+    """A paper's quotes of each parameter in one row: a paper has few. a39_quotes_by_paper has them by observatory, without arrays."""
     parameter = F.when(F.col("status") == "pending", "general_comments").otherwise(F.col("status"))
-    per = usages(read).where("observatory_id < 10").groupBy("observatory_id", parameter.alias("parameter")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("paper_id")).alias("of"))
-    return per.select("observatory_id", "parameter", "n", F.array_join(F.transform("of", lambda x: x.cast("string")), ",").alias("papers"))
+    per = usages(read).groupBy("paper_id", parameter.alias("parameter")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("observatory_id")).alias("of"))
+    return per.select("paper_id", "parameter", "n", F.array_join(F.transform("of", lambda x: x.cast("string")), ",").alias("observatories"))
 
 
 @query(

@@ -72,13 +72,13 @@ def w7_round_robin(read):
 
 @query(
     """SELECT datasource, observatory, instrument, win_start, win_end, paper_id FROM usages JOIN instruments USING (instrument_id) JOIN observatories USING (observatory_id)
-    WHERE paper_id < 500 ORDER BY ALL""",
+    ORDER BY ALL""",
     "usages",
     "instruments",
     "observatories",
 )
 def o1_multi_key_sort(read):
-    star = usages(read).where("paper_id < 500").join(instruments(read), "instrument_id").join(observatories(read), "observatory_id")
+    star = usages(read).join(instruments(read), "instrument_id").join(observatories(read), "observatory_id")
     keys = ["datasource", "observatory", "instrument", "win_start", "win_end", "paper_id"]
     return star.select(keys).orderBy(keys)
 
@@ -150,14 +150,14 @@ def u1_distinct(read):
 
 
 @query(
-    """, f AS (SELECT DISTINCT instrument_id FROM usages WHERE configuration = 'F' AND observatory_id < 15), o AS (SELECT DISTINCT instrument_id FROM usages WHERE configuration = 'O' AND observatory_id < 15)
+    """, f AS (SELECT DISTINCT instrument_id FROM usages WHERE configuration = 'F'), o AS (SELECT DISTINCT instrument_id FROM usages WHERE configuration = 'O')
     SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM f INTERSECT SELECT * FROM o) UNION ALL SELECT 'only_f', count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM o)
     UNION ALL SELECT 'only_o', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM f) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM f UNION SELECT * FROM o)""",
     "usages",
 )
 def u3_set_parts(read):
     """All four parts from one pass: each instrument says in which configurations it occurs."""
-    seen = usages(read).where("observatory_id < 15").groupBy("instrument_id").agg(F.bool_or(F.col("configuration") == "F").alias("f"), F.bool_or(F.col("configuration") == "O").alias("o"))
+    seen = usages(read).groupBy("instrument_id").agg(F.bool_or(F.col("configuration") == "F").alias("f"), F.bool_or(F.col("configuration") == "O").alias("o"))
     parts = {"both": F.col("f") & F.col("o"), "only_f": F.col("f") & ~F.col("o"), "only_o": F.col("o") & ~F.col("f"), "either": F.col("f") | F.col("o")}
     counted = seen.agg(*(F.count_if(c).alias(k) for k, c in parts.items()))
     return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col(k).alias("n")) for k in parts))).alias("x")).select("x.*")

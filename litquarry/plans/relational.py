@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from litquarry.functions import predicates as p
 from litquarry.functions.text import percent_encode
 from litquarry.operators import joins as j
 from litquarry.plans.registry import query
+from litquarry.sources.files import scratch
 from litquarry.sources.roles import Reader, calls, instruments, observatories, papers, usages, votes
 
 day = lambda s: F.lit(s).cast("timestamp")
@@ -328,20 +331,18 @@ def j9_window_overlap(read):
 
 
 @query(
-    """, valid AS (SELECT instrument_id, min(win_start) AS f, CASE WHEN channels % 2 = 0 THEN max(win_start) END AS t FROM usages JOIN instruments USING (instrument_id)
-      WHERE status = 'approved' GROUP BY instrument_id, channels)
+    """, valid AS (SELECT observatory_id % 5 AS source, instrument_id, win_start AS f, CASE WHEN channels % 9 > 0 THEN win_end + INTERVAL 90 DAY END AS t FROM usages JOIN instruments USING (instrument_id) WHERE status = 'approved')
     SELECT status, count(*) AS n, count(*) FILTER (inside) AS n_inside FROM (
-      SELECT u.status, coalesce(u.win_start >= f AND u.win_end <= coalesce(t, TIMESTAMP '2000-01-01'), false) AS inside
-      FROM usages u LEFT JOIN valid USING (instrument_id)) GROUP BY status""",
+      SELECT u.status, EXISTS (SELECT 1 FROM valid v WHERE v.source = u.observatory_id % 5 AND v.instrument_id = u.instrument_id AND u.win_start >= f AND u.win_end <= coalesce(t, TIMESTAMP '2000-01-01')) AS inside FROM usages u) GROUP BY status""",
     "usages",
     "instruments",
 )
 def j10_inside_validity(read):
-    use = usages(read).withColumn("usage_id", F.xxhash64("paper_id", "instrument_id", "observatory_id", "win_start", "win_end", "cost", "status", "configuration"))
+    """Every approved window of a source and instrument is a range of its own, some of them open."""
+    use = usages(read).withColumn("usage_id", F.xxhash64("paper_id", "instrument_id", "observatory_id", "win_start", "win_end", "cost", "status", "configuration")).withColumn("source", F.col("observatory_id") % 5)
     approved = use.where("status = 'approved'").join(instruments(read).select("instrument_id", "channels"), "instrument_id")
-    valid = approved.groupBy("instrument_id", "channels").agg(F.min("win_start").alias("valid_from"), F.max("win_start").alias("last"))
-    valid = valid.select("instrument_id", "valid_from", F.when(F.col("channels") % 2 == 0, F.col("last")).alias("valid_to"))
-    told = j.contained_join(use, valid, keys=["instrument_id"], id_col="usage_id", window=("win_start", "win_end"), valid=("valid_from", "valid_to"), as_of=day("2000-01-01"))
+    valid = approved.select("source", "instrument_id", F.col("win_start").alias("valid_from"), F.when(F.col("channels") % 9 > 0, F.col("win_end") + F.expr("interval 90 day")).alias("valid_to"))
+    told = j.contained_join(use, valid, keys=["source", "instrument_id"], id_col="usage_id", window=("win_start", "win_end"), valid=("valid_from", "valid_to"), as_of=day("2000-01-01"))
     return told.groupBy("status").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside"))
 
 
@@ -397,20 +398,21 @@ def j14_staged_resolution(read):
 
 
 @query(
-    """, hits AS (SELECT upper(instrument) AS k, count(DISTINCT mission) AS n, min(mission) AS code FROM instruments WHERE instrument_id < 90 GROUP BY 1)
-    SELECT DISTINCT w.name, CASE WHEN n IS NULL THEN 'lookup-none' WHEN n = 1 THEN 'lookup-unique' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN code END AS code
-    FROM (SELECT DISTINCT instrument AS name FROM instruments) w LEFT JOIN hits ON hits.k = upper(w.name)""",
+    """, hits AS (SELECT upper(instrument) AS k, count(DISTINCT mission) AS n, min(mission) AS code FROM instruments GROUP BY 1)
+    SELECT w.name, CASE WHEN source IS NOT NULL THEN 'explicit' WHEN n IS NULL THEN 'lookup-none' WHEN n = 1 THEN 'lookup-unique' ELSE 'ambiguous' END AS resolution, CASE WHEN source IS NOT NULL THEN upper(source) WHEN n = 1 THEN upper(code) END AS code
+    FROM (SELECT DISTINCT CASE WHEN channels % 5 = 0 THEN instrument || '?' ELSE lower(instrument) END AS name, CASE WHEN channels % 7 = 0 THEN kind END AS source FROM instruments) w LEFT JOIN hits ON hits.k = upper(w.name)""",
     "instruments",
 )
 def j15_ambiguity(read):
-    """Against the first instruments, so that names are missing; j15_ambiguity_whole_catalog has the right answers."""
+    """Names of which some are unknown and some come with a source of their own, which then holds."""
     every = instruments(read)
-    return j.resolve_unique(every.select(F.col("instrument").alias("name")).distinct(), every.where("instrument_id < 90"), name_col="name", catalog_col="instrument", code_col="mission")
+    names = every.select(F.when(F.col("channels") % 5 == 0, F.concat("instrument", F.lit("?"))).otherwise(F.lower("instrument")).alias("name"), F.when(F.col("channels") % 7 == 0, F.col("kind")).alias("source")).distinct()
+    return j.resolve_unique(names, every, name_col="name", catalog_col="instrument", code_col="mission", explicit="source").select("name", "resolution", "code")
 
 
 @query(
     """, hits AS (SELECT upper(instrument) AS k, count(DISTINCT mission) AS n, min(mission) AS code FROM instruments GROUP BY 1)
-    SELECT DISTINCT w.name, CASE WHEN n IS NULL THEN 'lookup-none' WHEN n = 1 THEN 'lookup-unique' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN code END AS code
+    SELECT DISTINCT w.name, CASE WHEN n IS NULL THEN 'lookup-none' WHEN n = 1 THEN 'lookup-unique' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN upper(code) END AS code
     FROM (SELECT DISTINCT instrument AS name FROM instruments) w LEFT JOIN hits ON hits.k = upper(w.name)""",
     "instruments",
 )
@@ -442,6 +444,43 @@ def j17_cross_runs(read):
     return totals.agg(F.lit("FO").alias("pair"), F.sum(F.col("f") * F.col("o")).alias("n_pairs"), F.sum("same").alias("same"))
 
 
+@query(
+    """SELECT u.paper_id, a.instrument_id AS first_run, b.instrument_id AS second_run, count(*) AS pairs, count(*) FILTER (a.status = b.status) AS agreed
+    FROM (SELECT DISTINCT paper_id FROM usages) u JOIN usages a ON a.paper_id = u.paper_id AND a.observatory_id % 2 = 0 JOIN usages b ON b.paper_id = u.paper_id AND b.observatory_id % 2 = 1 GROUP BY 1, 2, 3""",
+    "usages",
+)
+def j17_run_pairs(read):
+    """The pairs themselves: each row of a paper's first run against each of its second. A paper has few rows, so its product is small."""
+    of = lambda k, n: usages(read).where(F.col("observatory_id") % 2 == k).select("paper_id", F.col("instrument_id").alias(n), F.col("status").alias(f"of_{n}"))
+    met = of(0, "first_run").join(of(1, "second_run"), "paper_id")
+    return met.groupBy("paper_id", "first_run", "second_run").agg(F.count("*").alias("pairs"), F.count_if(F.col("of_first_run") == F.col("of_second_run")).alias("agreed"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier
+      UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey ELSE 'c' || (c_custkey + 1) // 2 END, c_mktsegment FROM customer WHERE c_custkey <> 1),
+    t AS (SELECT node, node AS root, 0 AS depth, name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.node, t.root, t.depth + 1, t.path || ' / ' || n.name FROM n JOIN t ON n.parent = t.node) SELECT * FROM t""",
+)
+def j18_tree_paths(read):
+    """Every node of a tree of unequal depth with its root, depth and path; nodes that hang on none are left out."""
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    k = F.col("c_custkey")
+    rows = [
+        read("region").select(key("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name")),
+        read("nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name")),
+        read("supplier").select(key("s", "s_suppkey").alias("node"), key("n", "s_nationkey").alias("parent"), F.col("s_name").alias("name")),
+        read("customer").where("c_custkey <> 1").select(key("c", "c_custkey").alias("node"), F.when(k % 2 == 0, key("n", "c_nationkey")).otherwise(F.concat(F.lit("c"), F.floor((k + 1) / 2))).alias("parent"), F.col("c_mktsegment").alias("name")),
+    ]
+    nodes = reduce(DataFrame.unionByName, rows)
+    folder = scratch(nodes.sparkSession, "tree")
+
+    def write(level: DataFrame, k: int) -> DataFrame:
+        level.write.parquet(f"{folder}/{k}")
+        return nodes.sparkSession.read.schema(level.schema).parquet(f"{folder}/{k}")
+
+    return j.descend(nodes, node="node", parent="parent", name="name", write=write)
+
+
 @query(
     """SELECT r_name AS root, n_name AS child, count(s_suppkey) AS leaves FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""",
 )
