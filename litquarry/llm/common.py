@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,25 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches; at its end the worker, which idles on beside later stages, gives unused memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+        from contextlib import suppress
+
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the C library of Linux has this
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 class Workspace:
     """One folder of the shared store for the tables of one job, removed as a whole when no later step reads them."""
 

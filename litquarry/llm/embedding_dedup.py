@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import written
+from litquarry.llm.common import giving_back, written
 from litquarry.llm.components import connected_components
 from litquarry.llm.fingerprints import dealt
 
@@ -115,7 +115,7 @@ def _decoded(vectors: DataFrame, counts: dict[int, int], **filters) -> DataFrame
                     found = made[size].decode(_unit(part.column(2)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "size", "filters"])
 
-    return vectors.select("id", "size", "vector").mapInArrow(decode, "id long, size int, filters array<long>")
+    return vectors.select("id", "size", "vector").mapInArrow(giving_back(decode), "id long, size int, filters array<long>")
 
 
 def _near(pairs: DataFrame, most: float) -> DataFrame:
@@ -133,7 +133,7 @@ def _near(pairs: DataFrame, most: float) -> DataFrame:
                 keep = pa.array(angle <= most)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(angle)], names=["id", "leader", "angle"]).filter(keep)
 
-    return pairs.select("id", "leader", "vector", "leads", "size").mapInArrow(near, "id long, leader long, angle double")
+    return pairs.select("id", "leader", "vector", "leads", "size").mapInArrow(giving_back(near), "id long, leader long, angle double")
 
 
 def _groups(vectors: DataFrame, decoded: DataFrame, link: float, rounds: int = 4) -> DataFrame:
@@ -203,7 +203,7 @@ def _met(groups: DataFrame, link: float, cosine: float) -> DataFrame:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure[keep])], names=["a", "b", "sure"])
 
-    return dealt(groups, "filter", "leader").mapInArrow(meet, "a long, b long, sure boolean")
+    return dealt(groups, "filter", "leader").mapInArrow(giving_back(meet), "a long, b long, sure boolean")
 
 
 def _counted(maybe: DataFrame, members: DataFrame, cosine: float, block: int = 512) -> DataFrame:
@@ -225,7 +225,7 @@ def _counted(maybe: DataFrame, members: DataFrame, cosine: float, block: int = 5
     blocks = written(blocks.groupBy("leader", "block").agg(F.collect_list(F.struct("id", "vector")).alias("x")).select("leader", "x.id", "x.vector"), "blocks")
     side = lambda key, ids, vectors: blocks.select(F.col("leader").alias(key), F.col("id").alias(ids), F.col("vector").alias(vectors))
     met = maybe.select("a", "b").join(side("a", "ids", "mine"), "a").join(side("b", "theirs", "others"), "b")
-    return met.select("a", "b", "ids", "theirs", "mine", "others").mapInArrow(count, "id long, other long, n long").groupBy("id", "other").agg(F.sum("n").alias("n"))
+    return met.select("a", "b", "ids", "theirs", "mine", "others").mapInArrow(giving_back(count), "id long, other long, n long").groupBy("id", "other").agg(F.sum("n").alias("n"))
 
 
 def embedding_links(table: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", **filters) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litquarry.llm.common import giving_back
+
 #: Distinct words that a worker remembers hashes of; longer words than LONG bytes are hashed anew each time.
 MOST_WORDS, LONG = 500_000, 48
 
@@ -177,4 +179,4 @@ def packed_shards(docs: DataFrame, *, shard_bytes: int = 2 << 20) -> DataFrame:
         for k in list(held):
             yield close(k)
 
-    return docs.select("id", "text", "batch").mapInArrow(pack, "batch int, shard long, packed binary")
+    return docs.select("id", "text", "batch").mapInArrow(giving_back(pack), "batch int, shard long, packed binary")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import new_folder, remove_folder, write_table, written
+from litquarry.llm.common import giving_back, new_folder, remove_folder, write_table, written
 from litquarry.llm.components import connected_components
 from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, pack_texts, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
@@ -58,7 +58,7 @@ def set_digests(shards: DataFrame, *, words: int = 5) -> DataFrame:
                 columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([shard] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "shard", "place"])
 
-    return shards.select("shard", "packed").mapInArrow(digests, "id long, n long, digest binary, shard long, place int")
+    return shards.select("shard", "packed").mapInArrow(giving_back(digests), "id long, n long, digest binary, shard long, place int")
 
 
 def keep_places(shards: DataFrame, kept: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def keep_places(shards: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "packed"])
 
     places = kept.groupBy("shard").agg(F.collect_list("place").alias("places"))
-    return shards.join(places.hint("merge"), "shard").select("shard", "packed", "places").mapInArrow(keep, SHARDS)
+    return shards.join(places.hint("merge"), "shard").select("shard", "packed", "places").mapInArrow(giving_back(keep), SHARDS)
 
 
 def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -112,8 +112,8 @@ def _document_frequencies(shards: DataFrame, words: int, buckets: int) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "bucket", "shared", "counts"])
 
-    sent = shards.select("shard", "packed").mapInArrow(send, "bucket int, shard long, hashes binary, counts binary")
-    return dealt(sent, "bucket").mapInArrow(count, "shard long, bucket int, shared binary, counts binary")
+    sent = shards.select("shard", "packed").mapInArrow(giving_back(send), "bucket int, shard long, hashes binary, counts binary")
+    return dealt(sent, "bucket").mapInArrow(giving_back(count), "shard long, bucket int, shared binary, counts binary")
 
 
 def _prefixes(shards: DataFrame, told: DataFrame, words: int, buckets: int, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _prefixes(shards: DataFrame, told: DataFrame, words: int, buckets: int, perc
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     answers = told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "shared", "counts")).alias("answers"))
-    return shards.join(answers.hint("merge"), "shard").select("packed", "answers").mapInArrow(cut, FOUND)
+    return shards.join(answers.hint("merge"), "shard").select("packed", "answers").mapInArrow(giving_back(cut), FOUND)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda key, n, hashes: sets.select(F.col("id").alias(key), F.col("n").alias(n), F.col("hashes").alias(hashes))
     met = pairs.join(side("a", "n1", "h1"), "a").join(side("b", "n2", "h2"), "b")
-    return met.select("a", "b", "n1", "n2", "h1", "h2").mapInArrow(check, "a long, b long")
+    return met.select("a", "b", "n1", "n2", "h1", "h2").mapInArrow(giving_back(check), "a long, b long")
 
 
 def similar_sets(shards: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import written
+from litquarry.llm.common import giving_back, written
 from litquarry.llm.tokens import encoder, slices, word_pieces
 
 #: A packed sequence's contents as ((length, times), ...) in order of their offsets, and how many sequences have them.
@@ -164,7 +164,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id:
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     out = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(cut, out)
+    return rows.mapInArrow(giving_back(cut), out)
 
 
 def assign_sequences(pieces: DataFrame, *, size: int = 2048, id_col: str = "doc_id") -> DataFrame:
@@ -204,7 +204,7 @@ def assign_sequences(pieces: DataFrame, *, size: int = 2048, id_col: str = "doc_
         .select(*pieces.columns, "bucket", "rank")
     )
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(giving_back(place), out)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import new_folder, remove_folder, write_table
+from litquarry.llm.common import giving_back, new_folder, remove_folder, write_table
 from litquarry.llm.files import input_stream, make_folder, output
 from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
@@ -65,7 +65,7 @@ def _sent(documents: DataFrame, width: int, buckets: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return documents.select("shard", "packed").mapInArrow(send, "bucket int, shard long, hashes binary, checks binary, owners binary")
+    return documents.select("shard", "packed").mapInArrow(giving_back(send), "bucket int, shard long, hashes binary, checks binary, owners binary")
 
 
 def _read_run(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*told, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "bucket", "held"])
 
         answers = self._next("answers")
-        write_table(dealt(_sent(documents, self.width, self.buckets), "bucket", "shard").mapInArrow(merge, REPLY), answers)
+        write_table(dealt(_sent(documents, self.width, self.buckets), "bucket", "shard").mapInArrow(giving_back(merge), REPLY), answers)
         if keep:
             self.levels[0].append(path)
             self.compact()
@@ -181,7 +181,7 @@ class FingerprintIndex:
                         yield batch
 
                 parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-                self.spark.range(0, self.buckets, 1, min(parts, self.buckets)).mapInArrow(merge, "id long").agg(F.count("*")).collect()
+                self.spark.range(0, self.buckets, 1, min(parts, self.buckets)).mapInArrow(giving_back(merge), "id long").agg(F.count("*")).collect()
                 for p in old:
                     remove_folder(self.spark, p)
                 if level + 1 == len(self.levels):
@@ -228,7 +228,7 @@ def remove_covered(documents: DataFrame, answers: DataFrame, *, width: int, buck
 
     told = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "held")).alias("told"))
     met = documents.join(told, "shard", "left").select("packed", "told")
-    return met.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
+    return met.mapInArrow(giving_back(keep), "id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litquarry.llm.common import giving_back
 from litquarry.llm.tokens import BYTE_SYMBOLS, CACHE_PIECES, LONG_PIECE, byte_pieces, slices
 
 #: The pattern by which byte-level tokenizers cut text before merging; blanks are Unicode's White_Space.
@@ -124,4 +125,4 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(counted, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(giving_back(counted), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")

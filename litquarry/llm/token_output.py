@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import new_folder, written
+from litquarry.llm.common import giving_back, new_folder, written
 from litquarry.llm.files import input_stream, make_folder, output
 from litquarry.llm.tokens import byte_pieces, encoder, slices
 
@@ -206,7 +206,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    return written(ordered.mapInArrow(write, "part int, shard int, path string, n_docs long, n_tokens long, before long"), "token-manifest")
+    return written(ordered.mapInArrow(giving_back(write), "part int, shard int, path string, n_docs long, n_tokens long, before long"), "token-manifest")
 
 
 def read_token_shards(spark: SparkSession, manifest: DataFrame, *, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -243,7 +243,7 @@ def read_token_shards(spark: SparkSession, manifest: DataFrame, *, id_col: str =
 
     files = manifest.select("part", "path", "before")
     out = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition(max(1, files.count())).mapInArrow(read, out)
+    return files.repartition(max(1, files.count())).mapInArrow(giving_back(read), out)
 
 
 def token_output(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import written
+from litquarry.llm.common import giving_back, written
 from litquarry.llm.tokens import slices
 
 #: Letters of a subsequence, the longest span that it may have, and the weight of each place that it spans.
@@ -197,7 +197,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int32()), strict=True)], names=["part", "whole", "label"])
 
-    found = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(parts, "part string, whole boolean, label int")
+    found = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(giving_back(parts), "part string, whole boolean, label int")
     return found.groupBy("part", "whole").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
@@ -298,7 +298,7 @@ def score_texts(docs: DataFrame, machine: StringKernelMachine, *, id_col: str =
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(margins), pa.array(tool.scores(margins)), pa.array(top, pa.string())], names=[id_col, "margin", "score", "word"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(score, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, margin double, score double, word string")
+    return rows.mapInArrow(giving_back(score), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, margin double, score double, word string")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fitting) -> DataFrame:

@@ -11,7 +11,7 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm.common import new_folder, written
+from litquarry.llm.common import giving_back, new_folder, written
 from litquarry.llm.files import input_stream, make_folder, output
 
 #: Fixed values of the WARC 1.1 format.
@@ -81,7 +81,7 @@ def write_warc(planned: DataFrame, folder: str, *, date: str = "1970-01-01T00:00
                     n += 1
         yield pa.RecordBatch.from_pydict({"path": pa.array([uri], pa.string()), "n_records": pa.array([n], pa.int64())})
 
-    return written(planned.sortWithinPartitions("page_id").mapInArrow(archive, "path string, n_records long"), "warc-manifest")
+    return written(planned.sortWithinPartitions("page_id").mapInArrow(giving_back(archive), "path string, n_records long"), "warc-manifest")
 
 
 def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -151,7 +151,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, id_type: str = "long"
 
     out = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload string"
     files = manifest.where(F.col("n_records") > 0).select("path")
-    read = files.repartition(max(1, files.count())).mapInArrow(scan, out)
+    read = files.repartition(max(1, files.count())).mapInArrow(giving_back(scan), out)
     return read.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
