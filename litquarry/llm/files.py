@@ -18,6 +18,14 @@ def make_folder(uri: str) -> None:
     store.create_dir(path, recursive=True)
 
 
+def list_folder(uri: str) -> list[str]:
+    """The names of what a folder holds."""
+    from pyarrow import fs
+
+    store, path = _place(uri)
+    return [f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+
+
 @contextmanager
 def output(uri: str):
     """A binary stream whose file takes its name once it is complete; a second attempt of a task replaces it."""

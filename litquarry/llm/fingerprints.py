@@ -30,10 +30,14 @@ def _factors(n: int, seed: int) -> np.ndarray:
 
 
 class WordHashes(dict):
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        found = xxhash.xxh64_intdigest(word)
+        found = xxhash.xxh64_intdigest(word, self.seed)
         if len(word) <= LONG:
             if len(self) >= MOST_WORDS:
                 self.clear()
@@ -41,11 +45,13 @@ class WordHashes(dict):
         return found
 
 
-_KNOWN = WordHashes()
+_KNOWN = {0: WordHashes()}
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    """A hash of each word; another seed is another hash of its bytes."""
+    known = _KNOWN.setdefault(seed, WordHashes(seed))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

@@ -3,11 +3,13 @@
 Sorted, immutable runs hold the fingerprints of all windows seen so far, a file for each bucket of hashes. A batch of
 documents is dealt to the buckets and merge-joined with their runs there; what they hold is removed from the batch, its
 new fingerprints become a run, and runs of a level are compacted into one of the next. A fingerprint is 64 bits to
-merge on and 32 other bits, of an independent hash of the same words, to verify each match with.
+merge on and 32 other bits to verify each match with, made of another hash of each word's bytes. A manifest names the
+runs, so that a later session opens the index and goes on.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.common import giving_back, new_folder, remove_folder, write_table
-from litquarry.llm.files import input_stream, make_folder, output
+from litquarry.llm.files import input_stream, list_folder, make_folder, output
 from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
 SHARDS = "batch int, shard long, packed binary"
@@ -32,14 +34,15 @@ class ShardWindows:
     def __init__(self, ids: list[int | None], texts: list[str | None], width: int):
         self.words = [(t or "").encode().split() for t in texts]
         self.size = np.array([len(w) for w in self.words], np.int64)
-        flat = word_hashes([x for w in self.words for x in w])
+        every = [x for w in self.words for x in w]
+        flat, other = word_hashes(every), word_hashes(every, seed=1)
         known = np.array([i is not None for i in ids], bool)
         self.ids = np.array([i or 0 for i in ids], np.int64)
         text = np.repeat(np.arange(len(ids)), self.size)
         left = np.repeat(np.cumsum(self.size), self.size) - np.arange(len(flat))
         self.at = np.flatnonzero((left >= width) & known[text])
         hashes = window_hashes(flat, width)[self.at]
-        checks = (window_hashes(flat, width, seed=1) >> np.uint64(32)).astype(np.uint32)[self.at]
+        checks = (window_hashes(other, width, seed=1) >> np.uint64(32)).astype(np.uint32)[self.at]
         self.id_of = self.ids[text[self.at]]
         order = np.lexsort((self.id_of, checks, hashes))
         hashes, checks = hashes[order], checks[order]
@@ -104,13 +107,40 @@ def _held(hashes: np.ndarray, checks: np.ndarray, run: tuple[np.ndarray, np.ndar
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in the shared folder. ``levels`` holds the folders of the runs by level."""
+    """Runs of window fingerprints in the shared folder. ``levels`` holds the folders of the runs by level.
+
+    After every change a new manifest names them; the one with the highest number counts, and the others go. ``open``
+    reads it back, in this session or another.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, *, width: int = 13, buckets: int = 256, fanout: int = 4):
         self.spark, self.folder, self.width, self.buckets, self.fanout = spark, folder, width, buckets, fanout
         self.levels: list[list[str]] = [[]]
         self.made = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that was left in ``folder``."""
+        names = [n for n in list_folder(folder) if n.startswith("manifest-")]
+        if not names:
+            raise FileNotFoundError(f"no index in {folder}")
+        with input_stream(f"{folder}/{max(names)}") as source:
+            state = json.loads(source.read())
+        found = cls(spark, folder, width=state["width"], buckets=state["buckets"], fanout=state["fanout"])
+        found.levels, found.made = [[f"{folder}/{n}" for n in level] for level in state["levels"]], state["made"]
+        return found
+
+    def save(self) -> None:
+        """Write the manifest of the runs as they are now, and delete older ones."""
+        make_folder(self.folder)
+        name = self._next("manifest").rsplit("/", 1)[1]
+        state = {"width": self.width, "buckets": self.buckets, "fanout": self.fanout, "made": self.made, "levels": [[p.rsplit("/", 1)[1] for p in level] for level in self.levels]}
+        with output(f"{self.folder}/{name}") as out:
+            out.write(json.dumps(state).encode())
+        for old in list_folder(self.folder):
+            if old.startswith("manifest-") and old < name:
+                remove_folder(self.spark, f"{self.folder}/{old}")
+
     def _next(self, kind: str) -> str:
         self.made += 1
         return f"{self.folder}/{kind}-{self.made:06d}"
@@ -159,6 +189,7 @@ class FingerprintIndex:
         write_table(dealt(_sent(documents, self.width, self.buckets), "bucket", "shard").mapInArrow(giving_back(merge), REPLY), answers)
         if keep:
             self.levels[0].append(path)
+            self.save()
             self.compact()
         return self.spark.read.schema(REPLY).parquet(answers)
 
@@ -182,11 +213,12 @@ class FingerprintIndex:
 
                 parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
                 self.spark.range(0, self.buckets, 1, min(parts, self.buckets)).mapInArrow(giving_back(merge), "id long").agg(F.count("*")).collect()
-                for p in old:
-                    remove_folder(self.spark, p)
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(path)
+                self.save()
+                for p in old:
+                    remove_folder(self.spark, p)
             level += 1
 
     def drop(self) -> None:
@@ -194,6 +226,7 @@ class FingerprintIndex:
         for path in (p for level in self.levels for p in level):
             remove_folder(self.spark, path)
         self.levels = [[]]
+        self.save()
 
 
 def remove_covered(documents: DataFrame, answers: DataFrame, *, width: int, buckets: int) -> DataFrame:

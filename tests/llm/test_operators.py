@@ -164,7 +164,12 @@ def test_incremental_batches_meet_history(spark):
         batch = written(packed_shards(spark.createDataFrame([(i, t, 0) for i, t in rows], "id long, text string, batch int")), "batch")
         got = {r["id"]: r["n_removed"] for r in remove_covered(batch, index.ingest(batch), width=13, buckets=16).collect()}
         assert got == {i: 40 if k and text in t else 0 for i, t in rows}
-    assert sum(map(len, index.levels)) < 4
+        index = FingerprintIndex.open(spark, index.folder)  # as a later session would
+    assert 0 < sum(map(len, index.levels)) < 4
+    index.drop()
+    assert FingerprintIndex.open(spark, index.folder).levels == [[]]
+    with pytest.raises(FileNotFoundError):
+        FingerprintIndex.open(spark, new_folder(spark, "nothing"))
 
 
 def test_token_counts(docs, nothing, rows):
