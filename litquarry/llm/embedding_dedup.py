@@ -22,6 +22,8 @@ from litquarry.llm.fingerprints import dealt
 
 #: Room for rounding where angles decide without a product of the two vectors, in radians.
 SLACK = 1e-6
+#: Groups of a filter that one task meets at a time; a filter with more is cut into blocks, and pairs of blocks meet.
+BLOCK = 2048
 
 
 class CapFilters:
@@ -158,6 +160,17 @@ def _groups(vectors: DataFrame, decoded: DataFrame, link: float, rounds: int = 4
     return every.join(placed.dropDuplicates(["id"]), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
 
 
+def _in_cells(taken: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(filter, leader): the groups of a filter with more than ``block`` of them are dealt to blocks, and each pair of blocks
+    is a cell of its own, which stands as another filter. Two groups of one filter meet in one cell at least.
+    """
+    large = taken.groupBy("filter").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
+    n = F.coalesce("blocks", F.lit(1))
+    dealt_ = taken.join(large, "filter", "left").withColumn("own", F.pmod(F.xxhash64("leader"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    cell = F.when(n == 1, F.col("filter")).otherwise(F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt_.select(cell.alias("filter"), "leader")
+
+
 def _met(groups: DataFrame, link: float, cosine: float) -> DataFrame:
     """(a, b, sure) of groups that share a filter: all of their vectors link (sure), or some may.
 
@@ -233,7 +246,8 @@ def embedding_links(table: DataFrame, *, cosine: float = 0.95, id_col: str = "ve
 
     A component is named by the smallest id that links reach. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, and so do vectors of another size and rows with a null id. Rows that
-    repeat an id are each answered with the links of one of them, as one vector. ``filters``: see ``CapFilters``.
+    repeat an id are each answered with the links of one of them, as one vector, and other columns are ignored.
+    Ids are integral. ``filters``: see ``CapFilters``.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     sound = F.col("id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
@@ -245,7 +259,7 @@ def embedding_links(table: DataFrame, *, cosine: float = 0.95, id_col: str = "ve
     sizes = written(grouped.groupBy("leader").agg(F.count("*").alias("n"), F.max("angle").alias("radius")), "group-sizes")
     leads = sizes.join(vectors.select(F.col("id").alias("leader"), "size", "vector"), "leader")
     taken = decoded.select("id", F.explode("filters").alias("filter")).join(grouped.select("id", "leader"), "id").select("filter", "leader").distinct()
-    met = _met(taken.join(leads, "leader").select("filter", "size", "leader", "radius", "vector"), link, cosine)
+    met = _met(_in_cells(written(taken, "filter-groups")).join(leads, "leader").select("filter", "size", "leader", "radius", "vector"), link, cosine)
     pairs = written(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "group-pairs")
 
     sure = pairs.where("sure").select("a", "b")

@@ -327,6 +327,19 @@ def test_warc_damage(tmp_path, spark):
         list(read_records(path))
 
 
+def test_embedding_filters_in_blocks(spark):
+    """However a filter is cut into blocks, all pairs of its groups meet."""
+    from litquarry.llm.embedding_dedup import _in_cells
+
+    rows = [(f, i) for f, n in ((1, 23), (2, 5), (3, 1)) for i in range(100 * f, 100 * f + n)]
+    cells = {}
+    for r in _in_cells(spark.createDataFrame(rows, "filter long, leader long"), block=5).collect():
+        cells.setdefault(r["filter"], []).append(r["leader"])
+    met = {(a, b) for x in cells.values() for a in x for b in x if a < b}
+    assert met == {(a, b) for f, a in rows for g, b in rows if f == g and a < b}
+    assert max(map(len, cells.values())) < 23 and len(cells) > 3
+
+
 def test_embedding_links(spark):
     from litquarry.llm.embedding_dedup import embedding_links
 
