@@ -14,8 +14,6 @@ from litquarry.functions import compare, parsers, times
 from litquarry.plans.registry import query
 from litquarry.sources.roles import calls, instruments, usages
 
-ID, TOKENS = F.col("call_id"), F.col("tokens")
-
 
 def text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -38,8 +36,8 @@ def forms(rest: Column, *choices: str | Column) -> Column:
 def h1_time(read):
     said = lambda shift, precision, error: text('{"start": "', form(F.col("created_at") + shift), '", "end": "', form(F.col("created_at") + F.expr("interval 1 hour")), '", "precision": "', precision, '", "error": ', error, "}")
     none = F.expr("interval 0 hour")
-    a = said(none, F.lit("second"), TOKENS % 4 == 0)
-    b = F.when(TOKENS % 7 == 0, "about noon").otherwise(F.when(TOKENS % 3 == 1, said(F.expr("interval 1 minute"), F.lit("second"), TOKENS % 6 == 0)).otherwise(said(none, F.when(ID % 5 == 0, "day").otherwise("second"), TOKENS % 6 == 0)))
+    a = said(none, F.lit("second"), F.col("tokens") % 4 == 0)
+    b = F.when(F.col("tokens") % 7 == 0, "about noon").otherwise(F.when(F.col("tokens") % 3 == 1, said(F.expr("interval 1 minute"), F.lit("second"), F.col("tokens") % 6 == 0)).otherwise(said(none, F.when(F.col("call_id") % 5 == 0, "day").otherwise("second"), F.col("tokens") % 6 == 0)))
     return calls(read).select("call_id", compare.times_agree(*(compare.parsed(x, compare.TIME) for x in (a, b))).alias("agree"))
 
 
@@ -53,8 +51,8 @@ def h1_time(read):
 def h2_mission_identification(read):
     """Answers name missions by numbers in brackets, or say that they are unknown."""
     unknown = F.col("call_type") == "error"
-    a = F.when(unknown, "UNKNOWN").otherwise(text("HELIOS (", TOKENS % 5, "), other (7)"))
-    b = F.when(unknown & (TOKENS % 2 == 0), "it is Unknown").when(TOKENS % 3 == 0, text("7 and ", TOKENS % 5)).otherwise(text("A (", TOKENS % 5, ") B (", TOKENS % 2 + 6, ")"))
+    a = F.when(unknown, "UNKNOWN").otherwise(text("HELIOS (", F.col("tokens") % 5, "), other (7)"))
+    b = F.when(unknown & (F.col("tokens") % 2 == 0), "it is Unknown").when(F.col("tokens") % 3 == 0, text("7 and ", F.col("tokens") % 5)).otherwise(text("A (", F.col("tokens") % 5, ") B (", F.col("tokens") % 2 + 6, ")"))
     met = compare.identifications_agree(parsers.index_list(a), parsers.index_list(b), parsers.says_unknown(a), parsers.says_unknown(b))
     return calls(read).select("call_id", met["agree"].alias("agree"), met["same_first"].alias("same_first"), F.round(met["jaccard"], 6).alias("jaccard"))
 
@@ -65,9 +63,9 @@ def h2_mission_identification(read):
 )
 def h3_selection(read):
     """The same numbers in another order, one more of them, both ambiguous, and one answer without any."""
-    rest = ID % 4
+    rest = F.col("call_id") % 4
     a = forms(rest, "(3), (5)", "(2)", "(0)", "(4)")
-    b = forms(rest, "5 then 3", F.when(TOKENS % 3 == 0, "(2), (2)").otherwise("(2), (9)"), "0 or (0), (1)", "none of them")
+    b = forms(rest, "5 then 3", F.when(F.col("tokens") % 3 == 0, "(2), (2)").otherwise("(2), (9)"), "0 or (0), (1)", "none of them")
     return calls(read).select("call_id", compare.selections_agree(parsers.index_list(a), parsers.index_list(b)).alias("agree"))
 
 
@@ -77,9 +75,9 @@ def h3_selection(read):
 )
 def h4_cadence(read):
     """NONE is an empty list; durations are sets."""
-    rest = ID % 4
-    a = forms(rest, "PT1M, PT30S", "PT1M", text("PT", TOKENS, "S"), "NONE")
-    b = forms(rest, "PT30S,PT1M,", "none", text("PT", TOKENS + TOKENS % 2, "S"), " none ")
+    rest = F.col("call_id") % 4
+    a = forms(rest, "PT1M, PT30S", "PT1M", text("PT", F.col("tokens"), "S"), "NONE")
+    b = forms(rest, "PT30S,PT1M,", "none", text("PT", F.col("tokens") + F.col("tokens") % 2, "S"), " none ")
     read_list = lambda x: F.coalesce(parsers.cadence_list(x), F.array().cast("array<string>"))
     return calls(read).select("call_id", compare.same_sets(read_list(a), read_list(b)).alias("agree"))
 
@@ -94,9 +92,9 @@ def h5_detector_and_observable(read):
     kind = F.col("call_type") == "click"
     pick = lambda x: parsers.candidate(x, known)
     a = pick(F.when(kind, "UNCERTAIN").otherwise("COR1"))
-    b = pick(F.when(TOKENS % 4 == 0, "EUVI").when(TOKENS % 3 == 0, "Cor1").otherwise(" COR1 "))
+    b = pick(F.when(F.col("tokens") % 4 == 0, "EUVI").when(F.col("tokens") % 3 == 0, "Cor1").otherwise(" COR1 "))
     c = pick(F.when(kind, "uncertain").otherwise("Intensity"))
-    d = pick(F.when(TOKENS % 4 == 0, "density").otherwise("intensity"))
+    d = pick(F.when(F.col("tokens") % 4 == 0, "density").otherwise("intensity"))
     return calls(read).select("call_id", compare.detectors_agree(a, b).alias("detector"), compare.observables_agree(c, d).alias("observable"))
 
 
@@ -106,18 +104,18 @@ def h5_detector_and_observable(read):
 )
 def h6_wavelength(read):
     """The same values in another order, another unit, another type, values 0 or 0.002 apart, and no JSON."""
-    rest = ID % 5
+    rest = F.col("call_id") % 5
     said = lambda kind, unit, values: text('{"type": "', F.lit(kind), '", "unit": "', F.lit(unit), '", "values": [', values, "]}")
-    a = said("list", "nm", text(TOKENS, ", 171.1"))
-    b = forms(rest, said("list", "nm", text("171.1004, ", TOKENS)), said("list", "angstrom", text(TOKENS, ", 171.1")), said("range", "nm", text(TOKENS, ", 171.1")), said("list", "nm", text(TOKENS, ", ", 171.1 + (TOKENS % 2) * 0.002)), "171.1 nm")
+    a = said("list", "nm", text(F.col("tokens"), ", 171.1"))
+    b = forms(rest, said("list", "nm", text("171.1004, ", F.col("tokens"))), said("list", "angstrom", text(F.col("tokens"), ", 171.1")), said("range", "nm", text(F.col("tokens"), ", 171.1")), said("list", "nm", text(F.col("tokens"), ", ", 171.1 + (F.col("tokens") % 2) * 0.002)), "171.1 nm")
     return calls(read).select("call_id", compare.wavelengths_agree(*(compare.parsed(x, compare.WAVELENGTH) for x in (a, b))).alias("agree"))
 
 
 @query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE tokens % 2 = 0 END AS agree FROM calls", "calls")
 def h7_validation(read):
-    rest = ID % 4
+    rest = F.col("call_id") % 4
     a = forms(rest, "FINAL DECISION: accept", "final decision - **ACCEPT**", "nothing decided", "Conclusion: reject")
-    b = forms(rest, '{"decision": "Accept"}', "Conclusion: reject", "nothing decided", F.when(TOKENS % 2 == 0, "Final Decision: Reject").otherwise("Final Decision: Accept"))
+    b = forms(rest, '{"decision": "Accept"}', "Conclusion: reject", "nothing decided", F.when(F.col("tokens") % 2 == 0, "Final Decision: Reject").otherwise("Final Decision: Accept"))
     return calls(read).select("call_id", compare.verdicts_agree(parsers.verdict(a), parsers.verdict(b)).alias("agree"))
 
 
@@ -145,9 +143,9 @@ def h8_structure(read):
     "calls",
 )
 def h9_disagreement_class(read):
-    item = ID % 400
-    answer = F.when(TOKENS % 11 == 0, "NONE").when(TOKENS % 13 == 0, "PARSE_ERROR").when(item < 100, text("PT", TOKENS % 2, "S")).otherwise(text("PT", (item % 3) * (TOKENS % 3), "S"))
-    told = calls(read).where((TOKENS < 8) | (TOKENS > 60)).groupBy(item.alias("item_id")).agg(F.collect_set(answer).alias("each"))
+    item = F.col("call_id") % 400
+    answer = F.when(F.col("tokens") % 11 == 0, "NONE").when(F.col("tokens") % 13 == 0, "PARSE_ERROR").when(item < 100, text("PT", F.col("tokens") % 2, "S")).otherwise(text("PT", (item % 3) * (F.col("tokens") % 3), "S"))
+    told = calls(read).where((F.col("tokens") < 8) | (F.col("tokens") > 60)).groupBy(item.alias("item_id")).agg(F.collect_set(answer).alias("each"))
     return told.select("item_id", compare.disagreement_class(F.col("each")).alias("class"))
 
 
@@ -174,22 +172,22 @@ def h10_grounding(read):
     "calls",
 )
 def r2_field_label(read):
-    value = text(F.col("call_type"), " ", TOKENS)
-    line = forms(ID % 6, text("- **General Comments**: ", value, "  "), text("-  Time Range:", value), text("- **Wavelength(s)**: ", value), text("- Physical Observable**: ", value), text("- **Additional Comments**:   ", value), text("* Time Range: ", value))
+    value = text(F.col("call_type"), " ", F.col("tokens"))
+    line = forms(F.col("call_id") % 6, text("- **General Comments**: ", value, "  "), text("-  Time Range:", value), text("- **Wavelength(s)**: ", value), text("- Physical Observable**: ", value), text("- **Additional Comments**:   ", value), text("* Time Range: ", value))
     return calls(read).select("call_id", *(c.alias(n) for n, c in zip(("field", "value"), parsers.field_of(line), strict=True)))
 
 
 @query("SELECT call_id, CASE WHEN call_id % 6 < 5 THEN call_type || ' at ' || tokens END AS quote FROM calls", "calls")
 def r3_quote(read):
-    said = text(F.col("call_type"), " at ", TOKENS)
-    line = forms(ID % 6, text('- **Supporting Quote**: "', said, '"  '), text("  - Supporting Quote: “", said, " ”"), text('**Supporting Quote**: "', said), text("- **Supporting Quote**:  ", said, " "), text('  *"', said, '"*'), text("- **Time Range**: ", said))
+    said = text(F.col("call_type"), " at ", F.col("tokens"))
+    line = forms(F.col("call_id") % 6, text('- **Supporting Quote**: "', said, '"  '), text("  - Supporting Quote: “", said, " ”"), text('**Supporting Quote**: "', said), text("- **Supporting Quote**:  ", said, " "), text('  *"', said, '"*'), text("- **Time Range**: ", said))
     return calls(read).select("call_id", parsers.supporting_quote(line).alias("quote"))
 
 
 @query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN call_type WHEN 1 THEN 'first' WHEN 2 THEN '  ' ELSE 'first' END AS time_range FROM calls", "calls")
 def r4_period_fallback(read):
-    given = forms(ID % 4, F.col("call_type"), F.lit(""), F.lit("  "), F.lit("   "))
-    quotes = F.when(ID % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("first"), F.col("call_type")))
+    given = forms(F.col("call_id") % 4, F.col("call_type"), F.lit(""), F.lit("  "), F.lit("   "))
+    quotes = F.when(F.col("call_id") % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("first"), F.col("call_type")))
     return calls(read).select("call_id", parsers.period_time(given, quotes).alias("time_range"))
 
 
@@ -200,7 +198,7 @@ def r4_period_fallback(read):
 )
 def r5_wavelengths(read):
     """Nanometres from single values, lists, ranges, malformed texts and repeated values."""
-    said = forms(ID % 5, text(TOKENS + 1.5, " nm"), text(TOKENS + 2, ", 1.5 nm"), text("10 - ", TOKENS + 11, " nm"), text(TOKENS, " parsecs"), "5, 5 nm")
+    said = forms(F.col("call_id") % 5, text(F.col("tokens") + 1.5, " nm"), text(F.col("tokens") + 2, ", 1.5 nm"), text("10 - ", F.col("tokens") + 11, " nm"), text(F.col("tokens"), " parsecs"), "5, 5 nm")
     got = calls(read).select("call_id", parsers.wavelengths(said).alias("w"))
     nm = lambda x: F.round(x * 1e9, 3)
     return got.select("call_id", nm(F.get("w", F.lit(0))["min"]).alias("low"), nm(F.try_element_at("w", F.lit(-1))["max"]).alias("high"), F.when(F.col("w").isNotNull(), F.size("w")).alias("n"))
@@ -208,20 +206,20 @@ def r5_wavelengths(read):
 
 @query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN 'PT' || tokens || 'S' WHEN 1 THEN 'PT1M|P' || tokens || 'D' WHEN 2 THEN NULL ELSE 'PT2S' END AS cadences FROM calls", "calls")
 def r6_cadences(read):
-    said = forms(ID % 4, text(" PT", TOKENS, "S "), text("PT1M ,P", TOKENS, "D"), " none", ",PT2S,,")
+    said = forms(F.col("call_id") % 4, text(" PT", F.col("tokens"), "S "), text("PT1M ,P", F.col("tokens"), "D"), " none", ",PT2S,,")
     return calls(read).select("call_id", F.array_join(parsers.cadence_list(said), "|").alias("cadences"))
 
 
 @query("SELECT call_id, CASE WHEN tokens % 3 = 0 AND call_type <> 'error' THEN call_type END AS chosen FROM calls", "calls")
 def r7_candidate(read):
-    said = F.when(TOKENS % 3 == 0, text(" ", F.col("call_type"), "\t")).when(TOKENS % 3 == 1, "Uncertain").otherwise(F.upper("call_type"))
+    said = F.when(F.col("tokens") % 3 == 0, text(" ", F.col("call_type"), "\t")).when(F.col("tokens") % 3 == 1, "Uncertain").otherwise(F.upper("call_type"))
     known = F.array(F.lit("click"), F.lit("view"), F.lit("purchase"), F.lit("signup"), F.lit("UNCERTAIN"))
     return calls(read).select("call_id", parsers.candidate(said, known).alias("chosen"))
 
 
 @query("SELECT call_id, 'A' || tokens AS first, CASE WHEN call_type = 'click' THEN NULL ELSE 'B/' || call_id END AS second, CASE WHEN call_type = 'click' THEN 1 ELSE 2 END AS lines FROM calls", "calls")
 def r11_candidate_lines(read):
-    said = text("Choose:\n1. A", TOKENS, " (first (one))\n", F.when(F.col("call_type") == "click", "2 B (no point)").otherwise(text(" 12.  B/", ID, "  (second)")), "\n13. none")
+    said = text("Choose:\n1. A", F.col("tokens"), " (first (one))\n", F.when(F.col("call_type") == "click", "2 B (no point)").otherwise(text(" 12.  B/", F.col("call_id"), "  (second)")), "\n13. none")
     got = calls(read).select("call_id", parsers.candidate_lines(said).alias("m"))
     return got.select("call_id", F.try_element_at("m", F.lit(1)).alias("first"), F.try_element_at("m", F.lit(12)).alias("second"), F.size("m").alias("lines"))
 
@@ -232,12 +230,12 @@ def r11_candidate_lines(read):
 )
 def r12_patches(read):
     """Paths like ``instruments[0].data_collection_periods[1].time_range`` taken apart and applied to a document of two instruments."""
-    path = text("instruments[", TOKENS % 3, "].data_collection_periods[", TOKENS % 2, "].time_range")
+    path = text("instruments[", F.col("tokens") % 3, "].data_collection_periods[", F.col("tokens") % 2, "].time_range")
     period = lambda: F.struct(F.lit("p").alias("period_name"), F.lit("old").alias("time_range"))
     one = lambda: F.struct(F.lit("i").alias("name"), F.array(period(), period()).alias("data_collection_periods"))
     tokens = parsers.path_tokens(path)
     i, p = tokens[1].cast("int"), tokens[3].cast("int")
-    told = calls(read).select("call_id", i.alias("instrument"), p.alias("period"), parsers.patch_period(F.array(one(), one()), i, p, tokens[4], text("new ", ID)).alias("doc"))
+    told = calls(read).select("call_id", i.alias("instrument"), p.alias("period"), parsers.patch_period(F.array(one(), one()), i, p, tokens[4], text("new ", F.col("call_id"))).alias("doc"))
     return told.select("call_id", "instrument", "period", F.coalesce(F.get("doc", F.col("instrument"))["data_collection_periods"][F.col("period")]["time_range"], F.lit("old")).alias("first_of_two"))
 
 
@@ -250,8 +248,8 @@ MISSIONS = ["Alpha", "Beta One", "Gamma-3", "Delta", "Park Sol"]
 )
 def r13_index_repair(read):
     """Right, one too high, one too low, out of range but named, named elsewhere (the number stays), and neither."""
-    token = forms(ID % 6, "BETA-ONE", "beta one", "Beta", "ParkSol", "alpha", "nowhere")
-    index = forms(ID % 6, F.lit(1), F.lit(2), F.lit(0), F.lit(17), F.lit(3), F.lit(-1)).cast("int")
+    token = forms(F.col("call_id") % 6, "BETA-ONE", "beta one", "Beta", "ParkSol", "alpha", "nowhere")
+    index = forms(F.col("call_id") % 6, F.lit(1), F.lit(2), F.lit(0), F.lit(17), F.lit(3), F.lit(-1)).cast("int")
     names = F.array(*map(F.lit, MISSIONS))
     return calls(read).select("call_id", parsers.repaired_index(token, index, names, names).alias("mission"))
 
@@ -263,11 +261,11 @@ def r13_index_repair(read):
 def r15_canonical(read):
     has = F.col("call_type") != "click"
     fields = {
-        "start_datetime": F.when(has, text(form("created_at"), F.when(ID % 2 == 0, "Z").otherwise("+00:00"))),
+        "start_datetime": F.when(has, text(form("created_at"), F.when(F.col("call_id") % 2 == 0, "Z").otherwise("+00:00"))),
         "end_datetime": F.when(has, text(" ", form("created_at"))),
-        "precision": F.when(ID % 2 == 0, "Minute").otherwise("minute"),
+        "precision": F.when(F.col("call_id") % 2 == 0, "Minute").otherwise("minute"),
         "raw_response": F.col("props"),
-        "is_approximate": TOKENS > 3,
+        "is_approximate": F.col("tokens") > 3,
     }
     return calls(read).select("call_id", compare.canonical_answer(fields).alias("canonical"))
 
@@ -281,7 +279,7 @@ PRECISIONS = "['year', 'month', 'day', 'hour', 'minute', 'second']"
 )
 def d2_coarsest(read):
     name = lambda k: forms(k % 7, *times.LENGTHS, "unknown")
-    return calls(read).select("call_id", times.coarser(name(TOKENS), name(ID)).alias("coarsest"))
+    return calls(read).select("call_id", times.coarser(name(F.col("tokens")), name(F.col("call_id"))).alias("coarsest"))
 
 
 @query(

@@ -11,8 +11,6 @@ from litquarry.operators import materialize as m
 from litquarry.plans.registry import query
 from litquarry.sources.roles import Reader, calls, instruments, observatories, papers, usages
 
-PAPER, PART, SUPP = F.col("paper_id"), F.col("instrument_id"), F.col("observatory_id")
-
 
 def catalog(read: Reader) -> DataFrame:
     """(system, mission, code, instrument_id) of the instruments, unique."""
@@ -26,20 +24,20 @@ def analyses(read: Reader) -> DataFrame:
     Some entries have no mission, no instrument or an unknown system; some windows are reversed or can't be read.
     """
     named = usages(read).join(instruments(read).select("instrument_id", "instrument", "mission", "channels"), "instrument_id")
-    system = F.when((PAPER + PART) % 11 == 0, "elsewhere").when(F.col("channels") % 2 == 0, "archive").otherwise("mirror")
+    system = F.when((F.col("paper_id") + F.col("instrument_id")) % 11 == 0, "elsewhere").when(F.col("channels") % 2 == 0, "archive").otherwise("mirror")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    odd = (PAPER + SUPP) % 9
+    odd = (F.col("paper_id") + F.col("observatory_id")) % 9
     begin, end = F.when(odd == 0, iso("win_end")).otherwise(iso("win_start")), F.when(odd == 0, iso("win_start")).when(odd == 1, "unknown").otherwise(iso("win_end"))
     period = F.struct(
         F.lit("p").alias("period_name"), F.struct(F.struct(begin.alias("start_datetime"), end.alias("end_datetime")).alias("normalized")).alias("time_range"),
-        F.array(F.struct(F.lit("time").alias("category"), F.concat(F.lit("seen by "), SUPP).alias("text")), F.struct(F.lit("physobs").alias("category"), F.concat(F.lit("shows "), SUPP % 5).alias("text")), F.struct(F.lit("other").alias("category"), F.lit(" ").alias("text"))).alias("supporting_quotes"),
-        F.concat(F.lit("flux "), SUPP).alias("physical_observable"), F.array(F.struct(F.concat(F.lit("iri:"), SUPP % 4).alias("iri"))).alias("phenomena"),
+        F.array(F.struct(F.lit("time").alias("category"), F.concat(F.lit("seen by "), F.col("observatory_id")).alias("text")), F.struct(F.lit("physobs").alias("category"), F.concat(F.lit("shows "), F.col("observatory_id") % 5).alias("text")), F.struct(F.lit("other").alias("category"), F.lit(" ").alias("text"))).alias("supporting_quotes"),
+        F.concat(F.lit("flux "), F.col("observatory_id")).alias("physical_observable"), F.array(F.struct(F.concat(F.lit("iri:"), F.col("observatory_id") % 4).alias("iri"))).alias("phenomena"),
     )
-    per_entry = named.groupBy("paper_id", "configuration", "instrument_id", "instrument", F.when((PAPER + PART) % 7 != 0, F.col("mission")).alias("mission"), system.alias("system")).agg(F.sort_array(F.collect_list(period)).alias("periods"))
-    code = F.when((PAPER + PART) % 13 != 0, F.col("instrument"))
-    names = F.struct(F.concat(F.lit(" "), F.col("instrument"), F.lit(" "), PART).alias("original"), F.struct(code.alias("matched_instrument_code"), F.col("mission").alias("matched_mission_code"), F.col("system").alias("data_system")).alias("normalized"))
-    entry = F.struct(names.alias("name"), F.array(F.concat(F.lit("used "), PART)).alias("general_quotes"), F.col("periods").alias("data_collection_periods"))
-    per = per_entry.groupBy("paper_id", "configuration").agg(F.sort_array(F.collect_list(F.struct(PART, entry.alias("x")))).alias("x"))
+    per_entry = named.groupBy("paper_id", "configuration", "instrument_id", "instrument", F.when((F.col("paper_id") + F.col("instrument_id")) % 7 != 0, F.col("mission")).alias("mission"), system.alias("system")).agg(F.sort_array(F.collect_list(period)).alias("periods"))
+    code = F.when((F.col("paper_id") + F.col("instrument_id")) % 13 != 0, F.col("instrument"))
+    names = F.struct(F.concat(F.lit(" "), F.col("instrument"), F.lit(" "), F.col("instrument_id")).alias("original"), F.struct(code.alias("matched_instrument_code"), F.col("mission").alias("matched_mission_code"), F.col("system").alias("data_system")).alias("normalized"))
+    entry = F.struct(names.alias("name"), F.array(F.concat(F.lit("used "), F.col("instrument_id"))).alias("general_quotes"), F.col("periods").alias("data_collection_periods"))
+    per = per_entry.groupBy("paper_id", "configuration").agg(F.sort_array(F.collect_list(F.struct(F.col("instrument_id"), entry.alias("x")))).alias("x"))
     doc = F.to_json(F.struct(F.transform("x", lambda e: e["x"]).alias("instruments")))
     return per.select(F.concat_ws("-", "paper_id", "configuration").alias("analysis_id"), "paper_id", doc.alias("details"))
 
@@ -92,8 +90,8 @@ def c15_mentions_from_documents(read):
 def c16_mission_backfill(read):
     """Missions chosen by number from listed candidates become mission-only mentions where no instrument of them was resolved."""
     every, known = analyses(read), catalog(read)
-    listed = F.concat(F.lit("1. Brand#"), PAPER % 9, F.lit(" (first)\n2. brand#"), PAPER % 7, F.lit(" (second (one))\n3. Nowhere (third)\n4 no candidate"))
-    rest = PAPER % 4
+    listed = F.concat(F.lit("1. Brand#"), F.col("paper_id") % 9, F.lit(" (first)\n2. brand#"), F.col("paper_id") % 7, F.lit(" (second (one))\n3. Nowhere (third)\n4 no candidate"))
+    rest = F.col("paper_id") % 4
     answer = F.when(rest == 0, "1").when(rest == 1, "1, 3 and 12").when(rest == 2, " unknown ").otherwise("2 (sure)")
     numbers = F.when(F.upper(F.trim(answer)) == "UNKNOWN", F.array().cast("array<int>")).otherwise(F.transform(F.regexp_extract_all(answer, F.lit(r"\b([1-9][0-9]*)\b"), F.lit(1)), lambda x: x.cast("int")))
     choices = every.select("analysis_id", parsers.candidate_lines(listed).alias("candidates"), numbers.alias("chosen"))
@@ -120,7 +118,7 @@ def c17_phenomenon_mentions(read):
 )
 def c18_grounding(read):
     named = usages(read).join(instruments(read).select("instrument_id", "instrument", "mission"), "instrument_id")
-    rows = named.select(PAPER.alias("entry"), F.col("configuration").alias("system"), F.struct("mission", "instrument_id", "win_start", "observatory_id", "cost").alias("place"), "mission", F.when(PART % 3 > 0, F.col("instrument")).alias("code"), (F.col("status") != "pending").alias("selected"), (F.col("status") == "approved").alias("accepted"))
+    rows = named.select(F.col("paper_id").alias("entry"), F.col("configuration").alias("system"), F.struct("mission", "instrument_id", "win_start", "observatory_id", "cost").alias("place"), "mission", F.when(F.col("instrument_id") % 3 > 0, F.col("instrument")).alias("code"), (F.col("status") != "pending").alias("selected"), (F.col("status") == "approved").alias("accepted"))
     return m.grounded(rows)
 
 
@@ -139,11 +137,11 @@ def c19_archive_checks(read):
     its entries by month of their start: an entry is listed in each month that it covers.
     """
     named = usages(read).join(instruments(read).select("instrument_id", "channels"), "instrument_id")
-    until = F.when(PART % 5 > 0, F.col("win_end")).otherwise(F.lit("2000-01-01").cast("timestamp"))
+    until = F.when(F.col("instrument_id") % 5 > 0, F.col("win_end")).otherwise(F.lit("2000-01-01").cast("timestamp"))
     month = lambda c: F.months_between(F.trunc(c, "month"), F.lit("1970-01-01")).cast("int")
-    held = named.where("status = 'approved'").select(SUPP.alias("source"), "instrument_id", F.col("win_start").alias("f"), until.alias("t"), (F.col("channels") - 2.0).alias("lo"), (F.col("channels") + 2.0).alias("hi"))
+    held = named.where("status = 'approved'").select(F.col("observatory_id").alias("source"), "instrument_id", F.col("win_start").alias("f"), until.alias("t"), (F.col("channels") - 2.0).alias("lo"), (F.col("channels") + 2.0).alias("hi"))
     start = F.col("win_start") + F.expr("interval 1 day")
-    asked = named.select("paper_id", F.when(PAPER % 10 > 0, SUPP).alias("source"), "instrument_id", start.alias("a"), (start + F.expr("interval 1 day")).alias("b"), (F.col("channels") + PAPER % 4).alias("w"), F.xxhash64("paper_id", "instrument_id", "observatory_id", "win_start", "cost").alias("call"))
+    asked = named.select("paper_id", F.when(F.col("paper_id") % 10 > 0, F.col("observatory_id")).alias("source"), "instrument_id", start.alias("a"), (start + F.expr("interval 1 day")).alias("b"), (F.col("channels") + F.col("paper_id") % 4).alias("w"), F.xxhash64("paper_id", "instrument_id", "observatory_id", "win_start", "cost").alias("call"))
     known = held.select("source", "instrument_id", "lo", "hi").distinct().groupBy("source", "instrument_id").agg(F.collect_set(F.struct("lo", "hi")).alias("bands"))
     listed = held.where("f <= t").select("source", "instrument_id", "f", "t", F.explode(F.sequence(month("f"), month("t"))).alias("month"))
     inside = asked.withColumn("month", month(F.col("a"))).join(listed, ["source", "instrument_id", "month"]).where("a >= f AND b <= t").select("call", F.lit(True).alias("inside")).distinct()
@@ -307,14 +305,14 @@ def c12_job_list(read):
 )
 def c13_phenomena_queue(read):
     """Papers with open mentions of phenomena, those with most first; one page."""
-    one = usages(read).groupBy("paper_id", (PART % 12).alias("phenomenon")).agg(F.bool_or(F.col("status") == "pending").alias("pending"), F.bool_or(F.col("status") == "approved").alias("accepted"))
+    one = usages(read).groupBy("paper_id", (F.col("instrument_id") % 12).alias("phenomenon")).agg(F.bool_or(F.col("status") == "pending").alias("pending"), F.bool_or(F.col("status") == "approved").alias("accepted"))
     per = one.groupBy("paper_id").agg(F.count("*").alias("total_mentions"), F.count_if("pending").alias("pending_mentions"), F.count_if("accepted").alias("accepted_mentions"))
     return per.where("pending_mentions > 0").orderBy(F.desc("pending_mentions"), "paper_id").limit(100)
 
 
 @query("SELECT instrument_id % 12 AS phenomenon, count(DISTINCT paper_id) AS papers, count(*) AS mentions, count(*) FILTER (status = 'approved') AS accepted FROM usages GROUP BY 1", "usages")
 def c13_phenomena_list(read):
-    per = usages(read).groupBy((PART % 12).alias("phenomenon"), "paper_id").agg(F.count("*").alias("mentions"), F.count_if(F.col("status") == "approved").alias("accepted"))
+    per = usages(read).groupBy((F.col("instrument_id") % 12).alias("phenomenon"), "paper_id").agg(F.count("*").alias("mentions"), F.count_if(F.col("status") == "approved").alias("accepted"))
     return per.groupBy("phenomenon").agg(F.count("*").alias("papers"), F.sum("mentions").alias("mentions"), F.sum("accepted").alias("accepted"))
 
 
@@ -351,7 +349,7 @@ def c24_approved_scripts(read):
     """
     use = usages(read)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    script = F.concat(F.lit("# paper "), PAPER, F.when(F.col("cost") > 20000, F.concat(F.lit("\nfetch(instrument="), PART)).otherwise(F.lit("\nfetch(")), F.lit(", start='"), iso("win_start"), F.lit("', end='"), iso("win_end"), F.lit("')\n"))
+    script = F.concat(F.lit("# paper "), F.col("paper_id"), F.when(F.col("cost") > 20000, F.concat(F.lit("\nfetch(instrument="), F.col("instrument_id"))).otherwise(F.lit("\nfetch(")), F.lit(", start='"), iso("win_start"), F.lit("', end='"), iso("win_end"), F.lit("')\n"))
     told = use.where("configuration = 'O' AND status <> 'rejected'").select(script.alias("x"))
     pick = lambda pattern: F.nullif(F.regexp_extract("x", pattern, 1), F.lit(""))
     key = ["paper_id", "instrument_id", "win_start", "win_end"]

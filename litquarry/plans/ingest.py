@@ -10,14 +10,12 @@ from litquarry.plans.registry import query
 from litquarry.sources import files
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages
 
-ID = F.col("call_id")
-
 
 @query("SELECT call_id, call_type, tokens FROM calls WHERE call_id % 10 NOT IN (3, 4, 5, 6)", "calls")
 def s2_jsonl_tolerant(read):
     """Lines with blanks around them, empty ones, some with a NUL, some cut off, and some that are JSON but no object."""
     line = F.to_json(F.struct("call_id", "call_type", "tokens"))
-    rest = ID % 10
+    rest = F.col("call_id") % 10
     lines = calls(read).select(F.when(rest == 3, "  ").when(rest == 4, F.concat(line, F.lit("\0"))).when(rest == 5, F.substring(line, 1, 12)).when(rest == 6, "[1, 2]").when(rest == 7, F.concat(F.lit(" \t"), line, F.lit(" "))).otherwise(line).alias("value"))
     spark = lines.sparkSession
     place = files.scratch(spark, "jsonl")

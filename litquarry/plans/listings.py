@@ -13,8 +13,6 @@ from litquarry.plans.relational import day
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
 
 STAR = ("usages", "instruments", "observatories")
-ST = F.col("status")
-DONE = ST.isin("approved", "rejected")
 
 
 @query(
@@ -31,12 +29,12 @@ def c1_listing_with_missions(read):
     source = observatories(read).where("datasource = 'ASIA'").select("observatory_id")
     near = use.join(source, "observatory_id", "left_semi")
     chosen = instruments(read).where(F.col("mission").isin("Brand#3", "Brand#7")).select("instrument_id")
-    hit = near.where(~ST.isin("rejected", "needs_review")).join(chosen, "instrument_id", "left_semi").select("paper_id", F.lit(True).alias("by_usage"))
-    only = near.where(ST == "needs_review").select("paper_id", F.lit(False).alias("by_usage"))
+    hit = near.where(~F.col("status").isin("rejected", "needs_review")).join(chosen, "instrument_id", "left_semi").select("paper_id", F.lit(True).alias("by_usage"))
+    only = near.where(F.col("status") == "needs_review").select("paper_id", F.lit(False).alias("by_usage"))
     ids = hit.unionByName(only).groupBy("paper_id").agg(F.bool_or("by_usage").alias("by_usage"))
     shown = papers(read).where(p.icontains(F.col("tag"), "H")).select("paper_id", "tag").join(ids, "paper_id")
     of = use.join(shown.select("paper_id"), "paper_id", "left_semi").groupBy("paper_id")
-    counts = of.agg(F.count_if(ST != "rejected").alias("total_count"), F.count_if(DONE).alias("validated_count"), F.max(F.when(ST != "rejected", F.col("win_end"))).alias("open_end"))
+    counts = of.agg(F.count_if(F.col("status") != "rejected").alias("total_count"), F.count_if(F.col("status").isin("approved", "rejected")).alias("validated_count"), F.max(F.when(F.col("status") != "rejected", F.col("win_end"))).alias("open_end"))
     return shown.join(counts, "paper_id").select("paper_id", "tag", "by_usage", "total_count", "validated_count", "open_end").orderBy(F.desc_nulls_first("open_end"), "paper_id").limit(20)
 
 
@@ -91,7 +89,7 @@ def c4_similar_with_missions(read):
 def c7_observatory_rates(read):
     """All observatories of a year, not only the first ten: counts, what is decided, and shares of all usages."""
     within = usages(read).where(p.overlaps(F.col("win_start"), F.col("win_end"), day("1996-01-01"), day("1997-01-01")))
-    each = within.groupBy("observatory_id", "paper_id").agg(F.count("*").alias("n"), F.count_if(ST == "approved").alias("approved"), F.count_if(ST == "rejected").alias("rejected"))
+    each = within.groupBy("observatory_id", "paper_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("status") == "rejected").alias("rejected"))
     per = each.groupBy("observatory_id").agg(F.count("*").alias("papers"), *(F.sum(c).alias(c) for c in ("n", "approved", "rejected")))
     named = per.join(observatories(read).select("observatory_id", "observatory"), "observatory_id")
     total = F.sum("n").over(Window.partitionBy())  # one row an observatory
@@ -106,7 +104,7 @@ def c7_observatory_rates(read):
 )
 def c8_queue(read):
     """Papers that aren't finished: those with most to review first, then those that lack least."""
-    per = usages(read).groupBy("paper_id").agg(F.count("*").alias("total"), F.count_if(DONE).alias("done"), F.count_if(ST == "needs_review").alias("to_review")).where("done < total")
+    per = usages(read).groupBy("paper_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("approved", "rejected")).alias("done"), F.count_if(F.col("status") == "needs_review").alias("to_review")).where("done < total")
     met = per.join(papers(read).select("paper_id", "tag"), "paper_id").withColumn("progress", F.round(s.share(F.col("done"), F.col("total"), 100.0), 1))
     return met.select("paper_id", "tag", "total", "done", "to_review", "progress").orderBy(F.desc("to_review"), F.desc("progress"), "paper_id").limit(50)
 
@@ -116,7 +114,7 @@ def c8_queue(read):
     "usages",
 )
 def c8_queue_stats(read):
-    per = usages(read).groupBy("paper_id").agg(F.count("*").alias("total"), F.count_if(DONE).alias("d"))
+    per = usages(read).groupBy("paper_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("approved", "rejected")).alias("d"))
     return per.agg(
         F.count("*").alias("papers"), F.count_if(F.col("d") == F.col("total")).alias("finished"), F.count_if((F.col("d") > 0) & (F.col("d") < F.col("total"))).alias("begun"), F.count_if(F.col("d") == 0).alias("untouched"), F.sum("total").alias("usages"), F.sum("d").alias("done"))
 
@@ -145,7 +143,7 @@ def c9_rater_days(read):
 def c9_finished_items(read):
     """How many of a rater's votes are on items that every vote decides."""
     v = votes(read)
-    done = v.groupBy("item_id").agg(F.bool_and(DONE).alias("finished"))
+    done = v.groupBy("item_id").agg(F.bool_and(F.col("status").isin("approved", "rejected")).alias("finished"))
     return v.join(done, "item_id").groupBy("rater_id").agg(F.count("*").alias("votes"), F.count_if("finished").alias("on_finished"))
 
 
@@ -194,7 +192,7 @@ def c26_stratified_campaign(read):
     three in five calibrate. Before anything is ranked, a stratum is cut to the claims below a hash that sixty surely reach.
     """
     claim = short_id(F.col("paper_id").cast("string"), F.col("instrument_id").cast("string"))
-    each = usages(read).where(ST.isin("pending", "approved")).select(claim.alias("claim"), F.col("configuration").alias("stratum")).distinct()
+    each = usages(read).where(F.col("status").isin("pending", "approved")).select(claim.alias("claim"), F.col("configuration").alias("stratum")).distinct()
     strata = each.groupBy("claim").agg(F.when(F.count("*") == 2, "both").otherwise(F.min("stratum")).alias("stratum"))
     keyed = strata.withColumn("order", F.md5(F.concat(F.lit("7:"), "claim"))).withColumn("slot", F.substring("order", 1, 3))
     slots = keyed.groupBy("stratum", "slot").agg(F.count("*").alias("n"))

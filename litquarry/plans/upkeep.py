@@ -11,7 +11,6 @@ from litquarry.plans.registry import query
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
 from litquarry.streaming import state
 
-PAPER, PART, SUPP = F.col("paper_id"), F.col("instrument_id"), F.col("observatory_id")
 ROLES = ("usages", "instruments")
 
 
@@ -102,7 +101,7 @@ def n11_rebuilt_quotes(read):
     """The quotes of one configuration are deleted and made again from its documents; those of the other stay."""
     docs = analyses(read).where(F.col("analysis_id").endswith("-O"))
     new = m.usage_quotes(docs, catalog(read)).groupBy("analysis_id").agg(F.count("*").alias("quotes"))
-    old = usages(read).where("configuration = 'F'").select(F.concat(F.lit("old-"), PAPER).alias("analysis_id")).distinct().withColumn("quotes", F.lit(1).cast("long"))
+    old = usages(read).where("configuration = 'F'").select(F.concat(F.lit("old-"), F.col("paper_id")).alias("analysis_id")).distinct().withColumn("quotes", F.lit(1).cast("long"))
     return new.unionByName(old)
 
 
@@ -146,7 +145,7 @@ def n15_enrichment_selection(read):
 def n16_missing_coordinates(read):
     """Quotes whose array of regions is empty, by paper."""
     region = F.struct(F.lit(1).alias("page"), F.col("cost").alias("x0"))
-    regions = F.when(PART % 4 > 0, F.array(region)).otherwise(F.filter(F.array(region), lambda x: x["page"] < 0))
+    regions = F.when(F.col("instrument_id") % 4 > 0, F.array(region)).otherwise(F.filter(F.array(region), lambda x: x["page"] < 0))
     return usages(read).select("paper_id", regions.alias("regions")).where(F.size("regions") == 0).groupBy("paper_id").agg(F.count("*").alias("missing"))
 
 
@@ -233,7 +232,7 @@ def o3_client_ordering(read):
 )
 def f16_display_names(read):
     """Names out of catalog ids: the prefix and the observatory's own path go, other slashes become hyphens."""
-    k, name, obs = PART % 4, F.col("instrument"), F.replace("mission", F.lit("#"), F.lit(""))
+    k, name, obs = F.col("instrument_id") % 4, F.col("instrument"), F.replace("mission", F.lit("#"), F.lit(""))
     smwg, nasa = "spase://SMWG/Instrument/", "spase://NASA/Instrument/"
     code = F.when(k == 0, F.concat(F.lit(smwg), obs, F.lit("/"), F.replace(name, F.lit(" "), F.lit("/")))).when(k == 1, F.concat(F.lit(nasa), obs, F.lit("/"), name)).when(k == 2, F.concat(F.lit("spase://SMWG2/"), name)).otherwise(F.concat(F.lit(smwg), F.lit("Deep/"), name))
     place = F.when(k == 0, F.concat(F.lit("spase://SMWG/Observatory/"), obs)).otherwise(F.concat(F.lit("spase://SMWG/Observatory/"), obs))
@@ -246,7 +245,7 @@ def f16_display_names(read):
 )
 def f17_id_remap(read):
     """Numbered spacecraft to named ones, the rest of the id kept; ids of others have none."""
-    k = PART % 6
+    k = F.col("instrument_id") % 6
     code = F.when(k < 4, F.concat(F.lit("spase://SMWG/Instrument/Cluster/C"), k + 1, F.lit("/"), "instrument")).when(k == 4, F.concat(F.lit("spase://SMWG/Instrument/Cluster/C9/"), "instrument")).otherwise(F.col("instrument"))
     return instruments(read).select("instrument_id", text.renamed_id(code).alias("named"))
 
@@ -263,5 +262,5 @@ def _spaced_sql() -> str:
 
 @query(_spaced_sql().replace("WITH x AS", ", x AS", 1), "instruments")
 def f2_math_spacing(read):
-    plain = F.when(PART % 3 == 0, F.col("instrument")).otherwise(F.concat("instrument", F.lit(" f=( x+y )*2,[a] ||"), "channels", F.lit("|| n"), "channels"))
+    plain = F.when(F.col("instrument_id") % 3 == 0, F.col("instrument")).otherwise(F.concat("instrument", F.lit(" f=( x+y )*2,[a] ||"), "channels", F.lit("|| n"), "channels"))
     return instruments(read).select("instrument_id", text.math_spacing(plain).alias("spaced"))
