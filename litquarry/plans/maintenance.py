@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.functions.text import short_id
 from litquarry.plans.registry import query
+from litquarry.sources.files import scratch
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
 from litquarry.streaming import state
 
@@ -57,11 +58,22 @@ def t6_stale_reclaim(read):
 
 
 @query(
-    """SELECT call_type, chunk, count(*) AS n FROM (SELECT call_type, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY call_type ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 5000) AS BIGINT) AS chunk FROM calls) GROUP BY 1, 2""",
-    "calls",
+    """WITH RECURSIVE r AS (SELECT event_type AS call_type, CAST(json_extract_string(props, '$.k') AS INT) + 1 AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+    w AS (SELECT call_type, i, 0::BIGINT AS chunk, size::BIGINT AS bytes, 1 AS held FROM r WHERE i = 1 UNION ALL
+      SELECT r.call_type, r.i, CASE WHEN w.bytes + r.size > 2000 OR w.held >= 45 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.bytes + r.size > 2000 OR w.held >= 45 THEN r.size ELSE w.bytes + r.size END, CASE WHEN w.bytes + r.size > 2000 OR w.held >= 45 THEN 1 ELSE w.held + 1 END
+      FROM w JOIN r ON r.call_type = w.call_type AND r.i = w.i + 1) SELECT call_type, chunk, count(*) AS n, CAST(max(bytes) AS BIGINT) AS bytes FROM w GROUP BY 1, 2""",
 )
 def t7_size_chunks(read):
-    return state.size_chunks(calls(read), "call_type", "call_id", F.col("tokens"), most_bytes=5000).groupBy("call_type", "chunk").agg(F.count("*").alias("n"))
+    """Chunks of at most 2000 bytes or 45 calls of a type; each line has a byte more than its tokens."""
+    rows = calls(read).select("call_type", "call_id", (F.col("tokens") + 1).cast("long").alias("size"))
+    folder = scratch(rows.sparkSession, "chunks")
+
+    def write(table, name):
+        table.write.parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    cut = state.size_chunks(rows, "call_type", "call_id", F.col("size"), most_bytes=2000, most_rows=45, write=write)
+    return cut.groupBy("call_type", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("SELECT date_trunc('hour', created_at) AS start, call_type, count(*) AS n FROM calls GROUP BY 1, 2", "calls")

@@ -48,23 +48,61 @@ def reclaim_stale(tasks: DataFrame, *, as_of: Column, seconds: int) -> DataFrame
     return tasks.select(*(new.get(c, F.col(c)).alias(c) for c in tasks.columns))
 
 
-def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_bytes: int, bucket_rows: int = 10_000) -> DataFrame:
-    """``chunk``: rows of a group in order, cut wherever the running size passes a multiple of ``most_bytes``.
+def _ranked(rows: DataFrame, group: str, order: str, total: Column, bucket_rows: int) -> DataFrame:
+    """``rows`` with ``_i``, the place (from 0) in the group by the unique numeric ``order``, and ``_before``, the sum of ``total`` before it.
 
-    A group is cut in ranges of its numeric ``order``, of about ``bucket_rows`` rows if that is even. Windows run
-    within a range and over the ranges' totals, so that no task sorts a whole group.
+    A group is cut in ranges of ``order``, of about ``bucket_rows`` rows if that is even. Windows run within a range and
+    over the ranges' totals, so that no task sorts a whole group.
     """
-    sized = rows.withColumn("_size", size)
     low, high = F.min(order).cast("double"), F.max(order).cast("double")
-    spans = rows.groupBy(F.col(group).alias("_group")).agg(low.alias("_low"), (high - low + 1).alias("_span"), F.ceil(F.count("*") / bucket_rows).alias("_n"))
+    spans = rows.groupBy(group).agg(low.alias("_low"), (high - low + 1).alias("_span"), F.ceil(F.count("*") / bucket_rows).alias("_n"))
     bucket = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_span") * F.col("_n"))
-    placed = sized.join(spans, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
-    totals = placed.groupBy("_group", "_bucket").agg(F.sum("_size").alias("_sum"))
+    placed = rows.join(spans, group).withColumn("_bucket", bucket).withColumn("_size", total).drop("_low", "_span", "_n")
     earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("_group").alias("_of"), F.col("_bucket").alias("_in"), F.coalesce(F.sum("_sum").over(earlier("_group", "_bucket")), F.lit(0)).alias("_start"))
-    met = placed.join(starts, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
-    before = F.coalesce(F.sum("_size").over(earlier("_group", "_bucket", order)), F.lit(0))
-    return met.withColumn("chunk", F.floor((F.col("_start") + before) / most_bytes)).select(*rows.columns, "chunk")
+    sofar = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = placed.groupBy(group, "_bucket").agg(F.sum("_size").alias("_s"), F.count("*").alias("_k"))
+    starts = totals.select(group, "_bucket", sofar("_s", earlier(group, "_bucket")).alias("_s"), sofar("_k", earlier(group, "_bucket")).alias("_k"))
+    within = earlier(group, "_bucket", order)
+    met = placed.join(starts, [group, "_bucket"])
+    return met.withColumn("_i", F.col("_k") + sofar(F.lit(1), within)).withColumn("_before", F.col("_s") + sofar("_size", within)).drop("_bucket", "_s", "_k")
+
+
+def size_chunks(rows: DataFrame, group: str, order: str, size: Column, *, most_bytes: int, most_rows: int, write: Callable[[DataFrame, str], DataFrame], bucket_rows: int = 10_000) -> DataFrame:
+    """``chunk``: rows of a group in order, cut before a row that would take the chunk over ``most_bytes`` or ``most_rows``.
+
+    A chunk begins anew at each cut, which is one step after the other. Here every row is told first where a chunk that
+    began at it would end; then these jumps are joined with themselves, twice as far each time, and all cuts are reached
+    from the first row in as many joins as their number has binary digits. A row larger than the limit is a chunk alone.
+    ``write`` stores a table under a name and reads it back. Groups and orders are not null; a null size is 0.
+    """
+    placed = write(_ranked(rows, group, order, F.coalesce(size.cast("long"), F.lit(0)), bucket_rows), "placed")
+    ends = placed.select(group, (F.col("_before") + F.col("_size")).alias("_at"), F.lit(None).cast("long").alias("_i"))
+    asks = placed.select(group, (F.col("_before") + most_bytes).alias("_at"), "_i")
+    band = ends.unionByName(asks).withColumn("_band", F.floor(F.col("_at") / most_bytes))
+    is_end = F.col("_i").isNull().cast("long")
+    held = band.groupBy(group, "_band").agg(F.sum(is_end).alias("_k"))
+    below = held.select(group, "_band", F.coalesce(F.sum("_k").over(Window.partitionBy(group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k"))
+    upto = Window.partitionBy(group, "_band").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = band.withColumn("_in", F.sum(is_end).over(upto)).where("_i IS NOT NULL").join(below, [group, "_band"])
+    after = F.greatest(F.col("_i") + 1, F.least(F.col("_i") + most_rows, F.col("_k") + F.col("_in")))
+    jump = write(fits.select(group, "_i", after.alias("_next")), "jump-0")
+    jumps = [jump]
+    while True:
+        further = jump.join(jump.select(group, F.col("_i").alias("_next"), F.col("_next").alias("_then")), [group, "_next"]).select(group, "_i", F.col("_then").alias("_next"))
+        jump = write(further, f"jump-{len(jumps)}")
+        if not jump.where("_i = 0").take(1):
+            break
+        jumps.append(jump)
+    cuts = placed.where("_i = 0").select(group, "_i")
+    for k, jump in enumerate(reversed(jumps)):
+        landed = cuts.join(jump, [group, "_i"]).select(group, F.col("_next").alias("_i")).join(placed.select(group, "_i"), [group, "_i"], "left_semi")
+        cuts = write(cuts.unionByName(landed).distinct(), f"cuts-{k}")
+    marked = placed.join(cuts.withColumn("_cut", F.lit(1)), [group, "_i"], "left").withColumn("_part", F.floor(F.col("_i") / bucket_rows))
+    parts = marked.groupBy(group, "_part").agg(F.count("_cut").alias("_k"))
+    base = parts.select(group, "_part", F.coalesce(F.sum("_k").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k"))
+    own = Window.partitionBy(group, "_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = marked.withColumn("_in", F.count("_cut").over(own)).join(base, [group, "_part"])
+    return numbered.withColumn("chunk", F.col("_k") + F.col("_in") - 1).select(*rows.columns, "chunk")
 
 
 def swept(rows: DataFrame, key: str, missing: Column, *, chunk: int, filled: str = "filled") -> DataFrame:
