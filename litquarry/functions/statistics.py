@@ -46,11 +46,15 @@ def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
 def set_metrics(mine: Column, theirs: Column, *, both_empty: float = 0.0) -> dict[str, Column]:
     """Precision, recall, F1 and Jaccard of two arrays as sets."""
     both = F.size(F.array_intersect(mine, theirs))
-    a, b, union = F.size(F.array_distinct(mine)), F.size(F.array_distinct(theirs)), F.size(F.array_union(mine, theirs))
-    precision, recall = share(both, a), share(both, b)
+    return count_metrics(F.size(F.array_distinct(mine)), F.size(F.array_distinct(theirs)), both, both_empty=both_empty)
+
+
+def count_metrics(a: Column, b: Column, both: Column, *, both_empty: float = 0.0) -> dict[str, Column]:
+    """Precision, recall, F1 and Jaccard of two sets by their sizes and that of what they share."""
+    union = a + b - both
     return {
-        "precision": precision,
-        "recall": recall,
+        "precision": share(both, a),
+        "recall": share(both, b),
         "f1": F.when(both > 0, 2.0 * both / (a + b)).otherwise(F.lit(0.0)),
         "jaccard": F.when(union > 0, both / union).otherwise(F.lit(both_empty)),
     }

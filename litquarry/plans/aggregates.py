@@ -43,10 +43,15 @@ ROLLUP = """rollup AS (SELECT p.paper_id, coalesce(validated, 0) AS validated_co
    max(win_end) FILTER (status = 'approved') AS validated_end, max(win_end) FILTER (status IN ('approved', 'pending')) AS open_end FROM usages GROUP BY 1) USING (paper_id))"""
 
 
-def paper_rollup(read: Reader) -> DataFrame:
-    """Per paper: counts and latest window ends of approved usages, and of those still open too. Papers without any have 0."""
+def rollup_columns() -> list[Column]:
+    """Counts and latest window ends of approved usages, and of those still open too."""
     ok, still = F.col("status") == "approved", F.col("status").isin("approved", "pending")
-    per = usages(read).groupBy("paper_id").agg(F.count_if(ok).alias("validated_count"), F.count_if(still).alias("total_count"), F.max(F.when(ok, F.col("win_end"))).alias("validated_end"), F.max(F.when(still, F.col("win_end"))).alias("open_end"))
+    return [F.count_if(ok).alias("validated_count"), F.count_if(still).alias("total_count"), F.max(F.when(ok, F.col("win_end"))).alias("validated_end"), F.max(F.when(still, F.col("win_end"))).alias("open_end")]
+
+
+def paper_rollup(read: Reader) -> DataFrame:
+    """The rollup of each paper; papers without any usage have 0."""
+    per = usages(read).groupBy("paper_id").agg(*rollup_columns())
     return papers(read).select("paper_id").join(per, "paper_id", "left").fillna(0, ["validated_count", "total_count"])
 
 
@@ -195,9 +200,9 @@ OVERLAP = """per AS (SELECT paper_id, count(*) FILTER (f) AS a, count(*) FILTER
 
 def configuration_overlap(read: Reader) -> DataFrame:
     """Observatory sets of the two configurations of each paper that has both."""
-    of = lambda k: F.filter(F.array_agg(F.when(F.col("configuration") == k, F.col("observatory_id"))), lambda x: x.isNotNull())
-    both = usages(read).groupBy("paper_id").agg(F.array_distinct(of("F")).alias("a"), F.array_distinct(of("O")).alias("b")).where("size(a) > 0 and size(b) > 0")
-    return both.select("paper_id", *(c.alias(n) for n, c in s.set_metrics(F.col("a"), F.col("b")).items()))
+    flags = usages(read).groupBy("paper_id", "observatory_id").agg(*(F.max(F.col("configuration") == k).alias(n) for n, k in (("f", "F"), ("o", "O"))))
+    sizes = flags.groupBy("paper_id").agg(F.count_if("f").alias("a"), F.count_if("o").alias("b"), F.count_if(F.col("f") & F.col("o")).alias("common")).where("a > 0 and b > 0")
+    return sizes.select("paper_id", *(c.alias(n) for n, c in s.count_metrics(F.col("a"), F.col("b"), F.col("common")).items()))
 
 
 @query(f", {OVERLAP} SELECT paper_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(jaccard, 6) AS jaccard FROM metric", "usages")
@@ -445,9 +450,12 @@ def a39_quotes_by_paper(read):
     "observatories",
 )
 def c1_paper_listing(read):
-    clauses = [F.col("datasource") == "ASIA", F.col("mission").isin("Brand#3", "Brand#7"), F.col("status") != "rejected", p.overlaps(F.col("win_start"), F.col("win_end"), day("1996-01-01"), day("1999-01-01"))]
-    ok = usages(read).join(instruments(read), "instrument_id").join(observatories(read), "observatory_id").where(p.all_of(clauses)).select("paper_id")
-    shown = papers(read).select("paper_id", "tag").join(ok, "paper_id", "left_semi").join(paper_rollup(read), "paper_id")
+    """One pass over usages: each paper's rollup says also whether one of its usages is asked for."""
+    clauses = [F.col("_mission"), F.col("_datasource"), F.col("status") != "rejected", p.overlaps(F.col("win_start"), F.col("win_end"), day("1996-01-01"), day("1999-01-01"))]
+    missions = instruments(read).where(F.col("mission").isin("Brand#3", "Brand#7")).select("instrument_id", F.lit(True).alias("_mission"))
+    asia = observatories(read).where("datasource = 'ASIA'").select("observatory_id", F.lit(True).alias("_datasource"))
+    per = usages(read).join(missions, "instrument_id", "left").join(asia, "observatory_id", "left").groupBy("paper_id").agg(F.count_if(p.all_of(clauses)).alias("_asked"), *rollup_columns())
+    shown = papers(read).select("paper_id", "tag").join(per.where("_asked > 0"), "paper_id")
     total = F.coalesce(F.nullif("total_count", F.lit(0)), "validated_count")
     return shown.select("paper_id", "tag", "validated_count", total.alias("total_count"), "open_end").orderBy(F.desc_nulls_first("open_end"), "paper_id").offset(20).limit(20)
 
@@ -460,8 +468,14 @@ def c1_paper_listing(read):
     "observatories",
 )
 def c3_filter_options(read):
-    star = usages(read).where("status <> 'rejected'").join(instruments(read), "instrument_id").join(observatories(read), "observatory_id")
-    return star.groupBy("datasource", "mission").agg(F.count("*").alias("usages"), F.countDistinct("paper_id").alias("papers"), F.countDistinct("instrument").alias("instruments"), F.min("win_start").alias("first_start"), F.max("win_end").alias("last_end"))
+    """Papers are counted after one row a paper and option, instruments from the distinct pairs of keys: no row is taken twice."""
+    open_ = usages(read).where("status <> 'rejected'")
+    star = lambda rows: rows.join(instruments(read), "instrument_id").join(observatories(read), "observatory_id")
+    option = ["datasource", "mission"]
+    per = star(open_).groupBy(*option, "paper_id").agg(F.count("*").alias("k"), F.min("win_start").alias("s"), F.max("win_end").alias("e"))
+    found = per.groupBy(*option).agg(F.sum("k").alias("usages"), F.count("paper_id").alias("papers"), F.min("s").alias("first_start"), F.max("e").alias("last_end"))
+    named = star(open_.select("instrument_id", "observatory_id").distinct()).groupBy(*option).agg(F.countDistinct("instrument").alias("instruments"))
+    return found.join(named, option).select(*option, "usages", "papers", "instruments", "first_start", "last_end")
 
 
 @query(
