@@ -10,12 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Reader = Callable[[str], DataFrame]
 
 
 def reader(spark: SparkSession, sf_dir: str) -> Reader:
-    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Reads tables of a folder; a table's footers are looked at once a reader, however often a plan names it."""
+    schemas: dict[str, StructType] = {}
+
+    def read(name: str) -> DataFrame:
+        rows = (spark.read.schema(schemas[name]) if name in schemas else spark.read).parquet(f"{sf_dir}/{name}.parquet")
+        schemas.setdefault(name, rows.schema)
+        return rows
+
+    return read
 
 
 def usages(read: Reader) -> DataFrame:
