@@ -13,6 +13,7 @@ from litquarry.llm.embedding_dedup import embedding_links
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.ngram_join import ngram_components
 from litquarry.llm.packing import pack_documents
+from litquarry.llm.quality_rules import quality_rules
 from litquarry.llm.substring_dedup import substring_dedup
 from litquarry.llm.token_count import token_counts
 from litquarry.llm.token_output import token_output
@@ -181,6 +182,10 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id
 """
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_grams")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -193,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_quality_rules": op11_quality_rules,
     }
 
 
