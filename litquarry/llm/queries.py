@@ -12,6 +12,7 @@ from litquarry.llm.decontaminate import decontaminate
 from litquarry.llm.embedding_dedup import embedding_links
 from litquarry.llm.line_dedup import line_dedup
 from litquarry.llm.ngram_join import ngram_components
+from litquarry.llm.merkle import folded, leaf_digest, merkle_manifest, siblings
 from litquarry.llm.packing import pack_documents
 from litquarry.llm.quality_rules import quality_rules
 from litquarry.llm.substring_dedup import substring_dedup
@@ -164,8 +165,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-
-]+') AS w FROM documents
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS k
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS pos FROM d)
@@ -186,6 +186,67 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_grams")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = {"n_chars": F.expr("try_add(n_chars, 1)")}
+    forged = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_digest(*[more.get(c, F.col(c)) for c in fields]))
+    leaves = _table(spark, sf_dir, "documents").select("doc_id", "lang", leaf_digest(*map(F.col, fields)).alias("leaf"), forged.alias("forged"))
+    made = merkle_manifest(leaves, group_col="lang", id_col="doc_id", leaf_col="leaf")
+    root = F.lit(made.root)
+    proven = made.proofs.withColumn("folded_root", folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return proven.select(
+        "doc_id", "leaf", "subroot", root.alias("root"), F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified")
+    )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))),
+           4294967295) % 7 = 0, false) AS tampered
+  FROM documents
+), leaves AS (
+  SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(CAST(n_chars + tampered::INT AS VARCHAR)) || ':' || (n_chars + tampered::INT), '-') || tail) AS given FROM d
+), placed AS (
+  SELECT doc_id, lang, leaf, given, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaves
+), nodes AS (
+  SELECT g, 0 AS level, place AS i, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, level, i // 2
+), subroots AS (SELECT g, h AS subroot FROM nodes WHERE n = 1
+), high AS (
+  SELECT 0 AS level, g AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, i // 2
+), steps AS (
+  SELECT p.g, place, x.level AS step, s.h AS sibling, (place >> x.level) % 2 = 1 AS on_left
+  FROM placed p JOIN (SELECT DISTINCT g, level, n FROM nodes) x ON x.g = p.g AND x.n > 1
+  LEFT JOIN nodes s ON s.g = p.g AND s.level = x.level AND s.i = xor(place >> x.level, 1)
+  UNION ALL
+  SELECT p.g, place, 1000 + x.level, s.h, (p.g >> x.level) % 2 = 1
+  FROM placed p JOIN (SELECT DISTINCT level, n FROM high) x ON x.n > 1
+  LEFT JOIN high s ON s.level = x.level AND s.i = xor(p.g >> x.level, 1)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY g, place ORDER BY step) AS k FROM steps
+), fold AS (
+  SELECT g, place, given AS h, 0 AS k FROM placed
+  UNION ALL
+  SELECT fold.g, fold.place, sha256(CASE WHEN sibling IS NULL THEN h WHEN on_left THEN sibling || h ELSE h || sibling END), fold.k + 1
+  FROM fold JOIN ordered o ON o.g = fold.g AND o.place = fold.place AND o.k = fold.k + 1
+), ends AS (SELECT g, place, arg_max(h, k) AS folded_root FROM fold GROUP BY g, place
+), proofs AS (SELECT g, place, coalesce(string_agg(sibling, '' ORDER BY k), '') AS siblings FROM ordered GROUP BY g, place
+), root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots USING (g) CROSS JOIN root JOIN ends e ON e.g = p.g AND e.place = p.place LEFT JOIN proofs f ON f.g = p.g AND f.place = p.place
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -199,6 +260,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_quality_rules": op11_quality_rules,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -209,4 +271,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
