@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litquarry.llm.alignment import alignment
 from litquarry.llm.common import sha256_hex
 from litquarry.llm.decontaminate import decontaminate
 from litquarry.llm.embedding_dedup import embedding_links
@@ -186,6 +187,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_grams")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     more = {"n_chars": F.expr("try_add(n_chars, 1)")}
@@ -260,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_quality_rules": op11_quality_rules,
+        "op12_alignment": op12_alignment,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 

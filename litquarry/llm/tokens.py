@@ -46,6 +46,13 @@ def byte_pieces(text: str) -> list[str]:
     return _stops_cut(text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def byte_pieces_whole(text: str) -> list[str]:
+    """The cuts of ``byte_pieces`` but for those around stops, so that tokenizers which join stops to words can have the pieces too."""
+    if "\0" in text or _TWO_BLANKS.search(text):
+        return _CUTS.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 def word_pieces(text: str) -> list[str]:
     """Cuts for tokenizers that lower case and drop white space: at every space and line feed.
 
