@@ -1,17 +1,13 @@
-"""Text functions as column expressions; only NFKD runs in Python, on rows that are not ASCII."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Typographic characters and what searches see in their place.
-DASHES = "‐‑‒–—―−"
+#: Curly quotes and blanks.
 SINGLE_QUOTES, DOUBLE_QUOTES = "‘’", "“”"
 BLANKS = " \t\n\x0b\x0c\r"
-INVISIBLE = "­​‌‍﻿"
 
 
 def percent_encode(text: Column) -> Column:
@@ -22,18 +18,6 @@ def percent_encode(text: Column) -> Column:
     return encoded
 
 
-@F.pandas_udf(StringType())
-def _nfkd(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD")
-
-
-def normalize_text(text: Column) -> Column:
-    """Compatibility forms, plain dashes and quotes, no invisible characters, single blanks. Null stays null."""
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkd(text)).otherwise(text)
-    plain = F.translate(plain, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + INVISIBLE, "-" * len(DASHES) + "''" + '""')
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
@@ -127,31 +111,6 @@ def strip_reasoning(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<reasoning>.*?</reasoning>", ""), r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", ""))
 
 
-#: Patterns of which any marks a text as mathematical, and the signs that then get blanks around them.
-MATH = (
-    r"[a-zA-Z]\s*[=]\s*\(",
-    r"\|\|.*\|\|",
-    r"[a-zA-Z]\s*[-+]\s*[a-zA-Z]",
-    r"[a-zA-Z]\s*[*]\s*[a-zA-Z]",
-    r"\(\s*[a-zA-Z]\s*\)",
-    r"[a-zA-Z]\s*[0-9]",
-)
-SIGNS = "=()+-*/[]{}"
-
-
-def math_spacing(text: Column) -> Column:
-    """Mathematical text with single blanks around its signs, bars and commas; other text as it is."""
-    spaced = text
-    for sign in SIGNS:
-        spaced = F.regexp_replace(spaced, rf"\s*\{sign}\s*", f" {sign} ")
-    for old, new in ((r"\|\|\s*", "|| "), (r"\s*\|\|", " ||"), (r"\s*,\s*", " , "), (r"\s+", " ")):
-        spaced = F.regexp_replace(spaced, old, new)
-    is_math = F.lit(False)
-    for pattern in MATH:
-        is_math = is_math | text.rlike(pattern)
-    return F.when(is_math, spaced).otherwise(text)
-
-
 def display_name(instrument: Column, observatory: Column) -> Column:
     """A catalog id's own part: without its known prefix and its observatory's path, slashes as hyphens. Other ids stay."""
     name = instrument

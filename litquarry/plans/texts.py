@@ -13,19 +13,6 @@ from litquarry.sources.roles import calls, usages
 STOP = ["that", "this", "with", "thon", "esen", "hein"]
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS plain FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def f1_normalize_ascii(read):
-    """The ASCII rows of f1_normalize_text, which SQL can say too."""
-    docs = read("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", text.normalize_text(F.col("text")).alias("plain"))
-
-
-@query()
-def f1_normalize_text(read):
-    """Every document, null texts too; NFKD is not in SQL, so tests hold rows of all kinds against Python's unicodedata."""
-    return read("documents").select("doc_id", text.normalize_text(F.col("text")).alias("plain"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[0-9a-z]+')) AS n_tokens FROM documents")
 def f3_tokens(read):
     return read("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
@@ -120,12 +107,6 @@ def f20_hash_keys(read):
     return read("documents").select("doc_id", F.md5("text").alias("cache_key"), F.sha2("text", 256).alias("request"), text.short_id(F.col("source"), F.col("lang")).alias("short"))
 
 
-@query("SELECT item_id, doc_id, CAST(strpos(lower(d.text), lower(b.text)) AS INT) AS place FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
-def l2_exact_quote(read):
-    """First case-blind occurrences of each quote; candidates come from shared rare words, not from a cross join."""
-    return locate.exact(read("benchmark").select("item_id", "text"), read("documents").select("doc_id", "text"), quote_id="item_id", doc_id="doc_id")
-
-
 @query()
 def l6_fuzzy_quote(read):
     """Best near occurrence of each quote in every document that has one; rows only, tests hold it against a direct search."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litquarry.functions import text
+from litquarry.functions import normal, text
+from litquarry.operators import locate
 from litquarry.operators import materialize as m
 from litquarry.plans.composites import ENTRIES, MENTIONS, analyses, catalog
+from litquarry.plans.quotes import _DOCS, _math_sql, plain_sql, printed_index, spaced_sql
 from litquarry.plans.registry import query
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
 from litquarry.streaming import state
@@ -105,12 +107,10 @@ def n11_rebuilt_quotes(read):
     return new.unionByName(old)
 
 
-@query("SELECT item_id, min(place) AS place, count(*) AS documents FROM (SELECT item_id, strpos(lower(d.text), lower(b.text)) AS place FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))) GROUP BY 1")
+@query(f"WITH {_DOCS}, {plain_sql('benchmark', 'item_id', 'text', 'b')} SELECT item_id, min(strpos(low, q)) AS place, count(*) AS documents FROM b JOIN d ON contains(low, q) WHERE q <> '' GROUP BY 1")
 def n12_quote_locations(read):
     """Places of quotes found again, over all documents: the first place and how many documents have it."""
-    from litquarry.operators import locate
-
-    met = locate.exact(read("benchmark").select("item_id", "text"), read("documents").select("doc_id", "text"), quote_id="item_id", doc_id="doc_id")
+    met = locate.exact(read("benchmark").select("item_id", "text"), printed_index(read), quote_id="item_id")
     return met.groupBy("item_id").agg(F.min("place").cast("long").alias("place"), F.count("*").alias("documents"))
 
 
@@ -250,17 +250,10 @@ def f17_id_remap(read):
     return instruments(read).select("instrument_id", text.renamed_id(code).alias("named"))
 
 
-def _spaced_sql() -> str:
-    x = "t"
-    for sign in ("=", "\\(", "\\)", "\\+", "-", "\\*", "/", "\\[", "\\]", "\\{", "\\}"):
-        x = f"regexp_replace({x}, '\\s*{sign}\\s*', ' {sign[-1]} ', 'g')"
-    for old, new in (("\\|\\|\\s*", "|| "), ("\\s*\\|\\|", " ||"), ("\\s*,\\s*", " , "), ("\\s+", " ")):
-        x = f"regexp_replace({x}, '{old}', '{new}', 'g')"
-    is_math = " OR ".join(f"regexp_matches(t, '{p}')" for p in ("[a-zA-Z]\\s*[=]\\s*\\(", "\\|\\|.*\\|\\|", "[a-zA-Z]\\s*[-+]\\s*[a-zA-Z]", "[a-zA-Z]\\s*[*]\\s*[a-zA-Z]", "\\(\\s*[a-zA-Z]\\s*\\)", "[a-zA-Z]\\s*[0-9]"))
-    return f"WITH x AS (SELECT instrument_id, CASE WHEN instrument_id % 3 = 0 THEN instrument ELSE instrument || ' f=( x+y )*2,[a] ||' || channels || '|| n' || channels END AS t FROM instruments) SELECT instrument_id, CASE WHEN {is_math} THEN {x} ELSE t END AS spaced FROM x"
+_F2 = "CASE WHEN instrument_id % 3 = 0 THEN instrument ELSE instrument || ' f=( x+y )*2,[a] ||' || channels || '|| n' || channels END"
 
 
-@query(_spaced_sql().replace("WITH x AS", ", x AS", 1), "instruments")
+@query(f", x AS (SELECT instrument_id, {_F2} AS t FROM instruments) SELECT instrument_id, CASE WHEN {_math_sql('t')} THEN {spaced_sql('t')} ELSE t END AS spaced FROM x", "instruments")
 def f2_math_spacing(read):
     plain = F.when(F.col("instrument_id") % 3 == 0, F.col("instrument")).otherwise(F.concat("instrument", F.lit(" f=( x+y )*2,[a] ||"), "channels", F.lit("|| n"), "channels"))
-    return instruments(read).select("instrument_id", text.math_spacing(plain).alias("spaced"))
+    return instruments(read).select("instrument_id", normal.math_spacing(plain).alias("spaced"))

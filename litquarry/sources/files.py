@@ -17,15 +17,49 @@ from litquarry.functions.text import BLANKS
 KNOWN_SYSTEMS = ("vso", "cdaweb", "pds")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; only a session of one machine may leave that unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session of one machine may leave that unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file:///tmp/checkpoints/{sc.applicationId}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder of the shared store."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """``rows`` as a Parquet table of the shared store, read back: what uses it twice does not make it twice."""
+    path = path or scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def file_states(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files that ``rows`` reads, in order of their paths."""
+    spark = rows.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in sorted(rows.inputFiles()):
+        state = path(name).getFileSystem(conf).getFileStatus(path(name))
+        found.append((name, state.getLen(), state.getModificationTime()))
+    return found
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a file or folder of the shared store another name; False if that is taken."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return not exists(spark, new) and path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(old), path(new))
 
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:

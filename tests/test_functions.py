@@ -4,8 +4,8 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from litquarry.functions import parsers, predicates, statistics, text, times
-from litquarry.operators import agreement, joins, locate, sampling
+from litquarry.functions import normal, parsers, predicates, statistics, text, times
+from litquarry.operators import agreement, joins, sampling
 from litquarry.streaming import state
 
 
@@ -15,7 +15,7 @@ def values(spark, column, rows, schema="x string"):
 
 def test_normalize_text(spark):
     said = [("“Café”— x­ \n y",), ("",), (None,), ("ﬁne",)]
-    assert values(spark, text.normalize_text(F.col("x")), said) == ['"' + unicodedata.normalize("NFKD", "Café") + '"- x y', "", None, "fine"]
+    assert values(spark, normal.normalize_text(F.col("x")), said) == ['"' + unicodedata.normalize("NFKD", "Café") + '"- x y', "", None, "fine"]
 
 
 def test_junk_and_quotes(spark):
@@ -71,12 +71,6 @@ def test_strata_are_disjoint_and_stable(spark):
     assert first == take() and len({i for i, _ in first}) == len(first) == 30
 
 
-def test_quotes(spark):
-    docs = spark.createDataFrame([(1, "zero one two three four five six"), (2, "one TWO three here one two three"), (3, None)], "doc long, text string")
-    quotes = spark.createDataFrame([(1, "ne two thr"), (2, "six"), (3, "")], "q long, text string")
-    assert sorted(tuple(r) for r in locate.exact(quotes, docs, quote_id="q", doc_id="doc").collect()) == [(1, 1, 7), (1, 2, 2), (2, 1, 30)]
-
-
 def test_upsert_is_idempotent_and_replay_ends(spark, tmp_path):
     old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "d"), (2, "c")], "k int, v string")
     once = state.upsert_new(old, new, ["k"], "v")

@@ -20,5 +20,5 @@ def python_plain(text):
 def test_normalize_covers_every_document(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["plain"] for r in QUERIES["f1_normalize_text"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["plain"] for r in QUERIES["f1_normalize_plain"](spark, str(tmp_path)).collect()}
     assert found == {k: python_plain(t) for k, t in rows}
