@@ -64,6 +64,8 @@ class CapFilters:
                     number, total = self._list([s[i] for s in scores], rest[i], level)
                     if len(number) >= self.least:
                         break
+                    if level < -2 * len(words):  # a unit vector exceeds this on every filter
+                        raise ValueError("a vector is not of unit length")
                     level -= 0.06
                 order = np.argsort(-total, kind="stable")
                 number = number[order] + k * self.words ** len(words)
@@ -89,8 +91,12 @@ class CapFilters:
 
 
 def _unit(rows) -> np.ndarray:
-    """Unit vectors in double precision of a list column without nulls, all of one size."""
+    """Unit vectors in double precision of a list column without nulls, all of one size.
+
+    Components are brought near 1 first, by powers of two, so that no square is too large or too small for a double.
+    """
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, keepdims=True))[1])
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -246,7 +252,8 @@ def embedding_links(table: DataFrame, *, cosine: float = 0.95, id_col: str = "ve
 
     A component is named by the smallest id that links reach. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, and so do vectors of another size and rows with a null id. Rows that
-    repeat an id are each answered with the links of one of them, as one vector, and other columns are ignored.
+    repeat an id are each answered with the links of one of them, the smallest vector, as one vector: another one under
+    the same id is not compared. Very large and very small components are as good as any. Other columns are ignored.
     Ids are integral. ``filters``: see ``CapFilters``.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))

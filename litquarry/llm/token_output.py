@@ -40,16 +40,16 @@ def _counted(s: np.ndarray, at: np.ndarray, n_symbols: int, least: int) -> tuple
     return keys[order], counts[order]
 
 
-def repair(ids: np.ndarray, vocab: int, *, most_rules: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, vocab: int, *, most_rules: int | None = None, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a grammar for ``ids``; rule r stands for symbol ``vocab + r`` and has two symbols.
 
     Each round counts all pairs exactly, takes pairs from the most frequent one down such that no symbol is the left of
     one and the right of another (so that no two chosen occurrences overlap), and replaces every occurrence. Of a run
-    of equal symbols, every other place counts. It ends when no pair comes ``least`` times or the rules run out.
+    of equal symbols, every other place counts. It ends when no pair comes ``least`` times, or after ``most_rules`` rules, if given.
     """
     s = ids.astype(np.int32)
     rules: list[tuple[int, int]] = []
-    while len(rules) < most_rules and len(s) > 1:
+    while (most_rules is None or len(rules) < most_rules) and len(s) > 1:
         n_symbols = vocab + len(rules)
         at = np.arange(len(s) - 1)
         same = s[:-1] == s[1:]
@@ -108,7 +108,7 @@ class Grammar:
 
 def shard_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, vocab: int) -> bytes:
     """A shard's file: header, documents, rules with expansion lengths, offset index, symbols."""
-    symbols, rules = repair(ids, vocab, most_rules=max(0, (1 << 16) - vocab) or 1 << 20)
+    symbols, rules = repair(ids, vocab)
     grammar = Grammar(vocab, rules)
     width = 2 if vocab + len(rules) <= 1 << 16 else 4
     ends = np.cumsum(grammar.length[symbols])
