@@ -5,6 +5,8 @@ All reduce votes to counts before anything is compared, so no pair of votes is m
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,21 +63,49 @@ def cohen_kappa(votes: DataFrame, item: str, rater: str, status: str, *, pooled:
     return met.where(F.col("shared") >= least_shared).select(*keys, "shared", observed.alias("observed"), kappa.alias("kappa"))
 
 
+#: Values of three hexadecimal digits from which on a Poisson draw of mean 1 is 1, 2, ... 6 or more.
+POISSON = (1507, 3014, 3767, 4018, 4081, 4094)
+#: Draws of one md5.
+DRAWS = 10
+
+
+def _resampled(group: str, key: str, value: str, replicates: int, seed: int):
+    """For each Arrow batch and group in it: the weighted sum and the weight of every replicate, as two arrays."""
+    blocks = -(-replicates // DRAWS)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digest = b"".join(hashlib.md5(f"{seed}|{k}|{b}".encode()).digest() for k in batch.column(key).to_pylist() for b in range(blocks))
+            raw = np.frombuffer(digest, np.uint8).reshape(-1, 16)[:, :15]
+            digits = np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, DRAWS, 3).astype(np.int32)
+            drawn = np.searchsorted(POISSON, (digits @ np.array([256, 16, 1], np.int32)).reshape(batch.num_rows, -1)[:, :replicates], side="right")
+            given = batch.column(value).to_numpy(zero_copy_only=False).astype(float)
+            coded = batch.column(group).dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            sums = [((drawn[code == g] * given[code == g, None]).sum(axis=0), drawn[code == g].sum(axis=0)) for g in range(len(coded.dictionary))]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([s for s, _ in sums], pa.list_(pa.float64())), pa.array([w for _, w in sums], pa.list_(pa.int64()))], names=[group, "sums", "weights"])
+
+    return run
+
+
 def bootstrap_mean(rows: DataFrame, key: str, value: str, *, group: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(group, n, mean, lower, upper): a 95 % percentile interval of the mean.
 
-    Each row weighs, in each replicate, as often as a Poisson draw of mean 1 says that is hashed from its key: the
-    usual stand-in for drawing with replacement that needs one pass, no collected group and gives the same draw anywhere.
-    The weighted sums of a group are added up before the shuffle, so it moves ``replicates`` rows a group and task.
+    Each row weighs, in each replicate, as often as a Poisson draw of mean 1 says: the usual stand-in for drawing with
+    replacement that needs one pass and no collected group. Draws are read from the md5 of seed, key and a counter, three
+    hexadecimal digits each, so that they are the same anywhere. All sums of a batch's groups are updated together as
+    arrays; a batch sends one row a group and replicate into the shuffle, not one a row.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), F.col(key)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    p, total, weight = 0.36787944117144233, 0.0, F.lit(0)
-    for k in range(8):
-        total += p
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        p /= k + 1
-    drawn = rows.where(F.col(value).isNotNull()).select(group, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_w", weight)
-    means = drawn.groupBy(group, "_r").agg((F.sum(F.col(value) * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    known = rows.where(F.col(value).isNotNull()).select(group, key, F.col(value).cast("double").alias(value))
+    kind = rows.schema[group].dataType.simpleString()
+    partial = known.mapInArrow(_resampled(group, key, value, replicates, seed), f"`{group}` {kind}, sums array<double>, weights array<bigint>")
+    each = partial.select(group, F.posexplode(F.arrays_zip("sums", "weights")).alias("_r", "x"))
+    means = each.groupBy(group, "_r").agg((F.sum("x.sums") / F.nullif(F.sum("x.weights"), F.lit(0))).alias("m"))
     bounds = means.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     per = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     return per.join(bounds, group).select(group, "n", "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litquarry.sources.files import scratch, written
+
 
 def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term): words of two characters or more in lower case, and pairs of neighbours."""
@@ -31,46 +34,129 @@ def tf_idf(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, most_sh
     return raw.join(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def feature_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(key, features) as sparse vectors over the terms in alphabetical order, of which there are a bounded number."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+def vocabulary(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, most_share: float = 0.95, most_terms: int = 20_000) -> DataFrame:
+    """(term, i, idf) of the terms that ``tf_idf`` keeps, numbered by the alphabet; at most ``most_terms`` rows."""
+    counts = grams(rows, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    n = rows.select(F.count("*").alias("n"))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(n)
+    kept = terms.where((F.col("df") >= least_docs) & (F.col("df") <= F.col("n") * most_share)).orderBy(F.desc("all"), "term").limit(most_terms)
+    # as many rows as the vocabulary may have: one window spans them
+    number = (F.row_number().over(Window.orderBy("term")) - 1).alias("i")
+    return kept.select("term", number, (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def weighed(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, i, weight) by the terms (term, i, idf) of a vocabulary, which is broadcast; each row's weights have length one."""
+    counts = grams(rows, key, text).join(F.broadcast(terms), "term").groupBy(key, "i", "idf").agg(F.count("*").alias("tf"))
+    raw = counts.select(key, "i", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
+    return raw.join(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key).select(key, "i", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def feature_vectors(labelled: DataFrame, weights: DataFrame, key: str, size: int) -> DataFrame:
+    """``labelled`` with ``features``, sparse vectors of (key, i, weight): a table in the shared store, made without Python.
 
-    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)) or [(0, "")], "i int, term string")
-    size = max(len(terms), 1)
-    vector = F.udf(lambda pairs: Vectors.sparse(size, [(p["i"], p["weight"]) for p in pairs]), VectorUDT())
-    gathered = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("pairs"))
-    return gathered.select(key, vector("pairs").alias("features")), size
+    A vector's stored form is a struct, so that a table of such structs is read back as vectors. Rows without weights get
+    the zero vector.
+    """
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    pairs = F.sort_array(F.collect_list(F.struct("i", "weight")))
+    gathered = labelled.join(weights.groupBy(key).agg(pairs.alias("_pairs")), key, "left")
+    held = F.coalesce("_pairs", F.array().cast("array<struct<i:int,weight:double>>"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), held["i"].alias("indices"), held["weight"].alias("values"))
+    spark, path = labelled.sparkSession, scratch(labelled.sparkSession, "features")
+    gathered.select(*labelled.columns, vector.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([*labelled.schema.fields, StructField("features", VectorUDT())])).parquet(path)
 
 
-def balanced(labelled: DataFrame, label: str) -> DataFrame:
-    """``weight`` such that both classes count the same."""
-    n = labelled.groupBy(label).agg(F.count("*").alias("_n"))
-    total = labelled.agg(F.count("*").alias("_all"))
-    return labelled.join(n, label).join(total).withColumn("weight", F.col("_all") / (2.0 * F.col("_n"))).drop("_n", "_all")
+def stratified_folds(rows: DataFrame, key: str, label: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``rows`` with ``fold``: the rank of a row's hash within its label, modulo ``folds``, so that folds have equal shares of each label.
 
+    Ranks are counted within ranges of the hash and added up over ranges, so no window spans a label.
+    """
+    order = [F.col(label), F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    here = Window.partitionBy(label, "_part").orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    before = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(label, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = ranged.withColumn("_k", F.row_number().over(here) - 1).join(counts, [label, "_part"])
+    return ranked.withColumn("fold", ((F.col("_before") + F.col("_k")) % folds).cast("int")).drop("_part", "_k", "_before")
 
-def fit_logistic(labelled: DataFrame, label: str, n: int, *, c: float = 5.0, steps: int = 20):
-    """A logistic regression of (features, label, weight) with the inverse penalty ``c`` over ``n`` rows."""
+
+def fit_logistic(labelled: DataFrame, label: str, counts: dict[int, int], *, c: float = 5.0, steps: int = 100):
+    """A logistic regression of (features, label) with the inverse penalty ``c``; ``counts`` of the two labels make both weigh the same."""
     from pyspark.ml.classification import LogisticRegression
 
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=steps).fit(labelled)
+    n = sum(counts.values())
+    weight = F.when(F.col(label) == 1, n / (2.0 * max(counts.get(1, 0), 1))).otherwise(n / (2.0 * max(counts.get(0, 0), 1)))
+    model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=steps)
+    return model.fit(labelled.withColumn("_weight", weight))
 
 
-def cross_validated(labelled: DataFrame, key: str, label: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, key, label, probability): each row scored by the model of the other folds. Folds are hashes of the key."""
+def cross_validated(labelled: DataFrame, key: str, label: str, *, folds: int = 5, c: float = 5.0) -> DataFrame:
+    """(fold, key, label, probability): each row of (key, label, features, fold) scored by the model of the other folds."""
     from pyspark.ml.functions import vector_to_array
 
-    dealt = labelled.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")).cache()
+    sizes = {(r["fold"], r[label]): r["n"] for r in labelled.groupBy("fold", label).agg(F.count("*").alias("n")).collect()}
     scored = []
     for k in range(folds):
-        train = balanced(dealt.where(F.col("fold") != k), label)
-        model = fit_logistic(train, label, train.count())
-        told = model.transform(dealt.where(F.col("fold") == k))
+        counts = {y: sum(n for (fold, own), n in sizes.items() if fold != k and own == y) for y in (0, 1)}
+        model = fit_logistic(labelled.where(F.col("fold") != k), label, counts, c=c)
+        told = model.transform(labelled.where(F.col("fold") == k))
         scored.append(told.select("fold", key, label, vector_to_array("probability")[1].alias("probability")))
     return reduce(DataFrame.unionByName, scored)
 
 
+@dataclass
+class TextClassifier:
+    """A fitted vocabulary and model: ``terms`` (term, i, idf, coefficient), of a bounded number, and ``head`` (intercept, threshold)."""
+
+    terms: DataFrame
+    head: DataFrame
+
+    def scores(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, probability) of every row, without vectors: a row's score is a sum over its terms. Rows without known terms get the intercept's."""
+        counts = grams(rows, key, text).join(F.broadcast(self.terms), "term").groupBy(key, "term", "idf", "coefficient").agg(F.count("*").alias("tf"))
+        weight = (F.log("tf") + 1) * F.col("idf")
+        summed = counts.groupBy(key).agg((F.sum(weight * F.col("coefficient")) / F.sqrt(F.sum(weight * weight))).alias("_sum"))
+        every = rows.select(key).join(summed, key, "left").join(F.broadcast(self.head))
+        margin = F.coalesce("_sum", F.lit(0.0)) + F.col("intercept")
+        return every.select(key, (1 / (1 + F.exp(-margin))).alias("probability"), "threshold")
+
+    def save(self, path: str) -> None:
+        self.terms.write.parquet(f"{path}/terms")
+        self.head.write.parquet(f"{path}/head")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TextClassifier:
+        return TextClassifier(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/head"))
+
+
+def fit_text_classifier(
+    rows: DataFrame, key: str, text: str, label: str, *, path: str | None = None, folds: int = 5, c: float = 5.0, target: float = 0.95, most_terms: int = 20_000, least_docs: int = 3, seed: int = 42
+) -> tuple[TextClassifier, DataFrame]:
+    """A classifier of labelled ``rows`` (key, text, label 0 or 1), saved at ``path``, and its cross-validated scores.
+
+    The threshold is the one that reaches ``target`` of the positives among the scores of rows that a fold's model has not
+    seen. Rows with a null label or key are left out. One table of vectors serves all folds and the final model.
+    """
+    spark = rows.sparkSession
+    path = path or scratch(spark, "classifier")
+    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    terms = written(vocabulary(known, key, text, least_docs=least_docs, most_terms=most_terms), "vocabulary")
+    size = max(terms.count(), 1)
+    folded = stratified_folds(known.select(key, label), key, label, folds=folds, seed=seed)
+    vectors = feature_vectors(folded, weighed(known, key, text, terms), key, size)
+    scored = written(cross_validated(vectors, key, label, folds=folds, c=c), "cross-validated")
+    counts = {r[label]: r["n"] for r in vectors.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    model = fit_logistic(vectors, label, counts, c=c)
+    coefficients = spark.createDataFrame(list(enumerate(model.coefficients.toArray().tolist())), "i int, coefficient double")
+    head = threshold_for_recall(scored, label, "probability", target).select(F.lit(float(model.intercept)).alias("intercept"), "threshold")
+    TextClassifier(terms.join(coefficients, "i").select("term", "i", "idf", "coefficient"), head).save(path)
+    return TextClassifier.load(spark, path), scored
+
+
 def threshold_for_recall(scored: DataFrame, label: str, probability: str, target: float = 0.95) -> DataFrame:
     """One row (threshold): the highest score such that at least ``target`` of the positives score that or more, else 0.5.
 

@@ -343,10 +343,18 @@ def a29_modal_answer(read):
     return agreement.modal_answers(votes(read), "item_id", "status", "rater_id").select("item_id", "answer", "modal")
 
 
-@query()
+@query(
+    """, b AS (SELECT call_type, cost, md5('42|' || call_id || '|' || unnest(range(20))) AS h, unnest(range(20)) AS b FROM calls WHERE cost IS NOT NULL),
+    v AS (SELECT call_type, cost, b * 10 + k AS r, CAST('0x' || substr(h, CAST(3 * k + 1 AS INT), 3) AS INT) AS v FROM b, (SELECT unnest(range(10)) AS k)),
+    w AS (SELECT call_type, cost, r, CASE WHEN v < 1507 THEN 0 WHEN v < 3014 THEN 1 WHEN v < 3767 THEN 2 WHEN v < 4018 THEN 3 WHEN v < 4081 THEN 4 WHEN v < 4094 THEN 5 ELSE 6 END AS w FROM v),
+    m AS (SELECT call_type, r, sum(cost * w) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2), q AS (SELECT call_type, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m GROUP BY 1)
+    SELECT call_type, n, round(mean, 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (SELECT call_type, count(cost) AS n, avg(cost) AS mean FROM calls GROUP BY 1) JOIN q USING (call_type)""",
+    "calls",
+)
 def a30_bootstrap_interval(read):
-    """Percentile interval of the mean call cost by Poisson resampling; rows only, as it draws from a hash."""
-    return agreement.bootstrap_mean(calls(read), "call_id", "cost", group="call_type", replicates=200, seed=42)
+    """Percentile interval of the mean call cost by Poisson resampling with draws from md5."""
+    found = agreement.bootstrap_mean(calls(read), "call_id", "cost", group="call_type", replicates=200, seed=42)
+    return found.select("call_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")))
 
 
 @query(
