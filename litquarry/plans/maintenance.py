@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from litquarry.functions.text import short_id
 from litquarry.plans.registry import query
+from litquarry.sources import files
 from litquarry.sources.files import scratch
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
-from litquarry.streaming import state
+from litquarry.streaming import flows, state
 
 
 @query(
@@ -76,6 +77,49 @@ def t7_size_chunks(read):
     return cut.groupBy("call_type", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query(
+    """, v AS (SELECT event_id % 500 AS item, user_id % 5 AS rater, CASE WHEN event_type IN ('purchase', 'signup') THEN 'approved' WHEN event_type = 'error' THEN 'rejected' ELSE 'needs_review' END AS status, ts, event_id FROM events),
+    l AS (SELECT item, rater, arg_max(status, (ts, event_id)) AS status FROM v GROUP BY 1, 2), c AS (SELECT item, count(*) AS n_votes, count(*) FILTER (status = 'approved') AS a, count(*) FILTER (status = 'rejected') AS r FROM l GROUP BY 1)
+    SELECT item, n_votes, CASE WHEN a >= n_votes // 2 + 1 THEN 'approved' WHEN r >= n_votes // 2 + 1 THEN 'rejected' ELSE 'needs_review' END AS consensus FROM c""".replace(", v AS", "WITH v AS", 1),
+)
+def t2_streamed_votes(read):
+    """Votes as a stream: the newer half first, then the older one, then a third of all again; the last consensus of each item."""
+    status = F.when(F.col("event_type").isin("purchase", "signup"), "approved").when(F.col("event_type") == "error", "rejected").otherwise("needs_review")
+    every = read("events").select((F.col("event_id") % 500).alias("item"), (F.col("user_id") % 5).alias("rater"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("vote"))
+    spark = every.sparkSession
+    newer = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    folder = files.scratch(spark, "votes")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKS)
+    try:
+        stream = flows.as_stream(every, f"{folder}/in", newer, ~newer, F.col("vote") % 3 == 0)
+        told = flows.drained(flows.voted(stream, settled=["approved", "rejected"]), f"{folder}/out", f"{folder}/checkpoint", mode="update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return told.groupBy("item").agg(F.max_by(F.struct("n_votes", "consensus"), "version").alias("x")).select("item", "x.*")
+
+
+@query("SELECT call_type, count(*) AS n, sum(tokens) AS tokens FROM calls GROUP BY 1", "calls")
+def t12_deduplicated(read):
+    """Calls that are delivered twice, as a stream in two files: each counts once."""
+    rows = calls(read).select("call_id", "call_type", "tokens", "created_at")
+    folder = files.scratch(rows.sparkSession, "deliveries")
+    once = flows.deduplicated(flows.as_stream(rows.unionByName(rows.where("call_id % 2 = 0")), f"{folder}/in", F.col("call_id") % 3 == 0, F.col("call_id") % 3 != 0), ["call_id"], time="created_at", late="60 days")
+    kept = flows.drained(once, f"{folder}/out", f"{folder}/checkpoint")
+    return kept.groupBy("call_type").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query("SELECT call_id, CAST(epoch(created_at) AS BIGINT) AS claimed, CAST(epoch(created_at) AS BIGINT) + tokens * 60 AS done FROM (SELECT call_id, date_trunc('second', created_at) AS created_at, tokens FROM calls) WHERE tokens <= 30 AND call_id % 5 <> 0", "calls")
+def t12_answered_claims(read):
+    """Two streams: claims of calls, and results some minutes later of most of them; those within half an hour meet."""
+    rows = calls(read).select("call_id", F.date_trunc("second", "created_at").alias("claimed"), "tokens")
+    results = rows.where("call_id % 5 <> 0").select("call_id", (F.col("claimed") + F.make_dt_interval(mins=F.col("tokens"))).alias("done"))
+    folder = files.scratch(rows.sparkSession, "claims")
+    claims, answers = flows.as_stream(rows.drop("tokens"), f"{folder}/claims"), flows.as_stream(results, f"{folder}/results")
+    met = flows.drained(flows.answered_claims(claims, answers, "call_id", claimed="claimed", done="done"), f"{folder}/out", f"{folder}/checkpoint")
+    return met.select("call_id", F.unix_seconds("claimed").alias("claimed"), F.unix_seconds("done").alias("done"))
+
+
 @query("SELECT date_trunc('hour', created_at) AS start, call_type, count(*) AS n FROM calls GROUP BY 1, 2", "calls")
 def t12_tumbling(read):
     return state.tumbling_counts(calls(read), time="created_at", by="call_type")
