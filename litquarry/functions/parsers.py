@@ -121,13 +121,6 @@ def path_tokens(path: Column) -> Column:
     return F.flatten(cut)
 
 
-def patch_period(instruments: Column, instrument: Column, period: Column, field: Column, value: Column) -> Column:
-    """``instruments`` with the text ``field`` of one period set; indices out of range change nothing."""
-    new = lambda p: F.struct(*(F.when(field == n, value).otherwise(p[n]).alias(n) for n in ("period_name", "time_range")))
-    periods = lambda x: F.transform(x["data_collection_periods"], lambda p, j: F.when(j == period, new(p)).otherwise(p))
-    return F.transform(instruments, lambda x, i: F.when(i == instrument, x.withField("data_collection_periods", periods(x))).otherwise(x))
-
-
 def repaired_index(token: Column, index: Column, names: Column, codes: Column) -> Column:
     """The place (from 0) of the mission that an answer ``token(index)`` means, or null.
 

@@ -51,22 +51,22 @@ def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], id_co
     return rows.join(inside, id_col, "left").fillna(False, ["inside"])
 
 
-def descend(nodes: DataFrame, *, node: str, parent: str, name: str, write: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """(node, root, depth, path) of a tree of any depth, from the rows without a parent down, one join a level.
+def descend(nodes: DataFrame, *, node: str, parent: str, name: str, deepest: int = 1_000) -> DataFrame:
+    """(node, root, depth, path) of a tree, from the rows without a parent down, as one recursive query.
 
-    ``write`` stores a level and reads it back; without it the lineage grows by a join a level. Nodes under no root, as
-    in a cycle, are never reached.
+    Spark walks level by level while the query runs: nothing is run while it is planned. Nodes under no root, as in a
+    cycle, are never reached. A tree of more than ``deepest`` levels is an error; the number of rows is not limited.
     """
-    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("_parent"), F.col(name).alias("_name"))
-    level = rows.where("_parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("_name").alias("path"))
-    found, k = level, 0
-    while not level.isEmpty():
-        k += 1
-        below = rows.join(level.select(F.col("node").alias("_parent"), "root", F.col("path").alias("_above")), "_parent")
-        level = below.select("node", "root", F.lit(k).alias("depth"), F.concat_ws(" / ", "_above", "_name").alias("path"))
-        level = write(level, k) if write else level
-        found = found.unionByName(level)
-    return found
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).cast("string").alias("name"))
+    walked = f"""
+        WITH RECURSIVE tree(node, root, depth, path) MAX RECURSION LEVEL {deepest} AS (
+          SELECT node, node, 0, name FROM {{rows}} WHERE parent IS NULL
+          UNION ALL
+          SELECT r.node, tree.root, tree.depth + 1, concat_ws(' / ', tree.path, r.name) FROM {{rows}} r JOIN tree ON r.parent = tree.node
+        ) SELECT * FROM tree"""
+    return spark.sql(walked, rows=rows)
 
 
 def resolve_unique(names: DataFrame, catalog: DataFrame, *, name_col: str, catalog_col: str, code_col: str, explicit: str | None = None) -> DataFrame:

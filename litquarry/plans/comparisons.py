@@ -224,21 +224,6 @@ def r11_candidate_lines(read):
     return got.select("call_id", F.try_element_at("m", F.lit(1)).alias("first"), F.try_element_at("m", F.lit(12)).alias("second"), F.size("m").alias("lines"))
 
 
-@query(
-    """SELECT call_id, CAST(tokens % 3 AS INT) AS instrument, CAST(tokens % 2 AS INT) AS period, CASE WHEN tokens % 3 < 2 THEN 'new ' || call_id ELSE 'old' END AS first_of_two FROM calls""",
-    "calls",
-)
-def r12_patches(read):
-    """Paths like ``instruments[0].data_collection_periods[1].time_range`` taken apart and applied to a document of two instruments."""
-    path = text("instruments[", F.col("tokens") % 3, "].data_collection_periods[", F.col("tokens") % 2, "].time_range")
-    period = lambda: F.struct(F.lit("p").alias("period_name"), F.lit("old").alias("time_range"))
-    one = lambda: F.struct(F.lit("i").alias("name"), F.array(period(), period()).alias("data_collection_periods"))
-    tokens = parsers.path_tokens(path)
-    i, p = tokens[1].cast("int"), tokens[3].cast("int")
-    told = calls(read).select("call_id", i.alias("instrument"), p.alias("period"), parsers.patch_period(F.array(one(), one()), i, p, tokens[4], text("new ", F.col("call_id"))).alias("doc"))
-    return told.select("call_id", "instrument", "period", F.coalesce(F.get("doc", F.col("instrument"))["data_collection_periods"][F.col("period")]["time_range"], F.lit("old")).alias("first_of_two"))
-
-
 MISSIONS = ["Alpha", "Beta One", "Gamma-3", "Delta", "Park Sol"]
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from litquarry.functions import patches
 from litquarry.functions.text import percent_encode
 from litquarry.plans.composites import analyses
 from litquarry.plans.registry import query
-from litquarry.sources import files
+from litquarry.sources import files, npy
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages
 
 
@@ -66,11 +68,16 @@ def s5_catalog_scan(read):
     return found.select("instrument_id", "mission_code", "data_system", "known_system")
 
 
-@query("SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings")
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding) AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def s6_embeddings_scan(read):
-    """Vectors whose number is that of the catalog's rows, here the table's own ids."""
-    e = read("embeddings")
-    return files.check_counts(e.select("vec_id", "embedding"), e.select("vec_id").distinct()).agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most"))
+    """All vectors written as NumPy files in order of their ids, and read back by the source of such files, counted against the catalog's ids."""
+    e = read("embeddings").select("vec_id", "embedding")
+    spark, place = e.sparkSession, files.scratch(e.sparkSession, "npy")
+    npy.write_npy(e.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id"), place, "embedding")
+    npy.register(spark)
+    vectors = spark.read.format("npy").option("rows", 700).load(place)
+    counted = files.check_counts(vectors, e.select("vec_id"))
+    return counted.select("row", F.size("vector").alias("size"), F.round(F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query("SELECT 'hkp:' || replace(mission, '#', '') || '_' || instrument_id AS iri, instrument AS label FROM instruments WHERE channels % 4 <> 3 AND channels % 5 <> 4", "instruments")
@@ -157,3 +164,26 @@ def s17_test_cases(read):
     each = parsed.select("analysis_id", "instrument_index", F.posexplode("x.data_collection_periods").alias("period_index", "p"))
     tells = F.col("p.time_range.normalized")
     return each.where(F.try_to_timestamp(tells["end_datetime"]).isNotNull()).select("analysis_id", "instrument_index", "period_index", F.col("p.physical_observable").alias("original"), tells["start_datetime"].alias("normalized"))
+
+
+@query(
+    """, p AS (SELECT paper_id || '-' || configuration AS analysis_id, paper_id, u.instrument_id, observatory_id, instrument, mission, channels, (paper_id + observatory_id) % 9 AS odd, win_start, win_end FROM usages u JOIN instruments USING (instrument_id)),
+    n AS (SELECT *, dense_rank() OVER (PARTITION BY analysis_id ORDER BY instrument_id) - 1 AS instrument_index,
+      row_number() OVER (PARTITION BY analysis_id, instrument_id ORDER BY CASE WHEN odd = 0 THEN win_end ELSE win_start END, CASE odd WHEN 0 THEN strftime(win_start, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN 'unknown' ELSE strftime(win_end, '%Y-%m-%dT%H:%M:%SZ') END, 'seen by ' || observatory_id) - 1 AS period_index FROM p)
+    SELECT analysis_id, instrument_index, period_index, CASE WHEN hit AND paper_id % 4 < 2 THEN 'new ' || analysis_id ELSE 'flux ' || observatory_id END AS observable, CASE WHEN hit AND paper_id % 4 >= 2 THEN 'new ' || analysis_id ELSE start END AS start
+    FROM (SELECT *, instrument_index = paper_id % 3 AND period_index = paper_id % 2 AS hit, CASE WHEN odd = 0 THEN strftime(win_end, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(win_start, '%Y-%m-%dT%H:%M:%SZ') END AS start FROM n)""",
+    "usages",
+    "instruments",
+)
+def r12_patches(read):
+    """Every normalized document with one field of one period set by its path, two steps or four below the period; paths that lead nowhere change nothing."""
+    from litquarry.operators.materialize import NORMALIZED
+
+    schema, k = StructType.fromDDL(NORMALIZED), F.col("paper_id")
+    field = F.when(k % 4 < 2, "physical_observable").otherwise("time_range.normalized.start_datetime")
+    path = F.concat(F.lit("instruments["), k % 3, F.lit("].data_collection_periods["), k % 2, F.lit("]."), field)
+    parsed = analyses(read).select("analysis_id", "paper_id", F.from_json("details", schema).alias("d"))
+    told = parsed.select("analysis_id", patches.apply_patch(F.col("d"), schema, path, F.concat(F.lit("new "), "analysis_id")).alias("d"))
+    each = told.select("analysis_id", F.posexplode("d.instruments").alias("instrument_index", "x"))
+    periods = each.select("analysis_id", "instrument_index", F.posexplode("x.data_collection_periods").alias("period_index", "p"))
+    return periods.select("analysis_id", "instrument_index", "period_index", F.col("p.physical_observable").alias("observable"), F.col("p.time_range.normalized.start_datetime").alias("start"))

@@ -11,7 +11,6 @@ from litquarry.functions import predicates as p
 from litquarry.functions.text import percent_encode
 from litquarry.operators import joins as j
 from litquarry.plans.registry import query
-from litquarry.sources.files import scratch
 from litquarry.sources.roles import Reader, calls, instruments, observatories, papers, usages, votes
 
 day = lambda s: F.lit(s).cast("timestamp")
@@ -472,13 +471,7 @@ def j18_tree_paths(read):
         read("customer").where("c_custkey <> 1").select(key("c", "c_custkey").alias("node"), F.when(k % 2 == 0, key("n", "c_nationkey")).otherwise(F.concat(F.lit("c"), F.floor((k + 1) / 2))).alias("parent"), F.col("c_mktsegment").alias("name")),
     ]
     nodes = reduce(DataFrame.unionByName, rows)
-    folder = scratch(nodes.sparkSession, "tree")
-
-    def write(level: DataFrame, k: int) -> DataFrame:
-        level.write.parquet(f"{folder}/{k}")
-        return nodes.sparkSession.read.schema(level.schema).parquet(f"{folder}/{k}")
-
-    return j.descend(nodes, node="node", parent="parent", name="name", write=write)
+    return j.descend(nodes, node="node", parent="parent", name="name")
 
 
 @query(

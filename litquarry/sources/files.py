@@ -102,38 +102,6 @@ def json_catalog(spark: SparkSession, path: str, schema: str, key: str, *, lines
     return catalog_rows(rows)
 
 
-def npy_vectors(spark: SparkSession, path: str, rows_per_task: int = 65_536) -> DataFrame:
-    """(row, vector) of a two-dimensional NumPy file. Tasks read the header and their own rows only."""
-
-    def read(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, place = fs.FileSystem.from_uri(path)
-        for batch in batches:
-            for first in batch.column(0).to_pylist():
-                with store.open_input_file(place) as f:
-                    version = np.lib.format.read_magic(f)
-                    shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
-                    if fortran or len(shape) != 2:
-                        raise ValueError("a row-major array of two dimensions is needed")
-                    n = min(rows_per_task, shape[0] - first)
-                    f.seek(f.tell() + first * shape[1] * kind.itemsize)
-                    own = np.frombuffer(f.read(n * shape[1] * kind.itemsize), kind).reshape(n, shape[1]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + n), pa.int64()), pa.array(list(own), pa.list_(pa.float32()))], names=["row", "vector"])
-
-    import numpy as np
-    from pyarrow import fs
-
-    store, place = fs.FileSystem.from_uri(path)
-    with store.open_input_file(place) as f:
-        version = np.lib.format.read_magic(f)
-        shape = (np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f))[0]
-    starts = spark.range(0, max(shape[0], 1), rows_per_task).where(F.lit(shape[0] > 0))
-    return starts.repartition(max(1, -(-shape[0] // rows_per_task)), "id").mapInArrow(read, "row long, vector array<float>")
-
-
 def check_counts(vectors: DataFrame, catalog: DataFrame) -> DataFrame:
     """``vectors``, once it is sure that there are as many of them as rows of the catalog."""
     n, wanted = vectors.count(), catalog.count()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litquarry.sources import files
+from litquarry.sources import files, npy
 
 
 def test_jsonl(spark, tmp_path):
@@ -35,11 +35,22 @@ def test_catalog(spark, tmp_path):
 def test_numpy(spark, tmp_path):
     x = np.arange(35, dtype=np.float64).reshape(7, 5)
     np.save(tmp_path / "x.npy", x)
-    got = files.npy_vectors(spark, f"file://{tmp_path}/x.npy", rows_per_task=3).orderBy("row").collect()
-    assert [r["row"] for r in got] == list(range(7))
+    npy.register(spark)
+    read = lambda path, n: spark.read.format("npy").option("rows", n).load(f"file://{tmp_path}/{path}")
+    rows = read("x.npy", 3)
+    got = rows.orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(7)) and rows.rdd.getNumPartitions() == 3
     assert np.array_equal(np.array([r["vector"] for r in got]), x)
     with pytest.raises(ValueError, match="7 vectors for 6"):
-        files.check_counts(files.npy_vectors(spark, f"file://{tmp_path}/x.npy"), spark.range(6))
+        files.check_counts(rows, spark.range(6))
+    npy.write_npy(rows.repartitionByRange(3, "row").sortWithinPartitions("row"), f"file://{tmp_path}/many", "vector")
+    again = read("many", 2).orderBy("row").collect()
+    assert np.array_equal(np.array([r["vector"] for r in again]), x) and len(list((tmp_path / "many").glob("*.npy"))) == 3
+    np.save(tmp_path / "none.npy", np.zeros((0, 5)))
+    assert read("none.npy", 3).collect() == []
+    np.save(tmp_path / "flat.npy", np.zeros(5))
+    with pytest.raises(Exception, match="two dimensions"):
+        read("flat.npy", 3).collect()
 
 
 def test_append(spark, tmp_path):
