@@ -58,26 +58,31 @@ def h2_mission_identification(read):
 
 
 @query(
-    """SELECT call_id, CASE call_id % 4 WHEN 0 THEN true WHEN 1 THEN tokens % 3 = 0 WHEN 2 THEN true ELSE false END AS agree FROM calls""",
+    """, w AS (SELECT call_id, regexp_extract_all(lower(json_extract_string(props, '$.k') || ',' || model || ' or ' || tokens % 7), '[0-9]+') AS a, regexp_extract_all(tokens % 7 || '; ' || CASE WHEN call_id % 3 = 0 THEN model ELSE model % 10 END || ' (' || tokens || ')', '[0-9]+') AS b FROM calls)
+    SELECT call_id, list_sort(list_distinct(list_transform(a, lambda x: CAST(x AS INT)))) = list_sort(list_distinct(list_transform(b, lambda x: CAST(x AS INT)))) OR (list_contains(a, '0') AND list_contains(b, '0')) AS agree FROM w""",
     "calls",
 )
 def h3_selection(read):
-    """The same numbers in another order, one more of them, both ambiguous, and one answer without any."""
-    rest = F.col("call_id") % 4
-    a = forms(rest, "(3), (5)", "(2)", "(0)", "(4)")
-    b = forms(rest, "5 then 3", F.when(F.col("tokens") % 3 == 0, "(2), (2)").otherwise("(2), (9)"), "0 or (0), (1)", "none of them")
+    """Numbers that two answers name, in another order and with other marks; zero in both says that both are unsure."""
+    small = F.col("tokens") % 7
+    a = text("(", F.col("tokens"), "), (", F.col("model"), ") or (", small, ")")
+    b = text("(", small, ") then (", F.when(F.col("call_id") % 3 == 0, F.col("model")).otherwise(F.col("model") % 10), "); (", F.col("tokens"), ")")
     return calls(read).select("call_id", compare.selections_agree(parsers.index_list(a), parsers.index_list(b)).alias("agree"))
 
 
+
+
 @query(
-    """SELECT call_id, CASE call_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN tokens % 2 = 0 ELSE true END AS agree FROM calls""",
+    """, s AS (SELECT call_id, 'PT' || tokens || 'S, PT' || model || 'M' || CASE WHEN tokens % 2 = 0 THEN ', PT' || tokens || 'S' ELSE ',' END AS a, CASE WHEN tokens % 5 = 0 THEN ' none ' ELSE 'PT' || model || 'M ,PT' || (tokens + call_id % 2) || 'S' END AS b FROM calls),
+    p AS (SELECT call_id, list_sort(list_distinct(list_filter(list_transform(string_split(a, ','), lambda x: trim(x)), lambda x: x <> ''))) AS x, CASE WHEN upper(trim(b)) = 'NONE' THEN [] ELSE list_sort(list_distinct(list_transform(string_split(b, ','), lambda x: trim(x)))) END AS y FROM s)
+    SELECT call_id, x = y AS agree FROM p""",
     "calls",
 )
 def h4_cadence(read):
-    """NONE is an empty list; durations are sets."""
-    rest = F.col("call_id") % 4
-    a = forms(rest, "PT1M, PT30S", "PT1M", text("PT", F.col("tokens"), "S"), "NONE")
-    b = forms(rest, "PT30S,PT1M,", "none", text("PT", F.col("tokens") + F.col("tokens") % 2, "S"), " none ")
+    """Durations of the calls' numbers in two orders, some repeated; NONE is an empty list."""
+    one, two = text("PT", F.col("tokens"), "S"), text("PT", F.col("model"), "M")
+    a = F.concat(one, F.lit(", "), two, F.when(F.col("tokens") % 2 == 0, F.concat(F.lit(", "), one)).otherwise(","))
+    b = F.when(F.col("tokens") % 5 == 0, " none ").otherwise(F.concat(two, F.lit(" ,"), text("PT", F.col("tokens") + F.col("call_id") % 2, "S")))
     read_list = lambda x: F.coalesce(parsers.cadence_list(x), F.array().cast("array<string>"))
     return calls(read).select("call_id", compare.same_sets(read_list(a), read_list(b)).alias("agree"))
 
@@ -111,12 +116,20 @@ def h6_wavelength(read):
     return calls(read).select("call_id", compare.wavelengths_agree(*(compare.parsed(x, compare.WAVELENGTH) for x in (a, b))).alias("agree"))
 
 
-@query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE tokens % 2 = 0 END AS agree FROM calls", "calls")
+@query(
+    r""", s AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' Final Decision: ' WHEN 1 THEN ' Conclusion: ' ELSE ' ' END || CASE WHEN length(text) % 2 = 0 THEN 'accept' ELSE 'reject' END AS a, 'FINAL DECISION: ' || CASE WHEN length(text) % 3 = 0 THEN 'Accept' ELSE 'Reject' END AS b FROM conversations),
+    p AS (SELECT conv_id, turn, lower(regexp_extract(a, '(?i)(?:final decision|conclusion): (accept|reject)$', 1)) AS x, lower(regexp_extract(b, '(?i): (accept|reject)$', 1)) AS y FROM s)
+    SELECT conv_id, turn, x <> '' AND x = y AS agree FROM p""".replace(", s AS", "WITH s AS", 1),
+)
 def h7_validation(read):
-    rest = F.col("call_id") % 4
-    a = forms(rest, "FINAL DECISION: accept", "final decision - **ACCEPT**", "nothing decided", "Conclusion: reject")
-    b = forms(rest, '{"decision": "Accept"}', "Conclusion: reject", "nothing decided", F.when(F.col("tokens") % 2 == 0, "Final Decision: Reject").otherwise("Final Decision: Accept"))
-    return calls(read).select("call_id", compare.verdicts_agree(parsers.verdict(a), parsers.verdict(b)).alias("agree"))
+    """Whole turns that end in a decision, in two forms or in none, against decisions in capitals."""
+    n, words = F.char_length("text"), F.coalesce("text", F.lit(""))
+    form = F.when(F.col("turn") % 3 == 0, " Final Decision: ").when(F.col("turn") % 3 == 1, " Conclusion: ").otherwise(" ")
+    a = F.concat(words, form, F.when(n % 2 == 0, "accept").otherwise("reject"))
+    b = F.concat(F.lit("FINAL DECISION: "), F.when(n % 3 == 0, "Accept").otherwise("Reject"))
+    return read("conversations").select("conv_id", "turn", compare.verdicts_agree(parsers.verdict(a), parsers.verdict(b)).alias("agree"))
+
+
 
 
 @query(
@@ -137,15 +150,15 @@ def h8_structure(read):
 
 
 @query(
-    """, a AS (SELECT call_id % 400 AS item_id, CASE WHEN tokens % 11 = 0 THEN 'NONE' WHEN tokens % 13 = 0 THEN 'PARSE_ERROR' WHEN call_id % 400 < 100 THEN 'PT' || tokens % 2 || 'S' ELSE 'PT' || call_id % 400 % 3 * (tokens % 3) || 'S' END AS answer FROM calls WHERE tokens < 8 OR tokens > 60),
+    """, a AS (SELECT call_id % 4000 AS item_id, CASE WHEN tokens % 5 = 0 THEN 'NONE' WHEN tokens % 7 = 0 THEN 'PARSE_ERROR' WHEN call_id % 4000 < 1000 THEN 'PT' || tokens % 2 || 'S' ELSE 'PT' || call_id % 4000 % 3 * (tokens % 3) || 'S' END AS answer FROM calls),
     s AS (SELECT item_id, list_distinct(list(answer)) AS each FROM a GROUP BY 1)
     SELECT item_id, CASE WHEN list_contains(each, 'NONE') AND len(list_filter(each, lambda x: x NOT IN ('NONE', 'PARSE_ERROR'))) > 0 THEN 'NONE_vs_VALUE' WHEN len(each) = 2 AND NOT list_contains(each, 'NONE') THEN 'VALUE_vs_VALUE' WHEN len(each) > 2 THEN 'MULTIPLE_VALUES' ELSE 'OTHER' END AS class FROM s""",
     "calls",
 )
 def h9_disagreement_class(read):
-    item = F.col("call_id") % 400
-    answer = F.when(F.col("tokens") % 11 == 0, "NONE").when(F.col("tokens") % 13 == 0, "PARSE_ERROR").when(item < 100, text("PT", F.col("tokens") % 2, "S")).otherwise(text("PT", (item % 3) * (F.col("tokens") % 3), "S"))
-    told = calls(read).where((F.col("tokens") < 8) | (F.col("tokens") > 60)).groupBy(item.alias("item_id")).agg(F.collect_set(answer).alias("each"))
+    item = F.col("call_id") % 4000
+    answer = F.when(F.col("tokens") % 5 == 0, "NONE").when(F.col("tokens") % 7 == 0, "PARSE_ERROR").when(item < 1000, text("PT", F.col("tokens") % 2, "S")).otherwise(text("PT", (item % 3) * (F.col("tokens") % 3), "S"))
+    told = calls(read).groupBy(item.alias("item_id")).agg(F.collect_set(answer).alias("each"))
     return told.select("item_id", compare.disagreement_class(F.col("each")).alias("class"))
 
 
@@ -177,18 +190,29 @@ def r2_field_label(read):
     return calls(read).select("call_id", *(c.alias(n) for n, c in zip(("field", "value"), parsers.field_of(line), strict=True)))
 
 
-@query("SELECT call_id, CASE WHEN call_id % 6 < 5 THEN call_type || ' at ' || tokens END AS quote FROM calls", "calls")
+@query(
+    """WITH w AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS line FROM conversations WHERE text IS NOT NULL), s AS (SELECT conv_id, turn, trim(line) AS q FROM w WHERE trim(line) <> '' AND NOT contains(line, '"'))
+    SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN q END AS quote FROM s""",
+)
 def r3_quote(read):
-    said = text(F.col("call_type"), " at ", F.col("tokens"))
-    line = forms(F.col("call_id") % 6, text('- **Supporting Quote**: "', said, '"  '), text("  - Supporting Quote: “", said, " ”"), text('**Supporting Quote**: "', said), text("- **Supporting Quote**:  ", said, " "), text('  *"', said, '"*'), text("- **Time Range**: ", said))
-    return calls(read).select("call_id", parsers.supporting_quote(line).alias("quote"))
+    """The first line of every turn as a quote: behind its label in straight quotes, in curly ones or bare, and in a line of another label."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    rows = read("conversations").where("text IS NOT NULL").select("conv_id", "turn", line.alias("line")).where((F.trim("line") != "") & ~F.contains("line", F.lit('"')))
+    said = forms(F.col("turn") % 4, text('- **Supporting Quote**: "', F.col("line"), '"  '), text("  - Supporting Quote: “", F.col("line"), "”"), text("- **Supporting Quote**: ", F.col("line")), text("- **Time Range**: ", F.col("line")))
+    return rows.select("conv_id", "turn", parsers.supporting_quote(said).alias("quote"))
 
 
-@query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN call_type WHEN 1 THEN 'first' WHEN 2 THEN '  ' ELSE 'first' END AS time_range FROM calls", "calls")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN repeat(' ', CAST(length(text) % 3 AS INT)) ELSE substr(text, 1, 30) END AS given, string_split(text, chr(10)) AS quotes FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN trim(given) = '' THEN quotes[1] ELSE given END AS time_range FROM s""",
+)
 def r4_period_fallback(read):
-    given = forms(F.col("call_id") % 4, F.col("call_type"), F.lit(""), F.lit("  "), F.lit("   "))
-    quotes = F.when(F.col("call_id") % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("first"), F.col("call_type")))
-    return calls(read).select("call_id", parsers.period_time(given, quotes).alias("time_range"))
+    """The beginning of every turn as a time range, or blanks, for which the turn's first line stands."""
+    rows = read("conversations").where("text IS NOT NULL")
+    given = F.when(F.col("turn") % 3 == 0, F.repeat(F.lit(" "), (F.char_length("text") % 3).cast("int"))).otherwise(F.substring("text", 1, 30))
+    return rows.select("conv_id", "turn", parsers.period_time(given, F.split("text", "\n")).alias("time_range"))
 
 
 @query(
@@ -204,10 +228,16 @@ def r5_wavelengths(read):
     return got.select("call_id", nm(F.get("w", F.lit(0))["min"]).alias("low"), nm(F.try_element_at("w", F.lit(-1))["max"]).alias("high"), F.when(F.col("w").isNotNull(), F.size("w")).alias("n"))
 
 
-@query("SELECT call_id, CASE call_id % 4 WHEN 0 THEN 'PT' || tokens || 'S' WHEN 1 THEN 'PT1M|P' || tokens || 'D' WHEN 2 THEN NULL ELSE 'PT2S' END AS cadences FROM calls", "calls")
+@query(
+    """WITH s AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:6], ', ') || CASE WHEN turn % 2 = 0 THEN ', ,' ELSE '' END AS said FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN upper(trim(said)) = 'NONE' THEN NULL ELSE array_to_string(list_filter(list_transform(string_split(said, ','), lambda x: trim(x)), lambda x: x <> ''), '|') END AS cadences FROM s""",
+)
 def r6_cadences(read):
-    said = forms(F.col("call_id") % 4, text(" PT", F.col("tokens"), "S "), text("PT1M ,P", F.col("tokens"), "D"), " none", ",PT2S,,")
-    return calls(read).select("call_id", F.array_join(parsers.cadence_list(said), "|").alias("cadences"))
+    """The first six words of every turn as a list between commas, some with empty entries."""
+    said = F.concat(F.array_join(F.slice(F.split("text", " "), 1, 6), ", "), F.when(F.col("turn") % 2 == 0, ", ,").otherwise(""))
+    return read("conversations").where("text IS NOT NULL").select("conv_id", "turn", F.array_join(parsers.cadence_list(said), "|").alias("cadences"))
+
+
 
 
 @query("SELECT call_id, CASE WHEN tokens % 3 = 0 AND call_type <> 'error' THEN call_type END AS chosen FROM calls", "calls")

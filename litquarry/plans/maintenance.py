@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from litquarry.functions.text import short_id
 from litquarry.plans.registry import query
 from litquarry.sources import files
 from litquarry.sources.files import scratch
@@ -14,15 +12,16 @@ from litquarry.streaming import flows, state
 
 
 @query(
-    """, old AS (SELECT DISTINCT ON (instrument_id) instrument_id, paper_id FROM usages WHERE configuration = 'F' AND observatory_id < 10 ORDER BY instrument_id, paper_id),
-    new AS (SELECT instrument_id, min(paper_id) AS paper_id FROM usages WHERE configuration = 'O' AND observatory_id < 20 GROUP BY 1)
+    """, old AS (SELECT DISTINCT ON (instrument_id) instrument_id, paper_id FROM usages WHERE configuration = 'F' AND paper_id % 3 = 0 ORDER BY instrument_id, paper_id),
+    new AS (SELECT instrument_id, min(paper_id) AS paper_id FROM usages WHERE configuration = 'O' GROUP BY 1)
     SELECT * FROM old UNION ALL SELECT * FROM new WHERE instrument_id NOT IN (SELECT instrument_id FROM old)""",
     "usages",
 )
 def t1_idempotent_upsert(read):
+    """What a third of the papers has in one configuration stays; instruments that only the other configuration has come new."""
     use = usages(read)
-    old = use.where("configuration = 'F' and observatory_id < 10").groupBy("instrument_id").agg(F.min("paper_id").alias("paper_id"))
-    return state.upsert_new(old, use.where("configuration = 'O' and observatory_id < 20").select("instrument_id", "paper_id"), ["instrument_id"], "paper_id")
+    old = use.where("configuration = 'F' and paper_id % 3 = 0").groupBy("instrument_id").agg(F.min("paper_id").alias("paper_id"))
+    return state.upsert_new(old, use.where("configuration = 'O'").select("instrument_id", "paper_id"), ["instrument_id"], "paper_id")
 
 
 @query(
@@ -142,53 +141,6 @@ def t12_sessions(read):
     return state.sessions(calls(read), time="created_at", by="model")
 
 
-@query(
-    """, valid AS (SELECT observatory_id, instrument_id, min(win_start) AS f, max(win_end) AS t FROM usages WHERE status = 'approved' GROUP BY 1, 2), seen AS (SELECT DISTINCT instrument_id FROM valid),
-    c AS (SELECT u.paper_id, CASE WHEN s.instrument_id IS NULL THEN 'unknown instrument' WHEN v.f IS NULL THEN 'unknown combination' WHEN u.win_start < v.f OR u.win_end > v.t THEN 'outside validity' ELSE 'ok' END AS outcome
-      FROM usages u LEFT JOIN seen s USING (instrument_id) LEFT JOIN valid v USING (observatory_id, instrument_id)) SELECT outcome, count(*) AS n, count(DISTINCT paper_id) AS papers FROM c GROUP BY 1""",
-    "usages",
-)
-def c19_archive_validation(read):
-    use = usages(read)
-    valid = use.where("status = 'approved'").groupBy("observatory_id", "instrument_id").agg(F.min("win_start").alias("f"), F.max("win_end").alias("t"))
-    seen = valid.select("instrument_id", F.lit(True).alias("known")).distinct()
-    outcome = F.when(F.col("known").isNull(), "unknown instrument").when(F.col("f").isNull(), "unknown combination").when((F.col("win_start") < F.col("f")) | (F.col("win_end") > F.col("t")), "outside validity").otherwise("ok")
-    told = use.join(seen, "instrument_id", "left").join(valid, ["observatory_id", "instrument_id"], "left")
-    return told.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("papers"))
-
-
-@query(
-    """SELECT DISTINCT paper_id, instrument_id, configuration, win_start, win_end FROM usages WHERE win_start <= win_end AND instrument_id IN (SELECT instrument_id FROM instruments WHERE channels > 10)""",
-    "usages",
-    "instruments",
-)
-def c14_materialized_usages(read):
-    known = instruments(read).where("channels > 10").select("instrument_id")
-    return usages(read).where("win_start <= win_end").join(known, "instrument_id", "left_semi").select("paper_id", "instrument_id", "configuration", "win_start", "win_end").distinct()
-
-
-@query(
-    """SELECT paper_id, observatory_id, CASE WHEN count(*) FILTER (ok) = 0 THEN 'no_time' WHEN count(*) FILTER (ok) < count(*) THEN 'partial' ELSE 'full' END AS match_level FROM
-    (SELECT paper_id, observatory_id, instrument_id % 3 > 0 AS ok FROM usages) GROUP BY 1, 2""",
-    "usages",
-)
-def c15_match_levels(read):
-    ok = F.col("instrument_id") % 3 > 0
-    level = F.when(F.count_if(ok) == 0, "no_time").when(F.count_if(ok) < F.count("*"), "partial").otherwise("full")
-    return usages(read).groupBy("paper_id", "observatory_id").agg(level.alias("match_level"))
-
-
-@query(
-    """SELECT paper_id, 'fetch ' || mission || '/' || instrument || ' from ' || strftime(win_start, '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(win_end, '%Y-%m-%dT%H:%M:%SZ') AS script FROM usages JOIN instruments USING (instrument_id) WHERE status = 'approved'""",
-    "usages",
-    "instruments",
-)
-def c20_scripts(read):
-    moment = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    script = F.format_string("fetch %s/%s from %s to %s", "mission", "instrument", moment("win_start"), moment("win_end"))
-    return usages(read).where("status = 'approved'").join(instruments(read), "instrument_id").select("paper_id", script.alias("script"))
-
-
 @query(
     """, keep AS (SELECT instrument, mission, min(instrument_id) AS id FROM instruments GROUP BY 1, 2) SELECT DISTINCT paper_id, id AS instrument_id, win_start, win_end FROM usages JOIN instruments USING (instrument_id) JOIN keep USING (instrument, mission)""",
     "usages",
@@ -200,19 +152,6 @@ def c25_catalog_dedupe(read):
     return usages(read).join(every.join(keep, ["instrument", "mission"]), "instrument_id").select("paper_id", F.col("id").alias("instrument_id"), "win_start", "win_end").distinct()
 
 
-@query(
-    """, claims AS (SELECT DISTINCT substr(sha1(paper_id || '|' || instrument_id), 1, 12) AS claim FROM usages WHERE status = 'pending'), r AS (SELECT claim, row_number() OVER (ORDER BY md5('7:' || claim)) - 1 AS k FROM claims ORDER BY k LIMIT 120)
-    SELECT claim, k % 4 AS reviewer, k < 18 AS reliability FROM r""",
-    "usages",
-)
-def c26_reviewer_campaign(read):
-    """The first 120 claims in hash order, dealt to four reviewers in turn; the first 15 % are read by all."""
-    claims = usages(read).where("status = 'pending'").select(short_id(F.col("paper_id").cast("string"), F.col("instrument_id").cast("string")).alias("claim")).distinct()
-    order = F.md5(F.concat(F.lit("7:"), "claim"))
-    first = claims.orderBy(order).limit(120).withColumn("k", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    return first.select("claim", (F.col("k") % 4).alias("reviewer"), (F.col("k") < 18).alias("reliability"))
-
-
 @query(
     """SELECT u.paper_id, u.instrument_id, u.observatory_id, u.status FROM usages u WHERE u.status IN ('approved', 'rejected') AND u.paper_id NOT IN (SELECT item_id FROM votes)""",
     "usages",

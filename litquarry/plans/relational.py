@@ -57,12 +57,12 @@ def s16_missing_keys(read):
 
 @query(
     f""", {TAGGED} SELECT instrument_id, list_aggregate(list_sort(list_distinct(list_concat(['helio'], tags))), 'string_agg', ',') AS tags
-    FROM tagged WHERE channels > 25 AND instrument_id NOT IN (SELECT instrument_id FROM usages WHERE observatory_id < 10)""",
+    FROM tagged WHERE channels > 25 AND instrument_id NOT IN (SELECT instrument_id FROM usages WHERE paper_id % 5 = 0)""",
     "instruments",
     "usages",
 )
 def s18_manifest_import(read):
-    known = usages(read).where("observatory_id < 10").select("instrument_id").distinct()
+    known = usages(read).where("paper_id % 5 = 0").select("instrument_id").distinct()
     new = tagged(read).where("channels > 25").join(known, "instrument_id", "left_anti")
     return new.select("instrument_id", F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(F.array(F.lit("helio")), "tags")))).alias("tags"))
 
@@ -271,20 +271,21 @@ def j4_exists_flag(read):
     return papers(read).select("paper_id").join(found, "paper_id", "left").fillna(False, ["has_approved"])
 
 
-@query("SELECT instrument_id, instrument FROM instruments WHERE instrument_id NOT IN (SELECT instrument_id FROM usages WHERE observatory_id < 5)", "instruments", "usages")
+@query("SELECT instrument_id, instrument FROM instruments WHERE instrument_id NOT IN (SELECT instrument_id FROM usages WHERE paper_id % 7 = 0)", "instruments", "usages")
 def j5_unused_instruments(read):
-    return instruments(read).join(usages(read).where("observatory_id < 5"), "instrument_id", "left_anti").select("instrument_id", "instrument")
+    """Instruments that no paper of one share of all papers uses."""
+    return instruments(read).join(usages(read).where("paper_id % 7 = 0"), "instrument_id", "left_anti").select("instrument_id", "instrument")
 
 
 @query(
-    """SELECT paper_id FROM papers WHERE paper_id IN (SELECT paper_id FROM usages WHERE instrument_id < 20)
-    OR paper_id IN (SELECT paper_id FROM usages WHERE observatory_id = 3)""",
+    """SELECT paper_id FROM papers WHERE paper_id IN (SELECT paper_id FROM usages WHERE instrument_id % 50 = 3)
+    OR paper_id IN (SELECT paper_id FROM usages WHERE observatory_id % 40 = 3)""",
     "papers",
     "usages",
 )
 def j6_either_membership(read):
     use = usages(read)
-    either = use.where("instrument_id < 20").select("paper_id").union(use.where("observatory_id = 3").select("paper_id"))
+    either = use.where("instrument_id % 50 = 3").select("paper_id").union(use.where("observatory_id % 40 = 3").select("paper_id"))
     return papers(read).select("paper_id").join(either, "paper_id", "left_semi")
 
 
