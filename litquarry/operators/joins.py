@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,21 +32,26 @@ def window_overlap_join(left: DataFrame, right: DataFrame, *, keys: list[str], d
     return met.where((ls < re) & (le >= rs) & (F.col("_bucket") == F.greatest(bucket(ls), bucket(rs)))).drop("_bucket")
 
 
-def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], id_col: str, window: tuple[str, str], valid: tuple[str, str], as_of: Column, days: int = 365) -> DataFrame:
+def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], window: tuple[str, str], valid: tuple[str, str], as_of: Column, days: int = 365) -> DataFrame:
     """``inside``: whether a row's window lies whole in one validity range of its key; an open range ends at ``as_of``.
 
-    A range is listed in every bucket of ``days`` that it reaches, and a row looks in the bucket of its start only. Of the
-    ranges that begin before a bucket only the one that ends last can matter, so that it alone is kept there.
+    A window does if, of the ranges that begin at or before it, the one that ends last ends at or after it. So rows and
+    ranges are put in order of their beginnings together, and the latest end so far is carried along: within parts of
+    ``days`` for each key, and over the parts' latest ends. Nothing is listed more than once, however long ranges are, and
+    a key that has most rows is dealt out by its parts. Rows with a null key or window are not inside.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(c) / (86400 * days))
-    ended = ranges.select(*keys, F.col(valid[0]).alias("_from"), F.coalesce(F.col(valid[1]), as_of).alias("_to")).where("_from <= _to").distinct()
-    listed = ended.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
-    own = [*keys, "_bucket"]
-    earlier = listed.where(bucket(F.col("_from")) < F.col("_bucket")).groupBy(*own).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    kept = listed.where(bucket(F.col("_from")) == F.col("_bucket")).select(*own, "_from", "_to").unionByName(earlier.select(*own, "_from", "_to"))
-    met = rows.select(*keys, id_col, *window).withColumn("_bucket", bucket(F.col(window[0]))).join(kept, own)
-    inside = met.where((F.col(window[0]) >= F.col("_from")) & (F.col(window[1]) <= F.col("_to"))).select(id_col, F.lit(True).alias("inside")).distinct()
-    return rows.join(inside, id_col, "left").fillna(False, ["inside"])
+    ended = ranges.select(*keys, F.col(valid[0]).alias("_at"), F.coalesce(F.col(valid[1]), as_of).alias("_to")).where("_at <= _to")
+    asked = rows.select(*keys, F.col(window[0]).alias("_at"), F.struct(*rows.columns).alias("_row"))
+    both = ended.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked.withColumn("_to", F.lit(None).cast(ended.schema["_to"].dataType)))
+    both = both.withColumn("_part", F.floor(F.unix_seconds("_at") / (86400 * days)))
+    parts = both.where("_to IS NOT NULL").groupBy(*keys, "_part").agg(F.max("_to").alias("_last"))
+    here = Window.partitionBy(*keys, "_part").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # parts that only rows are in need the latest end before them too
+    every = both.select(*keys, "_part").distinct().join(parts, [*keys, "_part"], "left").withColumn("_before", F.max("_last").over(before)).drop("_last")
+    met = both.withColumn("_latest", F.max("_to").over(here)).where("_row IS NOT NULL").join(every, [*keys, "_part"], "left")
+    inside = F.col(f"_row.{window[1]}") <= F.greatest("_latest", "_before")
+    return met.select("_row.*", F.coalesce(inside, F.lit(False)).alias("inside"))
 
 
 def descend(nodes: DataFrame, *, node: str, parent: str, name: str, deepest: int = 1_000) -> DataFrame:

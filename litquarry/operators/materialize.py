@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litquarry.operators.joins import contained_join
+
 #: The parts of a normalized document that are read.
 NORMALIZED = """instruments array<struct<
   name: struct<original: string, normalized: struct<matched_instrument_code: string, matched_mission_code: string, data_system: string>>,
@@ -134,8 +136,25 @@ def grounded(candidates: DataFrame) -> DataFrame:
     return specific.unionByName(bare).unionByName(alone.select("entry", "system", "mission", "code")).distinct()
 
 
-def outcome_of(missing: Column, absent: Column, late: Column, far: Column) -> Column:
-    """The errors of an archive query, in the order in which they are looked for; the first two end the check."""
+def archive_checks(calls: DataFrame, entries: DataFrame, *, as_of: Column) -> DataFrame:
+    """``calls`` with ``errors`` and ``warnings``, arrays in the order in which they are looked for.
+
+    Calls are (source, instrument, a, b, low, high); entries (source, instrument, f, t, low, high), an open one without
+    ``t``, with a single wavelength as ``low`` alone. A call without an instrument, a source or any entry has that error
+    only. A call without a time range is warned about. Its time has to lie whole in one entry; its wavelengths in one
+    entry's range, or around an entry's single one; entries without wavelengths fit none, calls without any are fine.
+    """
+    keys = ["source", "instrument"]
+    known = entries.select(*keys).distinct().withColumn("_known", F.lit(True))
+    timed = contained_join(calls, entries, keys=keys, window=("a", "b"), valid=("f", "t"), as_of=as_of)
+    bands = entries.where("low IS NOT NULL").select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
+    asked = calls.where("low IS NOT NULL").select(*keys, "low", "high").distinct()
+    held = F.when(F.col("_high").isNull(), F.col("_low").between(F.col("low"), F.col("high"))).otherwise((F.col("low") >= F.col("_low")) & (F.col("high") <= F.col("_high")))
+    near = asked.join(bands, keys).where(held).select(*keys, "low", "high").distinct().withColumn("_near", F.lit(True))
+    met = timed.join(known, keys, "left").join(near, [*keys, "low", "high"], "left")
     text = lambda c, e: F.when(c, F.lit(e))
-    rest = F.array_compact(F.array(text(late, "time range not valid"), text(far, "wavelength range not valid")))
-    return F.when(missing, F.array(F.lit("no source"))).when(absent, F.array(F.lit("unknown combination"))).otherwise(rest)
+    timeless = F.col("a").isNull() | F.col("b").isNull()
+    first = F.coalesce(text(F.col("instrument").isNull(), "no instrument"), text(F.col("source").isNull(), "no source"), text(F.col("_known").isNull(), "unknown combination"))
+    rest = F.array_compact(F.array(text(~timeless & ~F.col("inside"), "time range not valid"), text(F.col("low").isNotNull() & F.col("_near").isNull(), "wavelength range not valid")))
+    warnings = F.when(first.isNull() & timeless, F.array(F.lit("no time range"))).otherwise(F.array().cast("array<string>"))
+    return met.withColumns({"errors": F.when(first.isNotNull(), F.array(first)).otherwise(rest), "warnings": warnings}).drop("inside", "_known", "_near")

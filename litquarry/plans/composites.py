@@ -123,32 +123,29 @@ def c18_grounding(read):
 
 
 @query(
-    """, entries AS (SELECT observatory_id AS source, instrument_id, win_start AS f, CASE WHEN instrument_id % 5 > 0 THEN win_end END AS t, channels - 2.0 AS lo, channels + 2.0 AS hi FROM usages JOIN instruments USING (instrument_id) WHERE status = 'approved'),
-    calls AS (SELECT paper_id, CASE WHEN paper_id % 10 > 0 THEN observatory_id END AS source, u.instrument_id, win_start + INTERVAL 1 DAY AS a, win_start + INTERVAL 2 DAY AS b, channels + paper_id % 4 AS w FROM usages u JOIN instruments USING (instrument_id)),
-    checked AS (SELECT c.*, EXISTS (SELECT 1 FROM entries e WHERE e.source = c.source AND e.instrument_id = c.instrument_id) AS known, EXISTS (SELECT 1 FROM entries e WHERE e.source = c.source AND e.instrument_id = c.instrument_id AND a >= f AND b <= coalesce(t, TIMESTAMP '2000-01-01')) AS inside,
-      EXISTS (SELECT 1 FROM entries e WHERE e.source = c.source AND e.instrument_id = c.instrument_id AND w - 0.5 >= lo AND w + 0.5 <= hi) AS near FROM calls c)
-    SELECT CASE WHEN source IS NULL THEN 'no source' WHEN NOT known THEN 'unknown combination' ELSE concat_ws('; ', CASE WHEN NOT inside THEN 'time range not valid' END, CASE WHEN NOT near THEN 'wavelength range not valid' END) END AS errors, count(*) AS n, count(DISTINCT paper_id) AS papers FROM checked GROUP BY 1""",
+    """, e AS (SELECT observatory_id AS source, instrument_id AS instrument, win_start AS f, CASE WHEN instrument_id % 5 > 0 THEN win_end END AS t, CASE WHEN instrument_id % 11 > 0 THEN channels - 2.0 END AS low, CASE WHEN instrument_id % 11 > 0 AND instrument_id % 4 > 0 THEN channels + 2.0 END AS high FROM usages JOIN instruments USING (instrument_id) WHERE status = 'approved'),
+    c AS (SELECT paper_id, CASE WHEN paper_id % 10 > 0 THEN observatory_id END AS source, CASE WHEN paper_id % 17 > 0 THEN u.instrument_id END AS instrument, CASE WHEN paper_id % 13 > 0 THEN win_start + INTERVAL 1 DAY END AS a, CASE WHEN paper_id % 13 > 0 THEN win_start + INTERVAL 2 DAY END AS b,
+      CASE WHEN paper_id % 7 > 0 THEN channels + paper_id % 4 - 2.5 END AS low, CASE WHEN paper_id % 7 > 0 THEN channels + paper_id % 4 - 1.5 END AS high FROM usages u JOIN instruments USING (instrument_id)),
+    k AS (SELECT c.*, EXISTS (SELECT 1 FROM e WHERE e.source = c.source AND e.instrument = c.instrument) AS known, EXISTS (SELECT 1 FROM e WHERE e.source = c.source AND e.instrument = c.instrument AND a >= f AND b <= coalesce(t, TIMESTAMP '2000-01-01')) AS inside,
+      EXISTS (SELECT 1 FROM e WHERE e.source = c.source AND e.instrument = c.instrument AND CASE WHEN e.high IS NULL THEN e.low BETWEEN c.low AND c.high ELSE c.low >= e.low AND c.high <= e.high END) AS near FROM c),
+    x AS (SELECT paper_id, CASE WHEN instrument IS NULL THEN 'no instrument' WHEN source IS NULL THEN 'no source' WHEN NOT known THEN 'unknown combination' END AS first, a IS NULL AS timeless, inside, near, low FROM k)
+    SELECT coalesce(first, concat_ws('; ', CASE WHEN NOT timeless AND NOT inside THEN 'time range not valid' END, CASE WHEN low IS NOT NULL AND NOT near THEN 'wavelength range not valid' END)) AS errors, CASE WHEN first IS NULL AND timeless THEN 'no time range' ELSE '' END AS warnings, count(*) AS n, count(DISTINCT paper_id) AS papers FROM x GROUP BY 1, 2""",
     *ROLES,
 )
 def c19_archive_checks(read):
-    """Presence, combination, time and wavelength against every entry of the same source and instrument; open entries end at a fixed day.
-
-    A query is inside if one entry holds it whole, so that a gap between two entries counts as one. Queries of a key meet
-    its entries by month of their start: an entry is listed in each month that it covers.
-    """
+    """Every usage as an archive call, some without instrument, source, time or wavelength, against all approved windows as the archive's entries."""
     named = usages(read).join(instruments(read).select("instrument_id", "channels"), "instrument_id")
-    until = F.when(F.col("instrument_id") % 5 > 0, F.col("win_end")).otherwise(F.lit("2000-01-01").cast("timestamp"))
-    month = lambda c: F.months_between(F.trunc(c, "month"), F.lit("1970-01-01")).cast("int")
-    held = named.where("status = 'approved'").select(F.col("observatory_id").alias("source"), "instrument_id", F.col("win_start").alias("f"), until.alias("t"), (F.col("channels") - 2.0).alias("lo"), (F.col("channels") + 2.0).alias("hi"))
-    start = F.col("win_start") + F.expr("interval 1 day")
-    asked = named.select("paper_id", F.when(F.col("paper_id") % 10 > 0, F.col("observatory_id")).alias("source"), "instrument_id", start.alias("a"), (start + F.expr("interval 1 day")).alias("b"), (F.col("channels") + F.col("paper_id") % 4).alias("w"), F.xxhash64("paper_id", "instrument_id", "observatory_id", "win_start", "cost").alias("call"))
-    known = held.select("source", "instrument_id", "lo", "hi").distinct().groupBy("source", "instrument_id").agg(F.collect_set(F.struct("lo", "hi")).alias("bands"))
-    listed = held.where("f <= t").select("source", "instrument_id", "f", "t", F.explode(F.sequence(month("f"), month("t"))).alias("month"))
-    inside = asked.withColumn("month", month(F.col("a"))).join(listed, ["source", "instrument_id", "month"]).where("a >= f AND b <= t").select("call", F.lit(True).alias("inside")).distinct()
-    met = asked.join(known, ["source", "instrument_id"], "left").join(inside, "call", "left")
-    near = F.exists("bands", lambda x: (F.col("w") - 0.5 >= x["lo"]) & (F.col("w") + 0.5 <= x["hi"]))
-    errors = m.outcome_of(F.col("source").isNull(), F.col("bands").isNull(), F.col("inside").isNull(), ~near)
-    return met.groupBy(F.array_join(errors, "; ").alias("errors")).agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"))
+    paper, instrument = F.col("paper_id"), F.col("instrument_id")
+    fits = lambda c, value: F.when(c, value)
+    entries = named.where("status = 'approved'").select(
+        F.col("observatory_id").alias("source"), instrument.alias("instrument"), F.col("win_start").alias("f"), fits(instrument % 5 > 0, F.col("win_end")).alias("t"),
+        fits(instrument % 11 > 0, F.col("channels") - 2.0).alias("low"), fits((instrument % 11 > 0) & (instrument % 4 > 0), F.col("channels") + 2.0).alias("high"),
+    )
+    day = lambda n: fits(paper % 13 > 0, F.col("win_start") + F.expr(f"interval {n} day"))
+    wave = lambda shift: fits(paper % 7 > 0, F.col("channels") + paper % 4 - shift)
+    asked = named.select("paper_id", fits(paper % 10 > 0, F.col("observatory_id")).alias("source"), fits(paper % 17 > 0, instrument).alias("instrument"), day(1).alias("a"), day(2).alias("b"), wave(2.5).alias("low"), wave(1.5).alias("high"))
+    told = m.archive_checks(asked, entries, as_of=F.lit("2000-01-01").cast("timestamp"))
+    return told.groupBy(F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings")).agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"))
 
 
 # --- listings, comparisons and dashboards ------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litquarry.functions import predicates as p
 from litquarry.functions import statistics as s
 from litquarry.functions.text import short_id
+from litquarry.operators.validation import user_pages
 from litquarry.plans.registry import query
 from litquarry.plans.relational import day
 from litquarry.sources.roles import calls, instruments, observatories, papers, usages, votes
@@ -136,6 +137,38 @@ def c9_rater_days(read):
     return calendar.join(counted, ["rater_id", "on_day"], "left").select("rater_id", F.col("on_day").cast("string").alias("on_day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(
+    """, u AS (SELECT paper_id, configuration, instrument_id, status, observatory_id % 5 AS rater, CASE WHEN status <> 'pending' THEN win_end END AS made FROM usages),
+    r AS (SELECT DISTINCT rater FROM u WHERE made IS NOT NULL), mine AS (SELECT rater, count(*) AS total, count(*) FILTER (CAST(made AS DATE) = DATE '1996-06-15') AS today, count(*) FILTER (made >= TIMESTAMP '1996-06-08 12:00:00') AS week FROM u WHERE made IS NOT NULL GROUP BY 1),
+    a AS (SELECT paper_id, configuration, max(made) AS last FROM u GROUP BY 1, 2 HAVING count(*) = count(made)), p AS (SELECT DISTINCT rater, paper_id, configuration, last FROM a JOIN u USING (paper_id, configuration) WHERE made IS NOT NULL),
+    done AS (SELECT rater, count(*) AS analyses, count(*) FILTER (CAST(last AS DATE) = DATE '1996-06-15') AS analyses_today, count(*) FILTER (last >= TIMESTAMP '1996-06-08 12:00:00') AS analyses_week FROM p GROUP BY 1),
+    d AS (SELECT rater, CAST(made AS DATE) AS on_day, count(*) AS n, count(DISTINCT paper_id) AS papers FROM u WHERE made IS NOT NULL GROUP BY 1, 2), cal AS (SELECT rater, CAST(unnest(generate_series(DATE '1996-06-09', DATE '1996-06-15', INTERVAL 1 DAY)) AS DATE) AS on_day FROM r),
+    s AS (SELECT rater, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY on_day) AS claims_per_day, string_agg(CAST(coalesce(papers, 0) AS VARCHAR), ',' ORDER BY on_day) AS papers_per_day, max(coalesce(n, 0)) AS most_claims, max(coalesce(papers, 0)) AS most_papers FROM cal LEFT JOIN d USING (rater, on_day) GROUP BY 1)
+    SELECT rater, total, today, week, coalesce(analyses, 0) AS analyses, coalesce(analyses_today, 0) AS analyses_today, coalesce(analyses_week, 0) AS analyses_week, claims_per_day, papers_per_day, most_claims, most_papers FROM mine LEFT JOIN done USING (rater) JOIN s USING (rater)""",
+    "usages",
+)
+def c9_user_pages(read):
+    """The page of every rater as of a moment: claims and finished analyses in all, today and in the week, and seven days of both."""
+    use = usages(read).select("paper_id", F.concat_ws("-", "paper_id", "configuration").alias("analysis"), (F.col("observatory_id") % 5).alias("rater"), F.when(F.col("status") != "pending", F.col("win_end")).alias("at"))
+    found = user_pages(use, as_of=F.lit("1996-06-15 12:00:00").cast("timestamp"))
+    return found.withColumns({c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",") for c in ("claims_per_day", "papers_per_day")})
+
+
+@query(
+    """, q AS (SELECT u.*, i.instrument, o.observatory, o.datasource FROM usages u JOIN instruments i ON i.instrument_id = u.instrument_id JOIN observatories o ON o.observatory_id = u.observatory_id WHERE u.status = 'pending' AND contains(lower(o.datasource), 'asi'))
+    SELECT paper_id, datasource, observatory, instrument, q.win_start, q.win_end, v.status AS my_status FROM q LEFT JOIN votes v ON v.item_id = paper_id AND v.rater_id = 3 ORDER BY paper_id, datasource, observatory, instrument, q.win_start, q.win_end, cost LIMIT 50 OFFSET 50""",
+    *STAR,
+    "votes",
+)
+def c8_user_queue(read):
+    """The second page of one rater's queue: what is pending at the observatories of one source, in claim order, with the rater's own vote if there is one."""
+    mine = votes(read).where("rater_id = 3").select(F.col("item_id").alias("paper_id"), F.col("status").alias("my_status"))
+    places = observatories(read).where(F.contains(F.lower("datasource"), F.lit("asi"))).select("observatory_id", "observatory", "datasource")
+    open_ = usages(read).where("status = 'pending'").join(places, "observatory_id").join(instruments(read).select("instrument_id", "instrument"), "instrument_id")
+    order = ["paper_id", "datasource", "observatory", "instrument", "win_start", "win_end", "cost"]
+    return open_.join(mine, "paper_id", "left").orderBy(*order).offset(50).limit(50).select(*order[:-1], "my_status")
+
+
 @query(
     """, full_items AS (SELECT item_id FROM votes GROUP BY 1 HAVING count(*) FILTER (status IN ('approved', 'rejected')) = count(*)) SELECT rater_id, count(*) AS votes, count(*) FILTER (item_id IN (SELECT item_id FROM full_items)) AS on_finished FROM votes GROUP BY 1""",
     "votes",

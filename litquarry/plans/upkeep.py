@@ -208,11 +208,14 @@ def n22_category_frequency(read):
     return known.join(counted, "category", "left").fillna(0, ["n"]).join(total).select("category", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("pct"))
 
 
-@query("SELECT vec_id, label, label IN (2, 3) OR vec_id % 5 = 0 AS filled FROM embeddings")
+@query(
+    """WITH m AS (SELECT vec_id, label, label IN (2, 3) OR vec_id % 5 = 0 AS missing FROM embeddings), s AS (SELECT min(vec_id) AS low, max(vec_id) AS high, CAST(ceil(count(*) / 40.0) AS BIGINT) AS n FROM m WHERE missing)
+    SELECT vec_id, label, missing AS filled, CASE WHEN missing THEN CAST(floor((vec_id - low) * n / (high - low + 1)::DOUBLE) AS BIGINT) END AS sweep FROM m, s""",
+)
 def t10_backlog_sweep(read):
-    """Rows without a vector are filled in sweeps of at most so many, until none is left; others stay as they are."""
+    """Rows without a vector are filled in sweeps of about forty, until none is left; others stay as they are."""
     every = read("embeddings").select("vec_id", "label", (F.col("label").isin(2, 3) | (F.col("vec_id") % 5 == 0)).alias("missing"))
-    return state.swept(every, "vec_id", F.col("missing"), chunk=1_000_000).select("vec_id", "label", "filled")
+    return state.swept(every, "vec_id", F.col("missing"), chunk=40).select("vec_id", "label", "filled", "sweep")
 
 
 ALLOWED = ["created_at", "size", "tag"]
