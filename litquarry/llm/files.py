@@ -39,3 +39,9 @@ def output(uri: str):
 def input_stream(uri: str):
     store, path = _place(uri)
     return store.open_input_stream(path, compression=None)
+
+
+def input_file(uri: str):
+    """A file that can be read at any place."""
+    store, path = _place(uri)
+    return store.open_input_file(path)

@@ -80,9 +80,14 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{width}", offset=9).astype(np.uint64).view(np.int64) + np.int64(base)
 
 
-def bucket_count(df: DataFrame) -> int:
-    """A power of two, at least two for each shuffle partition."""
-    return 1 << max(4, (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+#: Fingerprints that a bucket is meant to hold, 12 bytes each.
+IN_BUCKET = 2_000_000
+
+
+def bucket_count(df: DataFrame, fingerprints: int = 0) -> int:
+    """A power of two: as many buckets as ``fingerprints`` fill, and at least two for each shuffle partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(4, (max(2 * parts, -(-fingerprints // IN_BUCKET)) - 1).bit_length())
 
 
 def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.common import giving_back, new_folder, remove_folder, write_table
-from litquarry.llm.files import input_stream, list_folder, make_folder, output
+from litquarry.llm.files import input_file, input_stream, list_folder, make_folder, output
 from litquarry.llm.fingerprints import bucket_bounds, bucket_count, dealt, pack_ints, packed_shards, runs, unpack_ints, unpack_texts, window_hashes, word_hashes
 
 SHARDS = "batch int, shard long, packed binary"
@@ -71,6 +71,12 @@ def _sent(documents: DataFrame, width: int, buckets: int) -> DataFrame:
     return documents.select("shard", "packed").mapInArrow(giving_back(send), "bucket int, shard long, hashes binary, checks binary, owners binary")
 
 
+#: Bytes of a text for each word that begins a window.
+WORD_BYTES = 6
+#: Fingerprints of a run that are in memory at a time while a batch is merged with it.
+BLOCK = 1 << 20
+
+
 def _read_run(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     """A run's sorted hashes and their checks in a bucket; a bucket without any has no file."""
     try:
@@ -88,21 +94,41 @@ def _write_run(folder: str, bucket: int, hashes: np.ndarray, checks: np.ndarray)
             out.write(part)
 
 
-def _held(hashes: np.ndarray, checks: np.ndarray, run: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of some sorted fingerprints a sorted run has, verified by their checks."""
-    theirs, verify = run
+def _run_blocks(folder: str, bucket: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A run's fingerprints in a bucket in order, ``size`` at a time."""
+    try:
+        source = input_file(f"{folder}/{bucket:06d}.run")
+    except FileNotFoundError:
+        return
+    with source:
+        n = int.from_bytes(source.read(8), "little")
+        for k in range(0, n, size):
+            some = min(size, n - k)
+            hashes = np.frombuffer(source.read_at(8 * some, 8 + 8 * k), "<u8")
+            yield hashes, np.frombuffer(source.read_at(4 * some, 8 + 8 * n + 4 * k), "<u4")
+
+
+def _held(hashes: np.ndarray, checks: np.ndarray, run: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which of some fingerprints, sorted by hash, a run has: both are merged block by block, and checks verify equal hashes.
+
+    A block of the run and those of ours that its hashes reach over are sorted runs; a stable sort of both in a row merges
+    them, theirs before ours where hashes are equal. Each of ours then looks back over equal hashes for its check.
+    """
     found = np.zeros(len(hashes), bool)
-    if not len(theirs):
-        return found
-    at, open_ = np.searchsorted(theirs, hashes), np.arange(len(hashes))
-    while len(open_):  # equal hashes with other checks stand side by side
-        spot = at[open_]
-        spot_in = np.minimum(spot, len(theirs) - 1)
-        met = (spot < len(theirs)) & (theirs[spot_in] == hashes[open_])
-        same = met & (verify[spot_in] == checks[open_])
-        found[open_[same]] = True
-        open_ = open_[met & ~same]
-        at[open_] += 1
+    for theirs, verify in run:
+        first, end = np.searchsorted(hashes, theirs[0]), np.searchsorted(hashes, theirs[-1], side="right")
+        if first == end:
+            continue
+        n = len(theirs)
+        order = np.argsort(np.concatenate([theirs, hashes[first:end]]), kind="stable")
+        merged, told = np.concatenate([theirs, hashes[first:end]])[order], np.concatenate([verify, checks[first:end]])[order]
+        place = np.flatnonzero(order >= n)  # ours
+        mine, back = order[place] - n + first, place - 1
+        while len(mine):
+            met = (back >= 0) & (merged[np.maximum(back, 0)] == hashes[mine])
+            same = met & (order[np.maximum(back, 0)] < n) & (told[np.maximum(back, 0)] == checks[mine])
+            found[mine[same]] = True
+            mine, back = mine[met & ~same], back[met & ~same] - 1
     return found
 
 
@@ -175,7 +201,7 @@ class FingerprintIndex:
                 each, verify = hashes[first], checks[first]
                 old = np.zeros(len(each), bool)
                 for run in history:
-                    old |= _held(each, verify, _read_run(run, bucket))
+                    old |= _held(each, verify, _run_blocks(run, bucket, BLOCK))
                 held = np.empty(len(order), bool)
                 held[order] = old[group] | (owners > owners[first][group])
                 if keep and not old.all():
@@ -280,12 +306,13 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, batches: int = 6, fanou
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", shares, 1000)).first()[0] or [])) if shares else []
+    seen = rows.agg(F.percentile_approx("id", shares or [0.5], 1000), F.sum(F.octet_length("text"))).first()
+    cuts = sorted(set(seen[0] or [])) if shares else []
     number = reduce(lambda a, b: a + b, [(F.col("id") > int(c)).cast("int") for c in cuts], F.lit(0))
     folder = new_folder(spark, "substring-dedup")
     write_table(packed_shards(rows.withColumn("batch", F.coalesce(number, F.lit(0)))), f"{folder}/documents", "batch")
     documents = spark.read.schema(SHARDS).parquet(f"{folder}/documents")
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, (seen[1] or 0) // WORD_BYTES)
     index = FingerprintIndex(spark, f"{folder}/index", width=width, buckets=buckets, fanout=fanout)
     answers = [index.ingest(documents.where(F.col("batch") == k), keep=k < len(cuts)) for k in range(len(cuts) + 1)]
     index.drop()

@@ -405,3 +405,45 @@ def test_toxicity(spark):
     assert toxicity(docs.limit(0), marks).collect() == []
     assert len(toxicity(docs, marks.limit(0)).collect()) == len(got)
     assert marks.select(held_out(F.col("doc_id"))).count() == len(labels) + 2
+
+
+def test_runs_are_merged_block_by_block():
+    from litquarry.llm.substring_dedup import _held
+
+    rng = np.random.default_rng(8)
+    for n, m, wide in ((0, 5, 10), (7, 0, 10), (500, 300, 90), (400, 900, 1 << 40), (60, 60, 2)):
+        mine, theirs = (np.unique(np.stack([rng.integers(0, wide, k), rng.integers(0, 3, k)], 1), axis=0) for k in (n, m))
+        blocks = [(theirs[i : i + 7, 0].astype(np.uint64), theirs[i : i + 7, 1].astype(np.uint32)) for i in range(0, len(theirs), 7)]
+        want = {tuple(x) for x in theirs.tolist()}
+        got = _held(mine[:, 0].astype(np.uint64), mine[:, 1].astype(np.uint32), iter(blocks))
+        assert got.tolist() == [tuple(x) in want for x in mine.tolist()]
+
+
+def test_buckets_follow_the_data(spark):
+    from litquarry.llm.fingerprints import IN_BUCKET, bucket_count
+
+    frame = spark.range(1)
+    assert bucket_count(frame) == bucket_count(frame, 10) == 16 and bucket_count(frame, 1000 * IN_BUCKET) == 1024
+
+
+def test_sets_beyond_sixteen_bits_are_joined(spark, monkeypatch):
+    """Sets with more shingles than a cell can count have no suffix filter, and lose no link by that."""
+    from litquarry.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "MOST_CELL", 63)
+    rnd = random.Random(12)
+    vocab = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(24):
+        words_ = [rnd.choice(vocab) for _ in range(rnd.choice([30, 60, 120]))]
+        texts.append(" ".join(words_))
+        for changes in (1, 2, 6):
+            near = list(words_)
+            for _ in range(changes):
+                near[rnd.randrange(len(near))] = "changed"
+            texts.append(" ".join(near))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    root = components(dict(enumerate(sets)), links)
+    got = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and len(links) > 10
