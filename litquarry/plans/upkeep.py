@@ -87,11 +87,26 @@ def n8_description_updates(read):
     return met.select("observatory_id", F.coalesce("a", "b").alias("description")).where("description IS NOT NULL AND description <> 'in NATION_1'")
 
 
-@query("SELECT paper_id, count(DISTINCT (instrument_id, status)) AS quotes, list_aggregate(list_sort(list(DISTINCT instrument_id)), 'min') AS first_instrument FROM usages WHERE cost < 20000 GROUP BY 1", "usages")
+_UNPLACED = """k AS (SELECT * FROM e WHERE known AND code IS NOT NULL AND id IS NOT NULL AND sound), q AS (SELECT analysis_id, id, 'time' AS p, 'seen by ' || supp AS quote FROM k UNION SELECT analysis_id, id, 'physobs', 'shows ' || supp % 5 FROM k UNION SELECT analysis_id, id, 'general', 'used ' || part FROM k),
+    u AS (SELECT DISTINCT CAST(split_part(analysis_id, '-', 1) AS BIGINT) AS paper_id, analysis_id, quote, id, p FROM q WHERE length(quote) % 3 = 0)"""
+
+
+def unplaced(read):
+    """(paper_id, analysis_id, quote, instrument_id, parameter) of quotes without places: here those of certain lengths."""
+    rows = m.usage_quotes(analyses(read), catalog(read)).where(F.char_length("quote") % 3 == 0)
+    return rows.select(F.split("analysis_id", "-")[0].cast("long").alias("paper_id"), "analysis_id", "quote", "instrument_id", "parameter").distinct()
+
+
+@query(
+    f""", {ENTRIES}, {_UNPLACED}, d AS (SELECT DISTINCT paper_id, quote || '|' || id || '|' || p AS line FROM u) SELECT paper_id, count(*) AS quotes, md5(string_agg(line, chr(10) ORDER BY line)) AS content FROM d JOIN papers USING (paper_id) WHERE size >= 1000 AND tag <> '5-LOW' GROUP BY 1""",
+    *ROLES,
+    "papers",
+)
 def n10_unplaced_quotes(read):
-    """Quotes without coordinates, once for each instrument and parameter of a paper."""
-    quotes = usages(read).where("cost < 20000").select("paper_id", "instrument_id", "status").dropDuplicates()
-    return quotes.groupBy("paper_id").agg(F.count("*").alias("quotes"), F.min("instrument_id").alias("first_instrument"))
+    """Quotes without places of papers with a file that is no scan, each quote, instrument and parameter of a paper once, as the content of its fixture."""
+    fit = papers(read).where("size >= 1000 AND tag <> '5-LOW'").select("paper_id")
+    lines = unplaced(read).select("paper_id", F.concat_ws("|", "quote", "instrument_id", "parameter").alias("line")).distinct().join(fit, "paper_id")
+    return lines.groupBy("paper_id").agg(F.count("*").alias("quotes"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("content"))
 
 
 @query(
@@ -114,10 +129,15 @@ def n12_quote_locations(read):
     return met.groupBy("item_id").agg(F.min("place").cast("long").alias("place"), F.count("*").alias("documents"))
 
 
-@query("SELECT tag, count(*) AS missing, min(paper_id) AS first_paper FROM papers WHERE state = 'P' OR size < 1000 GROUP BY 1", "papers")
+@query(
+    """, x AS (SELECT paper_id, tag FROM papers WHERE state = 'P' OR size < 1000), g AS (SELECT min(paper_id) AS low, max(paper_id) AS high, CAST(ceil(count(*) / 200.0) AS BIGINT) AS n FROM x),
+    b AS (SELECT paper_id, tag, CAST(floor((paper_id - low) * n / (high - low + 1)::DOUBLE) AS BIGINT) AS batch FROM x, g) SELECT batch, count(*) AS papers, min(paper_id) AS first_paper, count(*) FILTER (tag = '1-URGENT') AS urgent FROM b GROUP BY 1""",
+    "papers",
+)
 def n13_missing_metadata(read):
-    """Papers that lack metadata: what a fetch would take, by tag."""
-    return papers(read).where("state = 'P' OR size < 1000").groupBy("tag").agg(F.count("*").alias("missing"), F.min("paper_id").alias("first_paper"))
+    """Papers that lack metadata, in batches of about two hundred by ranges of their ids, as a fetch would take them."""
+    marked = state.swept(papers(read).select("paper_id", "tag", ((F.col("state") == "P") | (F.col("size") < 1000)).alias("lacks")), "paper_id", F.col("lacks"), chunk=200)
+    return marked.where("filled").groupBy(F.col("sweep").alias("batch")).agg(F.count("*").alias("papers"), F.min("paper_id").alias("first_paper"), F.count_if(F.col("tag") == "1-URGENT").alias("urgent"))
 
 
 @query(
@@ -141,12 +161,16 @@ def n15_enrichment_selection(read):
     return met.select("analysis_id", F.size(open_).alias("n")).where("n > 0").groupBy("analysis_id").agg(F.sum("n").alias("open_periods"))
 
 
-@query("SELECT paper_id, count(*) AS missing FROM usages WHERE instrument_id % 4 = 0 GROUP BY 1", "usages")
+@query(
+    f""", {ENTRIES}, {_UNPLACED} SELECT analysis_id, count(*) AS quotes, count(DISTINCT p) AS parameters FROM u JOIN papers USING (paper_id) WHERE size >= 1000 GROUP BY 1 HAVING count(*) >= 2""",
+    *ROLES,
+    "papers",
+)
 def n16_missing_coordinates(read):
-    """Quotes whose array of regions is empty, by paper."""
-    region = F.struct(F.lit(1).alias("page"), F.col("cost").alias("x0"))
-    regions = F.when(F.col("instrument_id") % 4 > 0, F.array(region)).otherwise(F.filter(F.array(region), lambda x: x["page"] < 0))
-    return usages(read).select("paper_id", regions.alias("regions")).where(F.size("regions") == 0).groupBy("paper_id").agg(F.count("*").alias("missing"))
+    """Analyses with two or more quotes without places, of papers with a file: what a sweep sends to be located again."""
+    fit = papers(read).where("size >= 1000").select("paper_id")
+    per = unplaced(read).join(fit, "paper_id").groupBy("analysis_id").agg(F.count("*").alias("quotes"), F.count_distinct("parameter").alias("parameters"))
+    return per.where("quotes >= 2")
 
 
 @query("SELECT lang, count(*) AS quotes, CAST(sum(floor(length(text) / 3.5)) AS BIGINT) AS tokens FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 4) AND text IS NOT NULL GROUP BY 1")
