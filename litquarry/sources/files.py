@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.functions.text import BLANKS
@@ -154,13 +154,13 @@ def write_jsonl(rows: DataFrame, path: str, *, where: Column | None = None, orde
 def append_missing(rows: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key the JSON lines at ``path`` lack; returns how many. Running it again adds nothing.
 
-    Rows are counted while they are written, so the output is read for its keys only. A run that is cut off may leave
-    some of its files: ``streaming.flows.append_batch`` is for sinks where that must not be.
+    The new rows are worked out once, as a table of the shared store, and the output is read for its keys only. A run
+    that is cut off may leave some of its files: ``streaming.flows.append_batch`` is for sinks where that must not be.
     """
     spark = rows.sparkSession
     new = rows.dropDuplicates([key])
     if exists(spark, path):
         new = new.join(spark.read.schema(rows.schema).json(path).select(key), key, "left_anti")
-    seen = Observation()
-    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
-    return seen.get["n"]
+    kept = written(new, "appended")
+    kept.write.mode("append").json(path)
+    return kept.count()
