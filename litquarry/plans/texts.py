@@ -107,12 +107,6 @@ def f20_hash_keys(read):
     return read("documents").select("doc_id", F.md5("text").alias("cache_key"), F.sha2("text", 256).alias("request"), text.short_id(F.col("source"), F.col("lang")).alias("short"))
 
 
-@query()
-def l6_fuzzy_quote(read):
-    """Best near occurrence of each quote in every document that has one; rows only, tests hold it against a direct search."""
-    return locate.fuzzy(read("benchmark").select("item_id", "text"), read("documents").select("doc_id", "text"), quote_id="item_id", doc_id="doc_id")
-
-
 @query(
     """, n AS (SELECT paper_id, list_sort(list(DISTINCT instrument_id::VARCHAR)) AS x FROM usages GROUP BY 1)
     SELECT paper_id, array_to_string(list_transform(x, lambda y: CAST(y AS INT)), ',') AS parsed FROM n""",
