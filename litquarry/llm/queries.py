@@ -197,7 +197,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_digest(*[more.get(c, F.col(c)) for c in fields]))
     leaves = _table(spark, sf_dir, "documents").select("doc_id", "lang", leaf_digest(*map(F.col, fields)).alias("leaf"), forged.alias("forged"))
     made = merkle_manifest(leaves, group_col="lang", id_col="doc_id", leaf_col="leaf")
-    root = F.lit(made.root)
+    root = F.lit(made.root).cast("string")
     proven = made.proofs.withColumn("folded_root", folded(F.coalesce("forged", "leaf"), F.col("proof")))
     return proven.select(
         "doc_id", "leaf", "subroot", root.alias("root"), F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified")
