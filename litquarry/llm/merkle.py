@@ -22,6 +22,8 @@ from litquarry.llm.common import Workspace, shared_dir
 
 #: Partitions, as a power of two, whose ragged nodes meet in one task: at most about forty nodes each.
 TOGETHER = 10
+#: Partitions that ragged nodes are dealt to at most: there are some hundred of them for each partition of leaves.
+DEALT = 256
 #: Group roots in one partition of the last tree.
 ROOTS = 100_000
 
@@ -177,7 +179,8 @@ def _finish(ragged: RDD, totals: dict, leaves_each: int, sc: SparkContext) -> tu
     known = sc.broadcast(totals)
     highest = max(totals.values(), default=1).bit_length()
     shift = min(highest, max(1, leaves_each).bit_length() + TOGETHER)
-    paths = tops = None
+    parts = max(1, min(DEALT, ragged.getNumPartitions()))
+    paths = None
     nodes = ragged.map(lambda x: (x[0], x[1:]))
     while True:
 
@@ -187,17 +190,16 @@ def _finish(ragged: RDD, totals: dict, leaves_each: int, sc: SparkContext) -> tu
 
         high = nodes.filter(lambda x, shift=shift: x[1][0] >= shift).map(lambda x: (x[0], x[1][0], x[1][1], [], x[1]))
         low = nodes.filter(lambda x, shift=shift: x[1][0] < shift).map(lambda x, shift=shift: ((x[0], x[1][1] << x[1][0] >> shift), x[1]))
-        done = low.groupByKey().flatMap(climbed).union(high)
+        done = low.groupByKey(parts).flatMap(climbed).union(high).coalesce(parts)
         done.checkpoint()
-        over = done.map(lambda x: ((x[0], x[4][0], x[4][1]), x[4][2])).reduceByKey(lambda a, b: a)
+        over = done.map(lambda x: ((x[0], x[4][0], x[4][1]), x[4][2])).reduceByKey(lambda a, b: a, parts)
         if paths is None:
             paths = done.map(lambda x: ((x[0], x[4][0], x[4][1]), ((x[0], x[1], x[2]), x[3])))
         else:
             above = done.map(lambda x: ((x[0], x[1], x[2]), (x[3], (x[0], x[4][0], x[4][1]))))
-            paths = paths.join(above).map(lambda x: (x[1][1][1], (x[1][0][0], x[1][0][1] + x[1][1][0])))
+            paths = paths.join(above, parts).map(lambda x: (x[1][1][1], (x[1][0][0], x[1][0][1] + x[1][1][0])))
         if shift >= highest:
-            tops = over.map(lambda x: (x[0][0], x[1]))
-            return paths.values(), tops
+            return paths.values(), over.map(lambda x: (x[0][0], x[1]))
         nodes = over.map(lambda x: (x[0][0], (x[0][1], x[0][2], x[1])))
         shift = min(highest, shift + TOGETHER)
 
@@ -212,7 +214,7 @@ def _tree(blocks: RDD, sc: SparkContext) -> tuple[RDD, RDD, RDD, list]:
     owner = spread.flatMap(lambda s: [((s[1], level, index), s[0]) for level, index, _ in s[2]])
     ragged = spread.flatMap(lambda s: [(s[1], level, index, node) for level, index, node in s[2]])
     paths, tops = _finish(ragged, totals, sum(totals.values()) // max(1, len(layout)), sc)
-    edges = owner.join(paths).map(lambda x: (x[1][0], (*x[0], x[1][1])))
+    edges = owner.join(paths, max(1, min(DEALT, blocks.getNumPartitions()))).map(lambda x: (x[1][0], (*x[0], x[1][1])))
     roots = segments.filter(lambda s: s[3] is not None).map(lambda s: (s[1], s[3])).union(tops)
     return roots, edges, segments.map(lambda s: (s[1], s[0])), layout
 
@@ -222,9 +224,10 @@ def _proofs(blocks: RDD, edges: RDD, above: RDD, layout: list, sc: SparkContext)
     placed = sc.broadcast(layout)
 
     def proven(item) -> Iterator[tuple]:
-        _, (held, edge, over) = item
-        path = {(group, level, index): steps for group, level, index, steps in edge}
-        top = dict(over)
+        _, (held, told) = item
+        told = list(told)
+        path = {x[:3]: x[3] for is_edge, x in told if is_edge}
+        top = dict(x for is_edge, x in told if not is_edge)
         for block in held:
             for s in _segments(block, placed.value):
                 root, last = top[s.group]
@@ -245,8 +248,8 @@ def _proofs(blocks: RDD, edges: RDD, above: RDD, layout: list, sc: SparkContext)
                         index //= 2
                     yield row, s.group, s.start + k, steps + last, root
 
-    by_number = blocks.map(lambda b: (b.number, b))
-    return by_number.groupWith(edges, above).flatMap(proven)
+    routed = edges.mapValues(lambda x: (True, x)).union(above.mapValues(lambda x: (False, x)))
+    return blocks.map(lambda b: (b.number, b)).cogroup(routed, max(1, blocks.getNumPartitions())).flatMap(proven)
 
 
 @dataclass
@@ -285,7 +288,7 @@ def merkle_manifest(leaves: DataFrame, *, group_col: str, id_col: str, leaf_col:
     root = top.values().take(1)
     found = _proofs(high, high_edges, high_meets.map(lambda x: (x[1], (x[0], ("", [])))), high_layout, sc)
     over = found.map(lambda x: (x[0][0], (x[0][1], x[3])))
-    above = meets.join(over).map(lambda x: (x[1][0], (x[0], x[1][1])))
+    above = meets.join(over, max(1, min(DEALT, blocks.getNumPartitions()))).map(lambda x: (x[1][0], (x[0], x[1][1])))
     proofs = _proofs(blocks, edges, above, layout, sc).map(lambda x: (*x[0], x[2], x[4], x[3]))
     with_proof = StructType([*schema.fields]).add("place", LongType()).add("subroot", StringType()).add("proof", ArrayType(StringType()))
     name = lambda k: k[1].decode() if k[0] else None

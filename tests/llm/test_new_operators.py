@@ -219,7 +219,7 @@ def manifest_slowly(leaves):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 40])
+@pytest.mark.parametrize("partitions", [1, 12])
 def test_merkle_manifest(spark, docs, nothing, rows, partitions):
     from litquarry.llm.merkle import folded, leaf_digest, merkle_manifest, siblings
 
@@ -251,10 +251,10 @@ def test_nodes_climb_in_several_rounds(spark, monkeypatch):
     from litquarry.llm import merkle
 
     monkeypatch.setattr(merkle, "TOGETHER", 1)
-    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        for size in (1, 2, 3, 64, 333):
+        for size in (3, 77):
             leaves = [("g", i, h(str(i))) for i in range(size)]
             made = merkle.merkle_manifest(spark.createDataFrame(leaves, "lang string, doc_id long, leaf string"), group_col="lang", id_col="doc_id", leaf_col="leaf")
             want = manifest_slowly(leaves)
