@@ -44,11 +44,11 @@ def contained_join(rows: DataFrame, ranges: DataFrame, *, keys: list[str], windo
     asked = rows.select(*keys, F.col(window[0]).alias("_at"), F.struct(*rows.columns).alias("_row"))
     both = ended.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked.withColumn("_to", F.lit(None).cast(ended.schema["_to"].dataType)))
     both = both.withColumn("_part", F.floor(F.unix_seconds("_at") / (86400 * days)))
-    parts = both.where("_to IS NOT NULL").groupBy(*keys, "_part").agg(F.max("_to").alias("_last"))
+    # parts that only rows are in have no latest end of their own
+    parts = both.groupBy(*keys, "_part").agg(F.max("_to").alias("_last"))
     here = Window.partitionBy(*keys, "_part").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # parts that only rows are in need the latest end before them too
-    every = both.select(*keys, "_part").distinct().join(parts, [*keys, "_part"], "left").withColumn("_before", F.max("_last").over(before)).drop("_last")
+    every = parts.withColumn("_before", F.max("_last").over(before)).drop("_last")
     met = both.withColumn("_latest", F.max("_to").over(here)).where("_row IS NOT NULL").join(every, [*keys, "_part"], "left")
     inside = F.col(f"_row.{window[1]}") <= F.greatest("_latest", "_before")
     return met.select("_row.*", F.coalesce(inside, F.lit(False)).alias("inside"))
