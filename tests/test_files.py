@@ -1,5 +1,7 @@
 """Readers and sinks on real files."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,25 @@ def test_append(spark, tmp_path):
     assert files.append_missing(rows.where("id < 4"), f"file://{tmp_path}/out", "id") == 4
     assert files.append_missing(rows, f"file://{tmp_path}/out", "id") == 6
     assert files.append_missing(rows.unionByName(rows), f"file://{tmp_path}/out", "id") == 0
+
+
+def test_turtle_of_several_splits(spark, tmp_path):
+    """A file in many splits, with stanzas cut by them, gives what it gives in one; each line is carried alone, not with its file."""
+    stanza = '<http://x#N{0}> rdf:type hk:Phenomenon ;\n\n\tskos:altLabel "z" ;\n  skos:prefLabel "n{0}"@en .\n'
+    (tmp_path / "a.ttl").write_text("  # indented first\n@prefix hkp: <http://x#> .\n@prefix hkp: <http://later#> .\n" + "".join(stanza.format(k) for k in range(300)))
+    (tmp_path / "b.ttl").write_text("@prefix hkp: <http://y#> .\n" + stanza.format(7) + "<http://y#M> rdf:type hk:Phenomenon ;\r\n  skos:prefLabel\n   \"m\"@en .")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = files.turtle_terms(spark, f"file://{tmp_path}/*.ttl", "hkp", ["hk:Phenomenon"])
+        assert sorted(tuple(r) for r in found.collect()) == sorted([(f"hkp:N{k}", f"n{k}") for k in range(300)] + [("hkp:M", "m")])
+        assert "wholetext" not in found._jdf.queryExecution().toString().lower()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_turtle_of_many_stanzas(spark, tmp_path):
+    """One file of 200,000 stanzas; with its whole text beside each of them this took hours."""
+    stanza = F.concat(F.lit("@prefix hkp: <http://x#> .\nhkp:N"), "id", F.lit(' rdf:type hk:Phenomenon ;\n  skos:prefLabel "n"@en .'))
+    spark.range(200_000, numPartitions=1).select(stanza).write.text(f"file://{tmp_path}/t")
+    began = time.time()
+    assert files.turtle_terms(spark, f"file://{tmp_path}/t", "hkp", ["hk:Phenomenon"]).count() == 200_000 and time.time() - began < 120
