@@ -59,5 +59,11 @@ def apply_patch(document: Column, schema: StructType, path: Column, value: Colum
 
     Values that can't be read as the field's type become null.
     """
-    tokens = path_tokens(path)
-    return F.when(path_leads(document, schema, path), _set(document, schema, tokens, 0, value)).otherwise(document)
+    given = F.struct(document.alias("document"), path_tokens(path).alias("tokens"), value.alias("value"))
+
+    def patched(x: Column) -> Column:
+        leads = F.coalesce(_leads(x["document"], schema, x["tokens"], 0), F.lit(False))
+        return F.when(leads, _set(x["document"], schema, x["tokens"], 0, x["value"])).otherwise(x["document"])
+
+    # the setter names its path at every field: as the only element of an array, it is read once a row
+    return F.get(F.transform(F.array(given), patched), F.lit(0))

@@ -47,3 +47,12 @@ def test_documents_that_are_null_stay_null(spark):
     rows = spark.createDataFrame([(None, "a[0].b"), (([None],), "a[0].b"), (([("x",)],), "a[0].b")], StructType().add("d", schema).add("p", "string"))
     found = rows.select(patches.apply_patch(F.col("d"), schema, F.col("p"), F.lit("new")).alias("d")).collect()
     assert [r["d"] if r["d"] is None else [None if x is None else x["b"] for x in r["d"]["a"]] for r in found] == [None, [None], ["new"]]
+
+
+def test_a_path_is_read_once_for_a_row(spark, capsys):
+    schema = StructType.fromDDL(SCHEMA)
+    rows = spark.range(1).select(F.from_json(F.lit("{}"), schema).alias("d"), F.concat(F.lit("instruments["), "id", F.lit("].name")).alias("p"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    rows.select(patches.apply_patch(F.col("d"), schema, F.col("p"), F.lit("new"))).explain()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert capsys.readouterr().out.lower().count("rlike") <= 2  # it was in the plan 138 times
