@@ -42,7 +42,8 @@ class Votes(StatefulProcessor):
     """An item's newest vote of each rater; its consensus is told when it changes.
 
     Rows are (item, rater, status, ts, vote), with times as whole numbers. A vote that is older than the rater's, or the same one again, changes
-    nothing. Counts by status are kept beside the votes, so that a vote costs the same however many an item has.
+    nothing. Counts by status are kept beside the votes, so that a vote costs the same however many an item has. Of a
+    rater's votes in one batch only the newest meets the state.
     """
 
     def __init__(self, settled: list[str]):
@@ -58,14 +59,19 @@ class Votes(StatefulProcessor):
         self.counts.updateValue((status,), (had + n,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            old = self.newest.getValue((r["rater"],)) if self.newest.containsKey((r["rater"],)) else None
-            if old is not None and (old[1], old[2]) >= (r["ts"], r["vote"]):
+        latest: dict = {}
+        for r in rows:  # the store is asked once a rater and batch, however many votes there are
+            had = latest.get(r["rater"])
+            if had is None or (had[1], had[2]) < (r["ts"], r["vote"]):
+                latest[r["rater"]] = (r["status"], r["ts"], r["vote"])
+        for rater, new in latest.items():
+            old = self.newest.getValue((rater,)) if self.newest.containsKey((rater,)) else None
+            if old is not None and (old[1], old[2]) >= new[1:]:
                 continue
             if old is not None:
                 self._add(old[0], -1)
-            self._add(r["status"], 1)
-            self.newest.updateValue((r["rater"],), (r["status"], r["ts"], r["vote"]))
+            self._add(new[0], 1)
+            self.newest.updateValue((rater,), new)
         counts = {k[0]: v[0] for k, v in self.counts.iterator()}
         n = sum(counts.values())
         consensus = next((s for s in self.settled if counts.get(s, 0) >= n // 2 + 1), "needs_review")

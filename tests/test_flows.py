@@ -112,3 +112,30 @@ def test_streams_in_parts_keep_their_order(spark, tmp_path):
     found = flows.drained(stream, f"file://{tmp_path}/out", f"{tmp_path}/ck")
     assert sorted(r["id"] for r in found.collect()) == list(range(10))
     assert len(flows._commits(spark, f"file://{tmp_path}/out")) == 2
+
+
+def test_the_state_is_asked_once_a_rater_and_batch():
+    class Held(dict):
+        asked = 0
+
+        def containsKey(self, k):
+            self.asked += 1
+            return k in self
+
+        getValue, updateValue = dict.__getitem__, dict.__setitem__
+        iterator = dict.items
+
+    class Told:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, v):
+            self.now = v
+
+    votes = flows.Votes(["approved", "rejected"])
+    votes.newest, votes.counts, votes.told = Held(), Held(), Told()
+    wave = [{"rater": k % 3, "status": "approved" if k >= 297 else "rejected", "ts": k // 2, "vote": k} for k in range(300)]
+    assert [(r["n_votes"], r["consensus"]) for r in votes.handleInputRows((1,), iter(wave), None)] == [(3, "approved")]
+    assert list(votes.handleInputRows((1,), iter(wave[:290]), None)) == []
+    assert votes.newest.asked == 6 and votes.counts == {("approved",): (3,)}
