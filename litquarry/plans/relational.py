@@ -11,6 +11,7 @@ from litquarry.functions import predicates as p
 from litquarry.functions.text import percent_encode
 from litquarry.operators import joins as j
 from litquarry.plans.registry import query
+from litquarry.sources.files import parts_for
 from litquarry.sources.roles import Reader, calls, instruments, observatories, papers, usages, votes
 
 day = lambda s: F.lit(s).cast("timestamp")
@@ -461,8 +462,13 @@ def j17_cross_runs(read):
     "usages",
 )
 def j17_run_pairs(read):
-    """The pairs themselves: each row of a paper's first run against each of its second. A paper has few rows, so its product is small."""
-    of = lambda k, n: usages(read).where(F.col("observatory_id") % 2 == k).select("paper_id", F.col("instrument_id").alias(n), F.col("status").alias(f"of_{n}"))
+    """The pairs themselves: each row of a paper's first run against each of its second. A paper has few rows, so its product is small.
+
+    Both runs are dealt by the paper into parts that follow the size of the table, so a task sorts and counts as much of a large table as of a small one.
+    """
+    rows = usages(read)
+    of = lambda k, n: rows.where(F.col("observatory_id") % 2 == k).select("paper_id", F.col("instrument_id").alias(n), F.col("status").alias(f"of_{n}")).repartition(parts, "paper_id")
+    parts = parts_for(rows)
     met = of(0, "first_run").join(of(1, "second_run"), "paper_id")
     return met.groupBy("paper_id", "first_run", "second_run").agg(F.count("*").alias("pairs"), F.count_if(F.col("of_first_run") == F.col("of_second_run")).alias("agreed"))
 

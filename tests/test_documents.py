@@ -50,3 +50,12 @@ def test_entries_of_equal_names_and_none(spark):
     known = spark.createDataFrame([("i",), ("j",)], "iri string")
     told = m.phenomenon_mentions(docs, known).select("iri", "name", "observable", "n_quotes").collect()
     assert sorted(map(tuple, told)) == [("i", "A", "o1", 2), ("j", "A", "o3", 2)]
+
+
+def test_run_pairs_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    from litquarry.plans import relational
+
+    monkeypatch.setattr(relational, "parts_for", lambda rows: 77)
+    plan = plan_of(QUERIES["j17_run_pairs"](spark, SF))
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and all(", 77), REPARTITION_BY_NUM" in line for line in shuffles)
