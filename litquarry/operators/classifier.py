@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litquarry.sources.files import scratch, written
+from litquarry.sources.files import parts_for, scratch, written
 
 
 def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,13 +19,19 @@ def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, words.alias("w")).select(key, F.explode(both).alias("term"))
 
 
+def dealt_by(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) dealt by the key, in parts that follow the size of the files: terms are counted and rows added up where
+    the text is, so that it is shuffled and its many terms are not."""
+    return rows.select(key, text).repartition(parts_for(rows, mb=2), key)
+
+
 def tf_idf(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, most_share: float = 0.95, most_terms: int = 20_000) -> DataFrame:
     """(key, term, weight): ``1 + ln(tf)`` times ``ln((1 + n) / (1 + df)) + 1``, each row's weights of length one.
 
     Terms of fewer than ``least_docs`` rows or more than ``most_share`` of them are left out; of the rest the
     ``most_terms`` most frequent stay (ties by the alphabet).
     """
-    counts = grams(rows, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = grams(dealt_by(rows, key, text), key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = rows.select(F.count("*").alias("n"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(n)
     kept = terms.where((F.col("df") >= least_docs) & (F.col("df") <= F.col("n") * most_share)).orderBy(F.desc("all"), "term").limit(most_terms)
@@ -36,7 +42,7 @@ def tf_idf(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, most_sh
 
 def vocabulary(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, most_share: float = 0.95, most_terms: int = 20_000) -> DataFrame:
     """(term, i, idf) of the terms that ``tf_idf`` keeps, numbered by the alphabet; at most ``most_terms`` rows."""
-    counts = grams(rows, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = grams(dealt_by(rows, key, text), key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = rows.select(F.count("*").alias("n"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(n)
     kept = terms.where((F.col("df") >= least_docs) & (F.col("df") <= F.col("n") * most_share)).orderBy(F.desc("all"), "term").limit(most_terms)
@@ -47,9 +53,10 @@ def vocabulary(rows: DataFrame, key: str, text: str, *, least_docs: int = 3, mos
 
 def weighed(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, i, weight) by the terms (term, i, idf) of a vocabulary, which is broadcast; each row's weights have length one."""
-    counts = grams(rows, key, text).join(F.broadcast(terms), "term").groupBy(key, "i", "idf").agg(F.count("*").alias("tf"))
+    counts = grams(dealt_by(rows, key, text), key, text).join(F.broadcast(terms), "term").groupBy(key, "i", "idf").agg(F.count("*").alias("tf"))
     raw = counts.select(key, "i", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
-    return raw.join(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key).select(key, "i", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "i", (F.col("w") / norm).alias("weight"))
 
 
 def feature_vectors(labelled: DataFrame, weights: DataFrame, key: str, size: int) -> DataFrame:
@@ -117,7 +124,7 @@ class TextClassifier:
 
     def scores(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """(key, probability) of every row, without vectors: a row's score is a sum over its terms. Rows without known terms get the intercept's."""
-        counts = grams(rows, key, text).join(F.broadcast(self.terms), "term").groupBy(key, "term", "idf", "coefficient").agg(F.count("*").alias("tf"))
+        counts = grams(dealt_by(rows, key, text), key, text).join(F.broadcast(self.terms), "term").groupBy(key, "term", "idf", "coefficient").agg(F.count("*").alias("tf"))
         weight = (F.log("tf") + 1) * F.col("idf")
         summed = counts.groupBy(key).agg((F.sum(weight * F.col("coefficient")) / F.sqrt(F.sum(weight * weight))).alias("_sum"))
         every = rows.select(key).join(summed, key, "left").join(F.broadcast(self.head))

@@ -57,3 +57,11 @@ def test_threshold_none_and_ties(spark):
     assert k.threshold_for_recall(scored, "y", "p", 0.3).first()["threshold"] == 0.9
     assert k.threshold_for_recall(scored, "y", "p", 0.95).first()["threshold"] == 0.4
     assert k.threshold_for_recall(scored.where(F.col("y") == 0), "y", "p").first()["threshold"] == 0.5
+
+
+def test_terms_are_not_shuffled_to_be_counted(spark, capsys):
+    rows = spark.range(4).select("id", F.lit("one two three").alias("text"))
+    terms = spark.createDataFrame([("one", 0, 1.5)], "term string, i int, idf double")
+    k.weighed(rows, "id", "text", terms).explain()
+    shuffles = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
