@@ -16,22 +16,27 @@ from pyspark.sql import functions as F
 
 from litquarry.llm.common import giving_back, new_folder, written
 from litquarry.llm.files import input_stream, make_folder, output
-from litquarry.llm.tokens import byte_pieces, encoder, slices
+from litquarry.llm.tokens import column_encoder, column_slices, spans
 
 MAGIC = b"RPAIR\0\0\x01"
 #: Symbols between two entries of the offset index.
 STRIDE = 256
 
 
-def _counted(s: np.ndarray, at: np.ndarray, n_symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the pairs of symbols that begin at ``at`` and come ``least`` times, the most frequent first.
+#: Slots in which pairs are counted before they are sorted, as a power of two.
+SLOT_BITS = 20
 
-    A key is left * n_symbols + right. Pairs are first counted in slots that several may share: those of slots below
-    ``least`` cannot reach it, and the rest are sorted.
-    """
-    key = s[at].astype(np.int64) * n_symbols + s[at + 1]
-    slot = (key * 0x9E3779B97F4A7C1 >> 20) & ((1 << 20) - 1)
-    key = np.sort(key[np.bincount(slot, minlength=1 << 20)[slot] >= least])
+
+def _slots(key: np.ndarray) -> np.ndarray:
+    """The slot of each key: several keys may share one."""
+    if key.dtype == np.uint32:
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the keys that come ``least`` times, the most frequent first, then the smallest."""
+    key = np.sort(key)
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(begin, len(key)))
     often = counts >= least
@@ -40,28 +45,72 @@ def _counted(s: np.ndarray, at: np.ndarray, n_symbols: int, least: int) -> tuple
     return keys[order], counts[order]
 
 
+def _places(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k) of all places i where ``key`` is keys[k]; ``keys`` are distinct."""
+    table = np.zeros(1 << SLOT_BITS, np.int32)
+    own, number = _slots(keys), np.arange(1, len(keys) + 1, dtype=np.int32)
+    table[own] = number
+    found = table.take(_slots(key))
+    at = np.flatnonzero(found)
+    found = found[at] - 1
+    hit = keys[found] == key[at]
+    hidden = np.flatnonzero(table[own] != number)  # another key has their slot
+    if not len(hidden):
+        return at[hit], found[hit]
+    hidden = hidden[np.argsort(keys[hidden])]
+    rest = at[~hit]
+    k = np.minimum(np.searchsorted(keys[hidden], key[rest]), len(hidden) - 1)
+    also = keys[hidden[k]] == key[rest]
+    return np.concatenate([at[hit], rest[also]]), np.concatenate([found[hit], hidden[k[also]]])
+
+
 def repair(ids: np.ndarray, vocab: int, *, most_rules: int | None = None, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a grammar for ``ids``; rule r stands for symbol ``vocab + r`` and has two symbols.
 
     Each round counts all pairs exactly, takes pairs from the most frequent one down such that no symbol is the left of
     one and the right of another (so that no two chosen occurrences overlap), and replaces every occurrence. Of a run
     of equal symbols, every other place counts. It ends when no pair comes ``least`` times, or after ``most_rules`` rules, if given.
+
+    A pair of two older symbols only gets rarer. So a round looks again only at places whose pair was frequent in the
+    last one or has a new symbol since; symbols are a linked list, of which replaced places drop out.
     """
-    s = ids.astype(np.int32)
+    n = len(ids)
+    s = np.append(ids, 0).astype(np.uint32)  # the last place is an end mark
+    place = np.int32 if n < (1 << 31) - 2 else np.int64
+    after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+    before[0] = n
+    live = np.ones(n + 1, bool)  # places whose pair may be frequent
+    gone = np.zeros(n + 1, bool)
+    live[max(0, n - 1) :] = False
     rules: list[tuple[int, int]] = []
-    while (most_rules is None or len(rules) < most_rules) and len(s) > 1:
+    while most_rules is None or len(rules) < most_rules:
         n_symbols = vocab + len(rules)
-        at = np.arange(len(s) - 1)
-        same = s[:-1] == s[1:]
-        if same.any():
-            begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same[:-1]]), at, 0))
-            at = at[~same | ((at - begin) % 2 == 0)]
-        keys, counts = _counted(s, at, n_symbols, least)
+        half, kind = (16, np.uint32) if n_symbols <= 1 << 16 else (32, np.uint64)
+        at = np.flatnonzero(live)
+        left, right = s[at], s[after[at]]
+        key = left.astype(kind) << kind(half) | right
+        odd = np.flatnonzero(left == right)
+        del left, right
+        if len(odd):
+            order = np.arange(len(odd))
+            runs = np.concatenate([[True], after[at[odd[:-1]]] != at[odd[1:]]])
+            odd = odd[(order - np.maximum.accumulate(np.where(runs, order, 0))) % 2 == 1]
+        slot = _slots(key)
+        counts = np.bincount(slot, minlength=1 << SLOT_BITS)
+        np.subtract.at(counts, slot[odd], 1)
+        often = (counts >= least).take(slot)
+        live[at] = often
+        often[odd] = False
+        del slot
+        often = np.flatnonzero(often)
+        at, key = at[often], key[often]
+        del often
+        keys, _ = _counted(key, least)
         if not len(keys):
             break
-        role = np.zeros(n_symbols, np.int8)  # 1: left of a pair, 2: right of one, 3: both of one
+        role = bytearray(n_symbols)  # 1: left of a pair, 2: right of one, 3: both of one
         chosen: list[int] = []
-        for k, (a, b) in enumerate(zip((keys // n_symbols).tolist(), (keys % n_symbols).tolist(), strict=True)):
+        for k, (a, b) in enumerate(zip((keys >> kind(half)).tolist(), (keys & kind((1 << half) - 1)).tolist(), strict=True)):
             if a == b and role[a] == 0:
                 role[a] = 3
             elif a != b and role[a] in (0, 1) and role[b] in (0, 2):
@@ -72,18 +121,26 @@ def repair(ids: np.ndarray, vocab: int, *, most_rules: int | None = None, least:
             rules.append((a, b))
             if len(rules) == most_rules:
                 break
-        keys = keys[chosen]
-        order = np.argsort(keys)
-        at = at[(np.isin(role[s[at]], (1, 3))) & (np.isin(role[s[at + 1]], (2, 3)))]
-        key = s[at].astype(np.int64) * n_symbols + s[at + 1]
-        found = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
-        hit = keys[order][found] == key
-        at, new = at[hit], n_symbols + order[found[hit]]
-        s[at] = new
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        s = s[left]
-    return s, np.array(rules, np.int64).reshape(-1, 2)
+        hit, new = _places(keys[chosen], key)
+        at = at[hit]
+        s[at] = n_symbols + new
+        dropped = after[at]
+        gone[dropped] = True
+        live[dropped] = False
+        after[at] = after[dropped]
+        before[after[at]] = at
+        live[at] = True
+        live[before[at]] = True
+        live[n] = live[before[n]] = False
+    return s[:n][~gone[:n]].astype(np.int32), np.array(rules, np.int64).reshape(-1, 2)
+
+
+def rule_lengths(vocab: int, rules: np.ndarray) -> np.ndarray:
+    """How many ids each rule stands for."""
+    size: list[int] = []
+    for left, right in rules.tolist():
+        size.append((1 if left < vocab else size[left - vocab]) + (1 if right < vocab else size[right - vocab]))
+    return np.array(size, np.int64)
 
 
 class Grammar:
@@ -91,31 +148,32 @@ class Grammar:
 
     def __init__(self, vocab: int, rules: np.ndarray):
         self.vocab = vocab
-        parts: list[np.ndarray] = []
-        for left, right in rules.tolist():
-            parts.append(np.concatenate([np.array([x], np.uint32) if x < vocab else parts[x - vocab] for x in (left, right)]))
-        self.size = np.array([len(p) for p in parts], np.int64)
-        self.flat = np.concatenate([np.arange(vocab, dtype=np.uint32), *parts])
+        self.size = rule_lengths(vocab, rules)
         self.begin = np.concatenate([np.arange(vocab, dtype=np.int64), vocab + np.cumsum(self.size) - self.size])
         self.length = np.concatenate([np.ones(vocab, np.int64), self.size])
+        self.flat = np.concatenate([np.arange(vocab, dtype=np.uint32), np.zeros(int(self.size.sum()), np.uint32)])
+        depth: list[int] = []
+        for left, right in rules.tolist():
+            depth.append(1 + max(0 if left < vocab else depth[left - vocab], 0 if right < vocab else depth[right - vocab]))
+        level = np.array(depth, np.int64)
+        order = np.argsort(level, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []:  # those of a level need lower ones only
+            self.flat[spans(self.begin[vocab + some], self.size[some])] = self.expand(rules[some].ravel())
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.length[symbols]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        return self.flat[np.repeat(self.begin[symbols] - (end - size), size) + np.arange(total)]
+        return self.flat[spans(self.begin[symbols], self.length[symbols])]
 
 
 def shard_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, vocab: int) -> bytes:
     """A shard's file: header, documents, rules with expansion lengths, offset index, symbols."""
     symbols, rules = repair(ids, vocab)
-    grammar = Grammar(vocab, rules)
+    lengths = rule_lengths(vocab, rules)
     width = 2 if vocab + len(rules) <= 1 << 16 else 4
-    ends = np.cumsum(grammar.length[symbols])
+    ends = np.cumsum(np.concatenate([np.ones(vocab, np.int64), lengths])[symbols])
     index = np.concatenate([[0], ends[STRIDE - 1 :: STRIDE]])[: -(-len(symbols) // STRIDE) or 1]
     head = np.array([len(doc_ids), len(ids), len(rules), len(symbols), vocab, width, len(index)], "<u8")
     starts = np.cumsum(sizes) - sizes
-    parts = [head, np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), starts.astype("<u8"), rules.astype("<u4"), grammar.size.astype("<u8"), index.astype("<u8"), symbols.astype(f"<u{width}")]
+    parts = [head, np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), starts.astype("<u8"), rules.astype("<u4"), lengths.astype("<u8"), index.astype("<u8"), symbols.astype(f"<u{width}")]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
 
@@ -158,23 +216,23 @@ class Shard:
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write shards in ascending order of id; returns the manifest.
 
+    ``tokenizer`` is the file of a byte-level BPE without a normalizer; others are refused where tokens do not spell the text.
     The manifest is a written table (part, shard, path, n_docs, n_tokens, before: tokens of the part's earlier
     shards). ``id_col`` must be integral; null ids come first, null texts are empty, and rows that repeat an id are
     written each, ordered by text. A shard has at most ``shard_tokens`` ids, or one longer document.
     """
     make_folder(folder)
     spark = docs.sparkSession
-    tail = int(end_id).to_bytes(4, "little")
 
     def write(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tool, part = encoder(tokenizer, byte_pieces), TaskContext.get().partitionId()
+        tool, part = column_encoder(tokenizer), TaskContext.get().partitionId()
         vocab = max(tool.tokenizer.get_vocab_size(with_added_tokens=True), int(end_id) + 1)
         rows: list[tuple] = []
         owners: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         sizes: list[int] = []
         before = total = 0
 
@@ -182,22 +240,22 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id:
             nonlocal before, total, owners, held, sizes
             path = f"{folder}/part-{part:06d}-{len(rows):05d}.rpair"
             with output(path) as out:
-                out.write(shard_bytes(owners, sizes, np.frombuffer(b"".join(held), "<u4"), vocab))
+                out.write(shard_bytes(owners, sizes, np.concatenate(held), vocab))
             rows.append((part, len(rows), path, len(owners), total, before))
             before += total
             owners, held, sizes, total = [], [], [], 0
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in slices(batch.column(1).to_pylist()):
-                for i, data in enumerate(tool.encode(texts), at):
-                    data += tail
-                    if sizes and total + len(data) // 4 > shard_tokens:
+            for at, texts in column_slices(batch.column(1)):
+                found, counts = tool.encode(texts, int(end_id))
+                for i, (n, to) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True), at):
+                    if sizes and total + n > shard_tokens:
                         close()
                     owners.append(ids[i])
-                    held.append(data)
-                    sizes.append(len(data) // 4)
-                    total += len(data) // 4
+                    held.append(found[to - n : to])
+                    sizes.append(n)
+                    total += n
         if sizes:
             close()
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
